@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import media, mixing
+from lakeloom.llm import langid, media, mixing, pii
 from lakeloom.llm.common import read
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; learned from rows whose crc32(doc_id) mod 3 is not 1, the others are held out."""
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base kinds and those that the method adds."""
+    return pii.pii_digest(read(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media container, read it back, digest both."""
     return media.media_digest(read(spark, sf_dir, "documents"))
@@ -22,6 +35,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
     "op4_source_mix": op4_source_mix,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import langid, media, mixing, pii
+from lakeloom.llm import langid, media, mixing, pii, secret_scan
 from lakeloom.llm.common import read
 
 
@@ -34,11 +34,17 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: known forms and what the randomness battery finds."""
+    return secret_scan.scan_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
     "op4_source_mix": op4_source_mix,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

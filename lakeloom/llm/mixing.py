@@ -54,7 +54,7 @@ def _plan(classes: DataFrame) -> DataFrame:
     return classes.groupBy("source").agg(F.aggregate(steps, zero, fold)["out"].alias("out")).select("source", F.explode("out").alias("o")).select("source", "o.cls", "o.m")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 17, group_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 17, group_rows: int = 1_000) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for each row of docs.
 
     Every document is taken whole floor(target / source_size) times; the rest of the target is met by documents taken once more:

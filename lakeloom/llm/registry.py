@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import langid, media, mixing, pii, secret_scan
+from lakeloom.llm import jaccard, langid, media, mixing, pii, secret_scan
 from lakeloom.llm.common import read
 
 
@@ -39,12 +39,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts linked by a shingle similarity of 0.75 and more."""
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
     "op4_source_mix": op4_source_mix,
     "op8_secret_scan": op8_secret_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

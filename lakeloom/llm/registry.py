@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import jaccard, langid, media, mixing, pii, secret_scan
+from lakeloom.llm import jaccard, langid, media, mixing, pii, quality, secret_scan
 from lakeloom.llm.common import read
 
 
@@ -39,6 +39,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, with its source as host and its language as path; learned from `labels`."""
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts linked by a shingle similarity of 0.75 and more."""
     return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_source_mix": op4_source_mix,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import jaccard, langid, media, mixing, pii, quality, secret_scan
+from lakeloom.llm import decontaminate, jaccard, langid, media, mixing, pii, quality, secret_scan
 from lakeloom.llm.common import read
 
 
@@ -34,6 +34,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item that leaked into it."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: known forms and what the randomness battery finds."""
     return secret_scan.scan_digest(read(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
     "op4_source_mix": op4_source_mix,
+    "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,

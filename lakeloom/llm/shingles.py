@@ -11,7 +11,7 @@ import xxhash
 CHUNK = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_PLAIN = bytes(i if i > 126 or chr(i).isalnum() else 32 for i in range(256))
 
 
 class WordHash(dict):
@@ -28,7 +28,15 @@ class WordHash(dict):
 
 def word_hashes(text: str, memo: WordHash) -> np.ndarray:
     """Hashes of the words of a text, A-Z in lower case; words are runs of other than x20 and x09-x0D."""
-    raw = text.encode("utf-8", "surrogatepass").lower()  # bytes.lower() and bytes.split() know ASCII alone
+    return hashed(text.encode("utf-8", "surrogatepass").lower(), memo)  # bytes.lower() and bytes.split() know ASCII alone
+
+
+def plain_hashes(text: str, memo: WordHash) -> np.ndarray:
+    """Hashes of the words of a text in lower case, with ASCII punctuation taken as white space."""
+    return hashed(text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN), memo)
+
+
+def hashed(raw: bytes, memo: WordHash) -> np.ndarray:
     if len(raw) <= CHUNK:
         return np.array(list(map(memo.__getitem__, raw.split())), dtype=np.uint64)
     parts, at = [], 0

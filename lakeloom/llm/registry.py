@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, jaccard, langid, media, mixing, pii, quality, secret_scan
+from lakeloom.llm import chat, decontaminate, jaccard, langid, media, mixing, pii, quality, secret_scan, tokencount
 from lakeloom.llm.common import read
 
 
@@ -34,6 +34,16 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text before and after its redactions, the latter counted from the edits."""
+    return tokencount.count_redactions(read(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered from each participant's side."""
+    return chat.rotate(read(spark, sf_dir, "conversations"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item that leaked into it."""
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -59,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op3_media_columns": op3_media_columns,
     "op4_source_mix": op4_source_mix,
+    "op5_token_counts": op5_token_counts,
+    "op6_chat_format": op6_chat_format,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat.SQL}

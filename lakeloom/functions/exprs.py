@@ -78,7 +78,7 @@ def wavg_nonnull(x, w) -> Column:
 def diff(home, away, flip: bool = False) -> Column:
     """home - away with a missing side as 0; flip where less is better."""
     d = nz(home, 0.0) - nz(away, 0.0)
-    return -d if flip else d
+    return 0.0 - d if flip else d
 
 
 def pythagorean(scored, allowed, exponent: float = 11.5) -> Column:

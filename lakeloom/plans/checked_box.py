@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import exprs as X
 from lakeloom.operators import joins, ratings, sorting, upsert, windows
-from lakeloom.plans import steps
+from lakeloom.plans import features, steps
 from lakeloom.sources import boxscores
 
 ROUNDS = 10
@@ -479,6 +479,50 @@ def t5_overlay(spark: SparkSession, d: str) -> DataFrame:
 SQL_T5 = "SELECT k AS game_no, MAX(rolling_ppg) FILTER (WHERE player_id = 1) AS p1, MAX(rolling_ppg) FILTER (WHERE player_id = 2) AS p2, MAX(rolling_ppg) FILTER (WHERE player_id = 3) AS p3 FROM (SELECT player_id, rolling_ppg, ROW_NUMBER() OVER (PARTITION BY player_id ORDER BY game_date, game_id) AS k FROM roll WHERE player_id IN (1, 2, 3) AND season = 1995) GROUP BY k"
 
 
+def n1_team_form(spark: SparkSession, d: str) -> DataFrame:
+    """A team's season up to each game."""
+    f = features.team_form(steps.estimate_rebounds(_scores(spark, d).team_games))
+    return f.select("season", "team_id", "game_id", *[X.round_n(c, 6).alias(c) for c in features.TEAM])
+
+
+def _n1_sql() -> str:
+    w = "OVER (PARTITION BY team_id, season ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    s = lambda c: f"CAST(SUM({c}) {w} AS DOUBLE)"
+    n = lambda c: f"COALESCE(COUNT(*) FILTER (WHERE {c}) {w}, 0)"
+    raw = ", ".join(f"{s(c)} AS {a}" for a, c in {"fga": "fga", "orb": "off_rebounds", "tov": "turnovers", "fta": "fta", "fgm": "fgm", "tpm": "tpm", "drb": "def_rebounds", "pts": "points", "ofga": "o_fga", "oorb": "o_orb", "otov": "o_tov", "ofta": "o_fta", "ofgm": "o_fgm", "otpm": "o_tpm", "odrb": "o_drb", "opts": "o_pts"}.items())
+    wins = ", ".join(f"{n(c)} AS {a}" for a, c in {"wn": "points > o_pts", "ls": "points < o_pts", "rw": "points > o_pts AND NOT is_home", "rl": "points < o_pts AND NOT is_home"}.items())
+    ps, op = "(fga - orb + tov + 0.44e0 * fta)", "(ofga - oorb + otov + 0.44e0 * ofta)"
+    half = lambda a, b: f"(CASE WHEN {a} + {b} > 0 THEN CAST({a} AS DOUBLE) / ({a} + {b}) ELSE 0.5e0 END)"
+    py = "COALESCE(pow(pts, 11.5e0) / NULLIF(pow(pts, 11.5e0) + pow(opts, 11.5e0), 0e0), 0.5e0)"
+    out = {"win_pct": half("wn", "ls"), "road_win_pct": half("rw", "rl"), "pythag_win_pct": py, "point_diff": "pd", "adj_tempo": pos(f"(({ps} + COALESCE({op}, {ps})) / 2e0)", "games"), "effective_fg_pct": pos("(fgm + 0.5e0 * tpm)", "fga"), "turnover_pct": pos("tov", ps), "off_rebound_pct": pos("orb", "(orb + odrb)"), "ft_rate": pos("fta", "fga"), "opp_effective_fg_pct": pos("(ofgm + 0.5e0 * otpm)", "ofga"), "opp_turnover_pct": pos("otov", op), "def_rebound_pct": pos("drb", "(drb + oorb)"), "opp_ft_rate": pos("ofta", "ofga")}
+    both = "SELECT t.*, o.points AS o_pts, o.fgm AS o_fgm, o.fga AS o_fga, o.tpm AS o_tpm, o.fta AS o_fta, o.off_rebounds AS o_orb, o.def_rebounds AS o_drb, o.turnovers AS o_tov FROM tg t LEFT JOIN tg o ON o.game_id = t.game_id AND o.team_id = t.opponent_id"
+    return sql(f"SELECT season, team_id, game_id, {', '.join(f'{rnd(e, 6)} AS {c}' for c, e in out.items())} FROM (SELECT season, team_id, game_id, {raw}, {wins}, AVG(points - o_pts) {w} AS pd, CAST(COUNT(*) {w} AS DOUBLE) AS games FROM ({both}))")
+
+
+def n2_roster(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted form of the players of each game, the most used one's points, depth and trends."""
+    f = features.roster(steps.fill_player_games(_scores(spark, d).player_games), 3, 8.0)
+    return f.select("season", "team_id", "game_id", "roster_size", *[X.round_n(c, 6).alias(c) for c in features.ROSTER if c != "roster_size"])
+
+
+def _n2_sql() -> str:
+    w = "OVER (PARTITION BY player_id, team_id, season ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    r = w.replace("UNBOUNDED PRECEDING AND", "5 PRECEDING AND")
+    means = ", ".join(f"AVG({c}) {w} AS {a}" for a, c in {"mpg": "minutes", "ppg": "points", "rpg": "total_rebounds", "apg": "assists", "spg": "steals", "bpg": "blocks", "topg": "turnovers", "gs": "game_score"}.items())
+    inner = f"SELECT season, team_id, game_id, player_id, COUNT(*) {w} AS g, {means}, {pos(f'SUM(points) {w}', f'(2e0 * ((SUM(fga) {w}) + 0.44e0 * (SUM(fta) {w})))')} AS ts_pct, {pos(f'((SUM(fgm) {w}) + 0.5e0 * (SUM(tpm) {w}))', f'(SUM(fga) {w})')} AS efg_pct, AVG(points) {r} AS r_ppg, AVG(game_score) {r} AS r_gs FROM pg WHERE minutes > 0"
+    avg = lambda c: rnd(div(f"SUM({c} * wt)", f"SUM(CASE WHEN {c} IS NOT NULL THEN wt END)"), 6)
+    cols = ", ".join(f"{avg(c)} AS w_{c}" for c in ("ppg", "rpg", "apg", "spg", "bpg", "topg", "ts_pct", "efg_pct"))
+    return sql(f"SELECT season, team_id, game_id, COUNT(*) AS roster_size, {cols}, {rnd('arg_max(ppg, (wt, -player_id))', 6)} AS star_ppg, {rnd('stddev_samp(mpg)', 6)} AS minutes_stddev, {avg('ppg_trend')} AS w_ppg_trend, {avg('gs_trend')} AS w_gs_trend FROM (SELECT *, mpg * g AS wt, r_ppg - ppg AS ppg_trend, r_gs - gs AS gs_trend FROM ({inner}) WHERE g >= 3 AND mpg >= 8) GROUP BY season, team_id, game_id")
+
+
+def n9_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The whole matrix with as-of ratings and Elo (no oracle: parts have theirs, leakage is tested)."""
+    s = _scores(spark, d)
+    pg, tg = steps.fill_player_games(s.player_games), steps.estimate_rebounds(s.team_games)
+    dates = tg.select(F.trunc("game_date", "year").alias("as_of")).distinct()
+    return features.matrix(_games(spark, d), pg, tg, s.teams, ratings.by_date(tg, dates, ROUNDS))
+
+
 QUERIES = {
     "q01_rankings": (q01_rankings, lambda: sql(SQL_Q01)),
     "q02_profile_ranks_include_nulls": (q02_profile, lambda: sql(SQL_Q02)),
@@ -507,6 +551,9 @@ QUERIES = {
     "k1_adjusted_rating": (k1_adjusted, lambda: sql(SQL_K1)),
     "k2_rating_by_date": (k2_by_date, lambda: f"WITH {chain()}, {DAYS}\n{SQL_K2}"),
     "k3_elo": (k3_elo, None),
+    "n1_team_form": (n1_team_form, _n1_sql),
+    "n2_n3_roster_form": (n2_roster, _n2_sql),
+    "n9_feature_matrix": (n9_matrix, None),
     "n8_matchup_features": (n8_matchups, _n8_sql),
     "f11_f15_expanding_prior": (f11_expanding, lambda: sql(SQL_F11)),
     "t4_standouts": (t4_standouts, lambda: sql(SQL_T4)),

@@ -1,16 +1,17 @@
 """Exact self-join of texts on the Jaccard similarity of their word shingles, with signature trees.
 
 1. Each text becomes its set of hashed shingles; texts with equal sets share a node, so copies are never paired.
-2. Routing. Under one order of all shingles (by hash; those found often come last, most frequent at the very end) two sets with
-   similarity t share a shingle among the first n - ceil(t n) + 1 of each. Nodes that share such a shingle are connected, and
-   the connected parts are the regions in which links can lie: no link is lost, whatever the order.
-3. In each region a signature tree is built: leaves are sets by size, inner nodes hold OR-combined bitmaps and size ranges. A traversal of
+2. Sets that can have no partner leave: of n shingles a partner shares ceil(t n) at least, so a set with more than n - ceil(t n) shingles that
+   no other set has is alone. A fixed part of the hash range (LOW) is counted for that, by one aggregation over (shingle, node); this
+   takes away all but families of near copies, short texts and texts made of common passages.
+3. Routing of the rest. Under one order of all shingles two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each,
+   whatever the order. Counted shingles come first here, the rarest first, so passages that many texts share route nothing. Nodes that
+   share such a shingle are connected, and the connected parts are the regions in which links can lie: no link is lost.
+4. In each region a signature tree is built: leaves are sets by size, inner nodes hold OR-combined bitmaps and size ranges. A traversal of
    node pairs from (root, root) drops pairs whose size ranges or whose largest possible overlap rule out similarity t, and pairs
    that links already connect. What is left is compared exactly. Regions of more than BLOCK_SETS sets or BLOCK_SHINGLES shingles are cut into
    blocks, and each pair of blocks is a task of its own.
-4. Links span each connected group; components follow from them.
-
-Shared state is a table of the most frequent shingles (HEAVY rows at most), which only serves the order and not the result.
+5. Links span each connected group; components follow from them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import short_batches, stored
@@ -27,7 +29,8 @@ from lakeloom.llm.shingles import WordHash, shingle_set, word_hashes
 
 #: Similarity as a fraction: 75 / 100.
 NUM, DEN = 3, 4
-HEAVY = 100_000
+LOW = np.uint64(int(0.36 * 2**64))
+OWNER = (1 << 48) - 1
 BLOCK_SETS, BLOCK_SHINGLES = 1_500, 1_500_000
 FAN = 8
 
@@ -122,97 +125,110 @@ class SignatureTree:
 # ---- the join
 
 
-def _heavy(docs: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles seen in most texts, sorted, with counts. Repeats inside a task's stretch of texts are counted; single ones don't matter."""
+def _node(s: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
-    def op(batches):
-        memo, held, size = WordHash(), [], 0
 
-        def out():
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pd.DataFrame({"s": v[c > 2].view(np.int64), "n": c[c > 2]})
+def _set_of(text: object, memo: WordHash) -> np.ndarray:
+    return shingle_set(word_hashes(text, memo)) if isinstance(text, str) else np.zeros(0, np.uint64)
 
-        for b in batches:
-            for text in b["text"]:
-                s = shingle_set(word_hashes(text, memo))
-                held.append(s[: np.searchsorted(s, np.uint64(1 << 63))])  # the first shingles of a text come from the lower half
-                size += len(held[-1])
-            if size > 3_000_000:
-                yield out()
-                size = 0
-        if held:
-            yield out()
-
-    rows = docs.select("text").where("text is not null").mapInPandas(op, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.col("n").desc(), "s").limit(most).toPandas()
-    s, n = top["s"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    at = np.argsort(s)
-    return s[at], n[at]
-
-
-def _first(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The shingles of a set, one of which any similar set shares among its own."""
-    take = len(s) - -(-NUM * len(s) // DEN) + 1
-    names, counts = heavy
-    if len(names):
-        at = np.searchsorted(names, s)
-        at[at == len(names)] = 0
-        s = s[np.argsort(np.where(names[at] == s, counts[at], 0), kind="stable")]
-    return s[:take]
-
-
-def _sets(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, node, first): node is a hash of the whole set, null without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(id, n, node): node is a hash of the whole set, null without words."""
 
     def op(batches):
         memo = WordHash()
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                s = shingle_set(word_hashes(text, memo)) if isinstance(text, str) else np.zeros(0, np.uint64)
-                rows.append((len(s), _node(s), _first(s, shared.value).view(np.int64) if len(s) else []))
-            yield pd.DataFrame({"id": b["id"], "n": [r[0] for r in rows], "node": pd.array([r[1] for r in rows], dtype="Int64"), "first": [r[2] for r in rows]})
+            found = [_set_of(t, memo) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in found], "node": pd.array([_node(s) for s in found], dtype="Int64")})
 
-    return docs.mapInPandas(op, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long, first array<long>")
+    return docs.mapInPandas(op, f"id {docs.schema['id'].dataType.simpleString()}, n long, node long")
 
 
-def _node(s: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+def _cut(s: np.ndarray) -> np.ndarray:
+    """Shingles in 44 bits, for counting and routing: what falls together there only counts as shared."""
+    return (s >> np.uint64(18)).astype(np.int64)
 
 
-def _regions(sets: DataFrame) -> DataFrame:
-    """(v, c): the region c of each node v that shares one of its first shingles with another node."""
-    rows = sets.where("node is not null").select(F.explode("first").alias("s"), "node")
-    shared = stored(rows.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(F.col("s").alias("k"), "least"), "jaccard-shared")
-    pairs = rows.join(shared, F.col("s") == F.col("k")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    return components(pairs, "jaccard-regions")
+def _low(s: np.ndarray) -> np.ndarray:
+    return np.unique(_cut(s[: np.searchsorted(s, LOW)]))
 
 
-def _links(docs: DataFrame, sets: DataFrame, regions: DataFrame) -> DataFrame:
-    """(a, b): links that span the similar nodes of each region."""
-    spark = docs.sparkSession
-    members = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    members = stored(members.join(regions, F.col("node") == F.col("v")).select("node", "rep", "n", "c"), "jaccard-members")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    packs = int(total // BLOCK_SHINGLES) + 1
-    sizes = members.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    members = members.join(sizes.withColumnRenamed("c", "c2"), F.col("c") == F.col("c2")).withColumn("own", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
-    texts = docs.join(members, F.col("id") == F.col("rep")).select("text", "node", "c", "own", "blocks")
-
-    def tokens(batches):
+def _counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Over the low shingles of all texts: (o, own), how many of each owner's no other has, and (k, cnt), how often each shared one is found.
+    Owners are nodes cut to 48 bits."""
+
+    def op(batches):
         memo = WordHash()
         for b in batches:
-            found = [shingle_set(word_hashes(t, memo)) for t in b["text"]]
+            low = [(_low(s), _node(s) & OWNER) for s in (_set_of(t, memo) for t in b["text"]) if len(s)]
+            if low:
+                yield pd.DataFrame({"s": np.concatenate([s for s, _ in low]), "o": np.repeat(np.array([n for _, n in low], np.int64), [len(s) for s, _ in low])})
+
+    found = docs.mapInPandas(op, "s long, o long").groupBy("s").agg(F.min("o").alias("o"), F.max("o").alias("most"), F.count("*").alias("c"))
+    alone = F.col("o") == F.col("most")
+    both = stored(found.groupBy(F.when(alone, F.col("o")).alias("o"), F.when(~alone, F.col("s")).alias("k")).agg(F.count("*").alias("own"), F.max("c").alias("cnt")), "jaccard-low")
+    return both.where("k IS NULL").select("o", "own"), both.where("k IS NOT NULL").select("k", "cnt")
+
+
+def _partnered(sets: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, n, rep, own): the nodes that may have a partner; rep is the least id of a node's texts."""
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n")).withColumn("owner", F.col("node").bitwiseAND(F.lit(OWNER)))
+    spare = F.col("n") - F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN))
+    return nodes.join(own, F.col("owner") == F.col("o"), "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= spare).select("node", "n", "rep", "own")
+
+
+def _tokens(docs: DataFrame, partnered: DataFrame) -> DataFrame:
+    """(node, n, own, tokens) of these nodes, once each but for repeated ids."""
+
+    def op(batches):
+        memo = WordHash()
+        for b in batches:
+            found = [_set_of(t, memo) for t in b["text"]]
             real = [_node(s) == n for s, n in zip(found, b["node"], strict=True)]  # an id may stand for several texts
             out = b.drop(columns="text")
             out["tokens"] = [s.tobytes() for s in found]
             yield out[real]
 
-    # small regions share tasks; of a large one, each pair of blocks is a task
-    rows = texts.mapInPandas(tokens, "node long, c long, own int, blocks int, tokens binary")
+    texts = docs.join(partnered, F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "n", "own")
+    return texts.mapInPandas(op, "node long, n long, own long, tokens binary")
+
+
+def _regions(tokens: DataFrame, shared: DataFrame) -> DataFrame:
+    """(v, c): the region c of each node v that shares one of its first shingles with another node.
+
+    The order of shingles: low ones by count, then the rest by hash. A set's own ones come first and route nowhere; `need` is how many of
+    the shared ones follow them. Where the low ones do not suffice, Python adds the first of the rest.
+    """
+
+    def op(batches):
+        for b in batches:
+            parts = []
+            for node, n, own, raw in zip(b["node"], b["n"], b["own"], b["tokens"], strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                low, need = _low(s), n + 1 - -(-NUM * n // DEN) - own
+                rest = _cut(s[np.searchsorted(s, LOW) :][: max(need - (len(low) - own), 0)])
+                parts += [(low, node, need, False), (rest, node, need, True)]
+            sizes = [len(x[0]) for x in parts]
+            yield pd.DataFrame({"s": np.concatenate([x[0] for x in parts]), "node": np.repeat(np.array([x[1] for x in parts], np.int64), sizes), "need": np.repeat(np.array([x[2] for x in parts], np.int64), sizes), "rest": np.repeat(np.array([x[3] for x in parts], bool), sizes)})
+
+    rows = tokens.mapInPandas(op, "s long, node long, need long, rest boolean")
+    low = rows.where("NOT rest").join(shared, F.col("s") == F.col("k")).withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("cnt", "s")))
+    first = stored(low.where("at <= need").select("s", "node").unionByName(rows.where("rest").select("s", "node")), "jaccard-first")
+    least = first.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(F.col("s").alias("k"), "least")
+    pairs = first.join(least, F.col("s") == F.col("k")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return components(pairs, "jaccard-regions")
+
+
+def _links(tokens: DataFrame, regions: DataFrame) -> DataFrame:
+    """(a, b): links that span the similar nodes of each region."""
+    members = stored(tokens.select("node", "n").join(regions, F.col("node") == F.col("v")).select("v", "n", "c"), "jaccard-members")
+    packs = int((members.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES) + 1
+    sizes = members.groupBy(F.col("c").alias("c2")).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    place = members.join(sizes, F.col("c") == F.col("c2")).select("v", "c", "blocks").distinct()
+    rows = tokens.join(place, F.col("node") == F.col("v")).withColumn("own", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # small regions share tasks; of a large one, each pair of blocks is a task
     large = F.col("blocks") > 1
     rows = rows.withColumn("g", F.when(large, F.col("c")).otherwise(F.pmod(F.xxhash64("c"), F.lit(packs))))
     rows = rows.withColumn("i", F.when(large, F.least("own", "other")).otherwise(-1)).withColumn("j", F.when(large, F.greatest("own", "other")).otherwise(-1))
@@ -236,8 +252,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     short_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = stored(_sets(src, _heavy(src)), "jaccard-sets")
-    links = _links(src, sets, _regions(sets))
+    sets = stored(_sets(src), "jaccard-sets")
+    own, shared = _counts(src)
+    tokens = stored(_tokens(src, _partnered(sets, own)), "jaccard-tokens")
+    links = _links(tokens, _regions(tokens, shared))
     groups = components(stored(links, "jaccard-links"), "jaccard-groups")
     least = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"))
     least = least.join(groups, F.col("node") == F.col("v"), "left").select("node", "rep", F.coalesce("c", "node").alias("c"))
@@ -245,3 +263,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = least.join(names.withColumnRenamed("c", "c2"), F.col("c") == F.col("c2")).select(F.col("node").alias("node2"), "name")
     out = sets.select("id", "n", "node").join(named, F.col("node") == F.col("node2"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+
+
+#: The same rows in DuckDB by plain self-join, for tables of a size where that ends.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))
+), reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT y, c FROM reach JOIN links ON x = reach.doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, MIN(c) AS component_id FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, s.s
+"""

@@ -129,17 +129,19 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bucket = F.pmod(F.xxhash64(F.lit(p.seed), F.col("lid").cast("string")), F.lit(1 << 30))
     picked = given.where(bucket < int((1 << 30) * min(1.0, 0.9 * p.sample / max(n, 1)))).limit(p.sample)
     known = rows.where("not empty").join(F.broadcast(picked), F.col("id") == F.col("lid")).select("x", "y").limit(p.sample).collect()  # p.sample rows
+    known.sort(key=lambda r: (r["x"], r["y"]))
     w, bias = logistic(np.array([r["x"] for r in known]).reshape(len(known), len(NAMES)), np.array([float(r["y"] > 0) for r in known]), p)
     terms = [F.lit(float(c)) * F.get("x", F.lit(i)) for i, c in enumerate(w)]
     logodds = F.least(F.greatest(sum(terms, F.lit(bias)), F.lit(-12.0)), F.lit(12.0))
-    rows = rows.withColumn("l", logodds).withColumn("q", F.when(F.col("empty"), F.lit(0.0)).otherwise(_sigmoid(F.col("l"))))
+    rows = rows.withColumn("l", logodds).withColumn("q", F.when(F.col("empty"), F.lit(0.0)).otherwise(F.round(_sigmoid(F.col("l")), 9)))
 
-    # sums by path and by host; three variances
-    paths = stored(rows.where("not empty").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("q").alias("s"), F.sum(F.col("q") * F.col("q")).alias("s2")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("s2").alias("hs2"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+    # sums by path and by host; three variances. Sums of decimals do not depend on the order of rows, so reruns agree
+    exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")
+    paths = stored(rows.where("not empty").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), exact(F.col("q")).alias("s"), exact(F.col("q") * F.col("q")).alias("s2")), "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), exact(F.col("s")).alias("hs"), exact(F.col("s") * F.col("s") / F.col("n")).alias("between"), exact(F.col("s2")).alias("hs2"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("n2"))
     t = hosts.agg(
-        F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum("hs2").alias("s2"), F.sum("k").alias("paths"), F.count("*").alias("hosts"), F.sum("between").alias("of_paths"),
-        F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("of_hosts"), F.sum(F.col("hn") * F.col("hn")).alias("hn2"), F.sum(F.col("n2") / F.col("hn")).alias("pn2"),
+        F.sum("hn").alias("n"), exact(F.col("hs")).alias("s"), exact(F.col("hs2")).alias("s2"), F.sum("k").alias("paths"), F.count("*").alias("hosts"), exact(F.col("between")).alias("of_paths"),
+        exact(F.col("hs") * F.col("hs") / F.col("hn")).alias("of_hosts"), exact(F.col("hn") * F.col("hn")).alias("hn2"), exact(F.col("n2") / F.col("hn")).alias("pn2"),
     ).first()
     total = t["n"] or 0.0
     mean = (t["s"] / total) if total else 0.5

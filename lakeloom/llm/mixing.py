@@ -83,3 +83,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = ranked.alias("a").join(buckets.alias("b"), F.expr("a.source <=> b.source and a.cls = b.cls and a.bucket = b.bucket"))
     copies = F.col("whole") + F.when(F.col("skip") + F.col("rank") <= F.col("m"), 1).otherwise(0)
     return out.select(F.col("id").alias(id_col), F.col("a.source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+#: The rows of mix(documents) in DuckDB; without parts, since one task ranks all.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('17:' || COALESCE(CAST(doc_id AS VARCHAR), '\N')), 1, 8) AS UBIGINT) AS h FROM documents
+), c AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS cls FROM d),
+src AS (SELECT source, CAST(SUM(size) AS BIGINT) AS ss FROM d GROUP BY source),
+wt AS (SELECT source, ss, ss * 3e0 AS cap, CAST((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM src),
+lv AS (
+  SELECT *, (SUM(CAST(ss AS DOUBLE)) OVER () - COALESCE(SUM(cap) OVER o, 0e0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER o, 0e0)) AS level
+  FROM wt WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), wl AS (SELECT arg_min(level, cap / w) AS l FROM lv WHERE cap >= w * level),
+tg AS (SELECT source, ss, least(cap, w * COALESCE((SELECT l FROM wl), 0e0)) AS target FROM wt),
+rt AS (SELECT *, CASE WHEN ss > 0 THEN target / ss ELSE 0e0 END AS rate FROM tg),
+cl AS (
+  SELECT k.source, cls, n, words, rate - floor(rate) AS part, ROW_NUMBER() OVER (PARTITION BY k.source ORDER BY cls DESC) AS i
+  FROM (SELECT source, cls, COUNT(*) AS n, CAST(SUM(size) AS DOUBLE) AS words FROM c GROUP BY source, cls) k JOIN rt ON rt.source IS NOT DISTINCT FROM k.source WHERE words > 0
+), pl AS (
+  SELECT source, cls, i, words AS seen, m, m * (words / n) AS got FROM (SELECT *, least(greatest(CAST(round((words * part) / (words / n)) AS BIGINT), 0), n) AS m FROM cl WHERE i = 1)
+  UNION ALL
+  SELECT source, cls, i, seen, m, got + m * (words / n) FROM (
+    SELECT x.source, x.cls, x.i, pl.seen + x.words AS seen, pl.got, x.words, x.n, least(greatest(CAST(round(((pl.seen + x.words) * x.part - pl.got) / (x.words / x.n)) AS BIGINT), 0), x.n) AS m
+    FROM pl JOIN cl x ON x.source IS NOT DISTINCT FROM pl.source AND x.i = pl.i + 1)
+), rk AS (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY source, cls ORDER BY h, doc_id NULLS LAST, size) AS k FROM c)
+SELECT doc_id, size, ss AS source_size, target, CAST((least(floor(rate), 3) + CASE WHEN k <= COALESCE(m, 0) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM rk JOIN rt ON rt.source IS NOT DISTINCT FROM rk.source LEFT JOIN pl ON pl.source IS NOT DISTINCT FROM rk.source AND pl.cls = rk.cls
+"""

@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_source_mix": mixing.SQL, "op6_chat_format": chat.SQL, "op10_jaccard_join": jaccard.SQL}

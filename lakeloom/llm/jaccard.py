@@ -190,7 +190,8 @@ def _tokens(docs: DataFrame, partnered: DataFrame) -> DataFrame:
             out["tokens"] = [s.tobytes() for s in found]
             yield out[real]
 
-    texts = docs.join(partnered, F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "n", "own")
+    # always by shuffle: the table of partnered nodes grows with the input, so no size of it should be broadcast
+    texts = docs.join(partnered.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "n", "own")
     return texts.mapInPandas(op, "node long, n long, own long, tokens binary")
 
 

@@ -227,7 +227,8 @@ def _links(tokens: DataFrame, regions: DataFrame) -> DataFrame:
     packs = int((members.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES) + 1
     sizes = members.groupBy(F.col("c").alias("c2")).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     place = members.join(sizes, F.col("c") == F.col("c2")).select("v", "c", "blocks").distinct()
-    rows = tokens.join(place, F.col("node") == F.col("v")).withColumn("own", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
+    # by shuffle at every size, as above: places grow with the input
+    rows = tokens.join(place.hint("merge"), F.col("node") == F.col("v")).withColumn("own", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # small regions share tasks; of a large one, each pair of blocks is a task
     large = F.col("blocks") > 1

@@ -7,28 +7,65 @@ import re
 import numpy as np
 import xxhash
 
-#: Bytes of a text that are split into words at a time.
-CHUNK = 1 << 22
+#: Bytes of a text that are split into words at a time; a longer word has a hash of another kind, wherever it stands.
+CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_SPACES = [bytes([i]) for i in (32, *range(9, 14))]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLAIN = bytes(i if i > 126 or chr(i).isalnum() else 32 for i in range(256))
+_GAP = np.array([i == 32 or 9 <= i <= 13 for i in range(256)])
 
 
-class WordHash(dict):
-    """Hashes of words, remembered; bounded."""
+def _inverse(x: int) -> int:
+    """Of an odd number, modulo 2^64."""
+    y = x
+    for _ in range(6):
+        y = y * (2 - x * y) % (1 << 64)
+    return y
 
-    LIMIT = 300_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+#: What each byte adds to a word's sum: 64 mixed bits, 0 for white space.
+_BYTE = np.where(_GAP, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)))
+
+
+class WordHash:
+    """Hashes all words of a stretch of text at once: a word's hash is a polynomial in _BASE over its bytes, mixed. Sums are taken with the powers
+    of places in the stretch and then divided by the power of the word's start. Powers are kept and grow with the longest stretch."""
+
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.zeros(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        size = 1 << max(n - 1, 1 << 12).bit_length()
+        for name, base in (("powers", _BASE), ("inverses", _inverse(_BASE))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            setattr(self, name, np.multiply.accumulate(steps))
+
+    def of(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words of raw, in order."""
+        b = np.frombuffer(raw, np.uint8)
+        if len(b) > len(self.powers):
+            self._grow(len(b))
+        gap = _GAP[b]
+        first = ~gap
+        first[1:] &= gap[:-1]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        sums = np.add.reduceat(_BYTE[b] * self.powers[: len(b)], starts)
+        return mixed(sums * self.inverses[starts])
 
 
 def word_hashes(text: str, memo: WordHash) -> np.ndarray:
     """Hashes of the words of a text, A-Z in lower case; words are runs of other than x20 and x09-x0D."""
-    return hashed(text.encode("utf-8", "surrogatepass").lower(), memo)  # bytes.lower() and bytes.split() know ASCII alone
+    return hashed(text.encode("utf-8", "surrogatepass").lower(), memo)  # bytes.lower() knows ASCII alone
 
 
 def plain_hashes(text: str, memo: WordHash) -> np.ndarray:
@@ -38,22 +75,19 @@ def plain_hashes(text: str, memo: WordHash) -> np.ndarray:
 
 def hashed(raw: bytes, memo: WordHash) -> np.ndarray:
     if len(raw) <= CHUNK:
-        return np.array(list(map(memo.__getitem__, raw.split())), dtype=np.uint64)
+        return memo.of(raw)
     parts, at = [], 0
     while at < len(raw):
         gap = _SPACE.search(raw, min(at + CHUNK, len(raw)))
         end = gap.start() if gap else len(raw)
-        parts.append(np.array(list(map(memo.__getitem__, raw[at:end].split())), dtype=np.uint64))
+        if end - at > CHUNK and end - (last := max(at, *(raw.rfind(c, at, end) + 1 for c in _SPACES))) > CHUNK:  # the last word is a long one
+            parts += [memo.of(raw[at:last]), np.array([xxhash.xxh3_64_intdigest(raw[last:end])], np.uint64)]
+        else:
+            parts.append(memo.of(raw[at:end]))
         at = end
     return np.concatenate(parts)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     """Distinct k-word shingles, sorted; with fewer words, the whole sequence as one; without words, none."""
     n = len(words)

@@ -18,7 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import stored
-from lakeloom.llm.spans import joined, located
+from lakeloom.llm.spans import bound, joined, located, pieces
+from lakeloom.llm.spans import scan as folded
 
 MIN_TOKEN = 20
 PASS = 0.001
@@ -129,6 +130,28 @@ def _cuts(tokens: DataFrame) -> DataFrame:
     return bins.where(passed & (F.col("rank") > 0)).groupBy("length_class").agg(F.min("bin").alias("cut"))
 
 
+_ORDER = [*(k.name for k in KINDS), "random"]
+
+
+def _by_start(spans: Column) -> Column:
+    """Spans by start, then kind as listed."""
+    order = F.array(*[F.lit(k) for k in _ORDER])
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).cast("int").alias("place"), s["end"].alias("end")))
+    return F.transform(F.sort_array(keyed), lambda s: F.struct(F.element_at(order, s["place"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _outside(found: Column, base: Column) -> Column:
+    """Found stretches (start, end) that lie in no base span, as spans of the kind random: one pass over both in order of their starts."""
+    keyed = lambda x, new: F.transform(x, lambda s: F.struct(s["start"].alias("start"), F.lit(new).alias("new"), s["end"].alias("end")))
+
+    def step(reach: Column, s: Column) -> tuple[Column, Column]:
+        span = F.array(F.struct(F.lit("random").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.when(s["new"] == 0, F.greatest(reach, s["end"])).otherwise(reach), F.when((s["new"] == 1) & (s["end"] > reach), span).otherwise(F.array().cast(SPANS))
+
+    both = folded(F.sort_array(F.concat(keyed(base, 0), keyed(found, 1))), F.lit(0), step, SPANS)["out"]
+    return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(both)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(id, base, random): arrays of spans (kind, start, end), by start and then kind; with `keep`, (kept, base, random), where kept is the
     whole row of docs as a struct, so that no name of its columns can clash.
@@ -139,25 +162,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """
     kept = F.struct("*") if keep else F.col(id_col)
     rows = docs.select(kept.alias("kept"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    place = {k.name: i for i, k in enumerate(KINDS)}
-    at = lambda x: F.coalesce(*[F.when(x["kind"] == n, F.lit(i)) for n, i in place.items()])
-    base = F.concat(*[find_base(F.col("t"), k) for k in KINDS])
-    base = F.array_sort(base, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(at(a) - at(b)))
+    base = _by_start(F.concat(*[find_base(F.col("t"), k) for k in KINDS]))
     tokens = F.when(F.rlike("t", F.lit(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN}}}")), located(F.col("t"), TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
     found = stored(rows.select(F.monotonically_increasing_id().alias("row"), "kept", base.alias("base"), tokens.alias("tokens")), "secrets")
     tested = stored(_tests(found.select("row", F.explode("tokens").alias("x")).select("row", "x.*")).select("row", "start", "end", "encoding", "length_class", "bin", "p_random"), "secret-tokens")
     real = tested.join(F.broadcast(_cuts(tested)), "length_class").where((F.col("bin") >= F.col("cut")) & (F.col("p_random") >= PASS))
     spans = real.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
-    new = F.filter(F.coalesce("r", F.array().cast("array<struct<start:int,end:int>>")), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    random = F.transform(new, lambda s: F.struct(F.lit("random").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    random = _outside(F.coalesce("r", F.array().cast("array<struct<start:int,end:int>>")), F.col("base"))
     return found.join(spans, "row", "left").select(F.col("kept").alias("kept" if keep else id_col), "base", random.alias("random"))
 
 
 def merged(base: Column, random: Column) -> Column:
     """All spans by start, kind: base kinds as listed, then random."""
-    order = F.array(*[F.lit(k.name) for k in KINDS], F.lit("random"))
-    place = lambda s: F.array_position(order, s["kind"]).cast("int")
-    return F.array_sort(F.concat(base, random), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(place(a) - place(b)))
+    return _by_start(F.concat(base, random))
 
 
 def scan_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,13 +184,13 @@ def scan_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """The text with each stretch that spans cover replaced by `mask`. spans: by start; they may overlap."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each stretch that spans cover replaced by `mask`. spans: by start; they may overlap. Linear in the text and its spans."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.array(F.struct(at.alias("start"), s["start"].alias("end")))
+        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast(cuts)).otherwise(gap)
 
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    cuts = "array<struct<start:int,end:int>>"
+    rest = lambda done: F.array(F.struct(done["state"].alias("start"), F.length(text).alias("end")))
+    clean = bound(folded(spans, F.lit(0), step, cuts), lambda done: F.array_join(pieces(text, F.concat(done["out"], rest(done))), mask))
+    return F.when(F.size(spans) == 0, text).otherwise(clean)

@@ -1,16 +1,16 @@
 """Token counts that follow edits: a segment tree of pre-tokens per document.
 
 A byte-level BPE vocabulary never merges across pre-tokens, so a text's count is the sum of its pre-tokens' counts. A CountTree keeps runs of LEAF
-pre-tokens with their lengths and counts, and sums over subtrees. An edit re-encodes from one pre-token before the first one that it can
+pre-tokens with their text, lengths and counts, and sums over subtrees. An edit re-encodes from one pre-token before the first one that it can
 touch and on, until a boundary of the new text falls on a boundary of the old one behind the edit; from there on both texts are cut
-alike, since a match depends only on what follows it. Leaves in between are replaced, and only sums above them change.
+alike, since a match depends only on what follows it. Leaves in between are replaced, and only sums above them change. Where leaves
+become more, those of the smallest subtree around them that has room are spread anew, so many edits of one text stay cheap.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import short_batches
 from lakeloom.llm.spans import located
 
-LEAF = 64
+LEAF = 32
 #: Where the public vocabulary lies on the driver; it is read there once and broadcast (about 1 MB).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's pre-tokens are cut.
@@ -56,40 +56,64 @@ class Counter(dict):
 
 @dataclass
 class Leaf:
+    text: str
     lengths: list[int]
     counts: list[int]
-    length: int
-    count: int
 
 
-def _leaves(lengths: list[int], counts: list[int]) -> list[Leaf]:
-    return [Leaf(lengths[i : i + LEAF], counts[i : i + LEAF], sum(lengths[i : i + LEAF]), sum(counts[i : i + LEAF])) for i in range(0, len(lengths), LEAF)]
+def _leaves(text: str, lengths: list[int], counts: list[int]) -> list[Leaf]:
+    """One leaf, or of more than 2 * LEAF pre-tokens leaves of about LEAF each, so that a leaf that was cut takes many edits before the next cut."""
+    size = len(lengths) if len(lengths) <= 2 * LEAF else -(-len(lengths) // (len(lengths) // LEAF))
+    out, at = [], 0
+    for i in range(0, len(lengths), size or 1):
+        n = sum(lengths[i : i + size])
+        out.append(Leaf(text[at : at + n], lengths[i : i + size], counts[i : i + size]))
+        at += n
+    return out
 
 
 class CountTree:
-    """Sums over leaves in a binary tree; leaves may be replaced by others."""
+    """Sums over leaves in a binary tree of `width` places, some of them empty."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter, self.encoded = text, counter, 0
-        lengths, counts = self._encode(text, 0, len(text))
-        self._build(_leaves(lengths, counts))
+        self.counter, self.encoded = counter, 0
+        pieces = self._cut(text)
+        self._build(_leaves(text, list(map(len, pieces)), list(map(counter.__getitem__, pieces))))
 
-    def _encode(self, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
-        pieces = _CUT.findall(text[start:end] if (start, end) != (0, len(text)) else text)
+    def _cut(self, text: str) -> list[str]:
+        pieces = _CUT.findall(text)
         self.encoded += len(pieces)
-        return list(map(len, pieces)), list(map(self.counter.__getitem__, pieces))
+        return pieces
 
     def _build(self, leaves: list[Leaf]) -> None:
-        self.leaves = leaves
         self.width = 1
-        while self.width < max(len(leaves), 1):
+        while self.width < max(2 * len(leaves), 1):
             self.width *= 2
-        self.length = [0] * (2 * self.width)
-        self.count = [0] * (2 * self.width)
+        self.leaves: list[Leaf | None] = [None] * self.width
+        self.length, self.count = [0] * (2 * self.width), [0] * (2 * self.width)
+        self._spread(1, leaves)
+
+    def _spread(self, node: int, leaves: list[Leaf]) -> None:
+        """Put leaves evenly over the places below a node, in place of those there, and sum up."""
+        low = node
+        while low < self.width:
+            low *= 2
+        places = self.width >> (node.bit_length() - 1)
+        at = low - self.width
+        self.leaves[at : at + places] = [None] * places
         for i, leaf in enumerate(leaves):
-            self.length[self.width + i], self.count[self.width + i] = leaf.length, leaf.count
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
+            self.leaves[at + i * places // len(leaves)] = leaf
+        for i in range(low, low + places):
+            leaf = self.leaves[i - self.width]
+            self.length[i], self.count[i] = (sum(leaf.lengths), sum(leaf.counts)) if leaf else (0, 0)
+        first, last = low // 2, (low + places - 1) // 2
+        while first >= node and first:
+            for i in range(first, last + 1):
+                self._sum(i)
+            first, last = first // 2, last // 2
+        while node > 1:
+            node //= 2
+            self._sum(node)
 
     def _sum(self, i: int) -> None:
         self.length[i] = self.length[2 * i] + self.length[2 * i + 1]
@@ -99,8 +123,12 @@ class CountTree:
     def total(self) -> int:
         return self.count[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(leaf.text for leaf in self.leaves if leaf)
+
     def find(self, at: int) -> tuple[int, int]:
-        """The leaf in which offset `at` lies and where that leaf starts."""
+        """The leaf in which offset `at` lies, or the last one, and where that leaf starts."""
         i, start = 1, 0
         while i < self.width:
             i *= 2
@@ -109,67 +137,104 @@ class CountTree:
                 i += 1
         return i - self.width, start
 
+    def _replace(self, first: int, last: int, fresh: list[Leaf]) -> None:
+        """Leaves at places first to last give way to others."""
+        if len(fresh) <= last - first + 1:
+            for i in range(first, last + 1):
+                leaf = self.leaves[i] = fresh[i - first] if i - first < len(fresh) else None
+                n = self.width + i
+                self.length[n], self.count[n] = (sum(leaf.lengths), sum(leaf.counts)) if leaf else (0, 0)
+            low, high = (self.width + first) // 2, (self.width + last) // 2
+            while low:
+                for i in range(low, high + 1):
+                    self._sum(i)
+                low, high = low // 2, high // 2
+            return
+        # the smallest subtree around them that has room; the higher, the fuller it must not be
+        low, high, places = self.width + first, self.width + last, 1
+        while True:
+            if low == high:
+                at = low * places - self.width
+                kept = [x for x in self.leaves[at:first] if x] + fresh + [x for x in self.leaves[last + 1 : at + places] if x]
+                if len(kept) <= places * (0.5 + 0.4 / places.bit_length()):
+                    return self._spread(low, kept)
+                if low == 1:
+                    return self._build(kept)
+            low, high, places = low // 2, high // 2, places * 2
+
     def edit(self, start: int, end: int, new: str) -> int:
         """Replace text[start:end]; returns how many pre-tokens were encoded again."""
-        old, before = self.text, self.encoded
-        self.text = text = old[:start] + new + old[end:]
-        if not self.leaves:
-            self._build(_leaves(*self._encode(text, 0, len(text))))
+        before = self.encoded
+        if not self.length[1]:
+            pieces = self._cut(new)
+            self._build(_leaves(new, list(map(len, pieces)), list(map(self.counter.__getitem__, pieces))))
             return self.encoded - before
-        shift = len(text) - len(old)
         # from one pre-token before the one that holds the code point before the edit: a match looks one code point ahead at most
         first, at = self.find(max(start - 1, 0))
-        offsets = [at]
-        for n in self.leaves[first].lengths:
-            offsets.append(offsets[-1] + n)
-        k = bisect_right(offsets, max(start - 1, 0)) - 2
-        if k < 0 and first:
-            first -= 1
-            at -= self.leaves[first].length
-            k = len(self.leaves[first].lengths) - 1
-            offsets = [at]
-            for n in self.leaves[first].lengths:
-                offsets.append(offsets[-1] + n)
-        k = max(k, 0)
-        lengths, counts = self.leaves[first].lengths[:k], self.leaves[first].counts[:k]
-        # on, until the new boundaries meet the old ones behind the edit
-        last, edge = first, offsets[k]
-        j, behind, pos = k, self.leaves[first], offsets[k]
-        met = False
-        for m in _CUT.finditer(text, pos):
-            while edge + shift < pos or edge < end:  # the old boundary at or behind both
+        head, k, pos = self.leaves[first], 0, at
+        while k < len(head.lengths) - 1 and pos + head.lengths[k] <= max(start - 1, 0):
+            pos += head.lengths[k]
+            k += 1
+        if k:
+            k -= 1
+            pos -= head.lengths[k]
+        elif first_before := at:
+            first, at = self.find(first_before - 1)
+            head = self.leaves[first]
+            k = len(head.lengths) - 1
+            pos = first_before - head.lengths[k]
+        lengths, counts = head.lengths[:k], head.counts[:k]
+        # old boundaries from the end of the edit on, in the leaves that are looked at
+        last, edge = self.find(min(end, self.length[1] - 1))
+        behind, j = self.leaves[last], 0
+        while j < len(behind.lengths) and edge < end:
+            edge += behind.lengths[j]
+            j += 1
+        # text to match in: what is before the edit, the new text, what follows; more of it when a match comes near its end
+        seen = self._between(first, last)
+        text = seen[pos - at : start - at] + new + seen[end - at :]
+        reach, shift, here = at + len(seen), len(new) - (end - start), pos
+        done = pos  # in places of the new text, as here, where text begins
+        met, ready = False, ""
+        while True:
+            m = _CUT.match(text, here - done)
+            whole = reach >= self.length[1]
+            if not whole and (m is None or m.end() + 1 > len(text)):
+                more, _ = self.find(reach)
+                text += self.leaves[more].text
+                reach += len(self.leaves[more].text)
+                continue
+            while edge + shift < here:  # the next old boundary at or behind this place
                 if j >= len(behind.lengths):
-                    if last + 1 >= len(self.leaves):
+                    if edge >= self.length[1]:
                         break
-                    last += 1
+                    last, _ = self.find(edge)
                     behind, j = self.leaves[last], 0
                 edge += behind.lengths[j]
                 j += 1
-            if edge >= end and edge + shift == pos and pos >= start + len(new):
+            if here >= start + len(new) and edge + shift == here:
                 met = True
                 break
+            if m is None:
+                break
             lengths.append(m.end() - m.start())
             counts.append(self.counter[m.group()])
             self.encoded += 1
-            pos = m.end()
+            here += m.end() - m.start()
+        ready = head.text[: pos - at] + text[: here - done]
         if met:
+            rest = sum(behind.lengths[j:])
             lengths += behind.lengths[j:]
             counts += behind.counts[j:]
+            ready += behind.text[len(behind.text) - rest :]
         else:
-            last = len(self.leaves) - 1
-        fresh = _leaves(lengths, counts)
-        if len(fresh) == last - first + 1:
-            for i, leaf in enumerate(fresh, first):
-                self.leaves[i] = leaf
-                n = self.width + i
-                self.length[n], self.count[n] = leaf.length, leaf.count
-                while n > 1:
-                    n //= 2
-                    self._sum(n)
-        else:
-            self._build(self.leaves[:first] + fresh + self.leaves[last + 1 :])
+            last = self.find(self.length[1] - 1)[0]
+        self._replace(first, last, _leaves(ready, lengths, counts))
         return self.encoded - before
 
+    def _between(self, first: int, last: int) -> str:
+        return "".join(leaf.text for leaf in self.leaves[first : last + 1] if leaf)
+
 
 def count_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs (id, text), edits (id, edits array<struct<start:int,end:int,new:string>>, applied in turn): (id, n_tokens, n_pieces, n_edits,
@@ -198,7 +263,7 @@ def _count(text: object, edits: Iterable | None, counter: Counter) -> tuple[int,
     tree = CountTree(text if isinstance(text, str) else "", counter)
     base, pieces, done, again = tree.total, tree.encoded, 0, 0
     for e in edits if edits is not None else ():
-        if e is None or e["start"] is None or e["end"] is None or not 0 <= e["start"] <= e["end"] <= len(tree.text):
+        if e is None or e["start"] is None or e["end"] is None or not 0 <= e["start"] <= e["end"] <= tree.length[1]:
             continue
         again += tree.edit(int(e["start"]), int(e["end"]), e["new"] or "")
         done += 1

@@ -142,15 +142,34 @@ def test_chat_edges(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, None, "late"), (1, 300, "ann", "bye"), (None, 0, "x", "y"), (2, 0, "system", "alone"), (3, 0, "a", "twice"), (3, 0, "a", "twice")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate(df).collect()}
-    assert {k[:2] for k in out} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "x"), (3, "a")}
+    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (None, "x", 0), (3, "a", 0)}
     ann = out[1, "ann", 0]
     assert ann["rendered"].startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>")
-    a, b = map(int, ann["mask"].split(":"))
-    assert ann["rendered"][a:b] == "hi<|im_end|>\n" and ann["n_chars"] == len(ann["rendered"]) and out[1, "ann", 1]["base"] == ann["n_chars"]
+    assert ann["rendered"].endswith("bye<|im_end|>\n<|im_start|>user name=unknown\nlate<|im_end|>\n")  # null turns stand last
+    assert [ann["rendered"][slice(*map(int, m.split(":")))] for m in ann["mask"].split(",")] == ["hi<|im_end|>\n", "bye<|im_end|>\n"] and ann["n_chars"] == len(ann["rendered"])
     assert out[3, "a", 0]["n_turns"] == 2
     assert chat.rotate(df.where("false")).collect() == []
 
 
+def test_chat_of_many_turns_without_number(spark):
+    """Null conversations, null and repeated turn numbers: parts stay bounded, null turns come last, base runs on; as the SQL says."""
+    import duckdb
+
+    rows = [(None, None if i % 3 else i % 7, "ann" if i % 2 else "bob", f"é{i}") for i in range(1500)] + [(5, 1, "system" if i % 9 == 0 else f"s{i % 3}", f"x{i % 400}") for i in range(900)] + [(6, i, "a", str(i)) for i in range(256)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.rotate(df).toPandas()
+    assert got["n_turns"].max() == chat.PART_TURNS and (got["n_chars"] == got["rendered"].str.len()).all()
+    whole = "".join(got[(got["conv_id"].isna()) & (got["perspective"] == "ann")].sort_values("part")["rendered"])
+    ends = [whole.index(f"\né{i}<|im_end|>") for i in range(1500)]
+    assert max(e for i, e in enumerate(ends) if i % 3 == 0) < min(e for i, e in enumerate(ends) if i % 3)
+    conversations = df.toPandas()  # noqa: F841
+    conversations["conv_id"], conversations["turn"] = conversations["conv_id"].astype("Int64"), conversations["turn"].astype("Int64")
+    want = duckdb.sql(chat.SQL).df()
+    keys = ["conv_id", "perspective", "part"]
+    clean = lambda d: [tuple(str(x) for x in r) for r in d.assign(conv_id=d["conv_id"].fillna(-1).astype(int)).sort_values(keys)[[*keys, "n_turns", "n_chars", "base", "rendered", "mask"]].itertuples(index=False)]
+    assert clean(got) == clean(want)
+
+
 def test_mixing_rules(spark):
     rows = [(i, "w " * (1 + i % 13), s, None, None) for s, n in (("a", 400), ("b", 40), (None, 300), ("z", 0), ("c", 1)) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch; texts may be long, so batches are kept short.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch; texts may be long, so batches are kept short.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,12 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a fresh folder in local mode (tests), whose executors
+    are the driver; on a cluster that is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lakeloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
@@ -53,11 +56,13 @@ def release(spark: SparkSession) -> None:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small: rows are bounded here, whatever the session says."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches of whole texts small: rows and bytes are bounded here, whatever the session says. These settings are read when a plan
+    runs, so they stay set; they only ever shrink."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:  # a size with a unit counts as large
+            spark.conf.set(key, str(most))
 
 
 def unit_hash(seed: int, *cols: Column) -> Column:

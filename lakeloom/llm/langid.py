@@ -110,9 +110,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     train = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     freq = _frequencies(train, p.dims)
     idf = np.log1p(freq[-1] / (1.0 + freq[:-1]))
-    per = train.groupBy("lang").count().collect()  # a row a language
-    if len(per) * p.clusters * p.dims * 4 > p.model_bytes:
-        raise ValueError(f"{len(per)} languages need more than {p.model_bytes} bytes; lower dims or clusters")
+    most = p.model_bytes // (p.clusters * p.dims * 4)
+    per = train.groupBy("lang").count().limit(most + 1).collect()  # a row a language
+    if len(per) > most:
+        raise ValueError(f"more than {most} languages need more than {p.model_bytes} bytes; lower dims or clusters")
     if not per:
         return Model([], np.zeros((0, p.dims), np.float32), np.zeros(0), idf)
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, p.per_lang / r["count"]))) for r in per])

@@ -4,7 +4,7 @@ One pass turns each text into a few numbers (shares of character classes, word s
 hash-picked sample of labelled rows; it gives each document's evidence. Grouped sums of that evidence by (host, path) give the variance between
 hosts, between paths of a host, and within paths; from these, shrinkage constants (Buhlmann-Straub): a site of n documents keeps
 n / (n + k) of its own mean, the rest comes from the level above, so a sparse site takes the global prior. The document's log odds
-then move by the difference of its path's prior and the global one.
+then move by the difference of its path's prior and the global one. A document's own evidence is left out of the priors that move it.
 """
 
 from __future__ import annotations
@@ -102,8 +102,8 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_id: str = "doc_id", label_col: str = "quality", p: Params = Params()) -> DataFrame:  # noqa: B008
-    """(id, p_doc, host_posterior, path_posterior, p_quality, keep) for each row of docs.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_id: str = "doc_id", label_col: str = "quality", row_col: str | None = None, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """(id, p_doc, host_posterior, path_posterior, p_quality, keep) for each row of docs; with row_col, that column (a long) too.
 
     Texts that are null or hold no word are not kept and have p_doc 0; they don't count for sites. A null host or path is a site of its own.
     Labels that are null are left out; without labels of both kinds every document has the same evidence. Rows without an id are scored
@@ -119,8 +119,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out["empty"] = [not isinstance(t, str) or not t.strip() for t in b["text"]]
             yield out
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    rows = stored(src.mapInPandas(op, f"id {src.schema['id'].dataType.simpleString()}, host string, path string, x array<double>, empty boolean"), "quality")
+    src = docs.select(F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    rows = stored(src.mapInPandas(op, f"id {src.schema['id'].dataType.simpleString()}, row long, host string, path string, x array<double>, empty boolean"), "quality")
 
     # the classifier
     given = labels.select(F.col(label_id).alias("lid"), F.col(label_col).cast("int").alias("y")).where("y is not null and lid is not null")
@@ -149,11 +149,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     host_var = max((t["of_hosts"] - t["s"] ** 2 / total - (t["hosts"] - 1) * within) / max(total - t["hn2"] / total, 1e-9), 1e-9) if total else 1.0
     k_host, k_path = float(within / host_var), float(within / path_var)
 
-    host_post = (F.col("hs") + k_host * mean) / (F.col("hn") + k_host)
-    priors = hosts.select(F.col("host").alias("h"), host_post.alias("host_posterior")).join(paths, F.expr("h <=> host"))
-    priors = priors.select("h", F.col("path").alias("p"), "host_posterior", ((F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") + k_path)).alias("path_posterior"))
-    out = rows.join(priors, F.expr("host <=> h and path <=> p"), "left")
-    path_post = F.coalesce("path_posterior", F.lit(float(mean)))
+    sites = hosts.select(F.col("host").alias("h"), "hs", "hn").join(paths, F.expr("h <=> host")).select("h", F.col("path").alias("p"), "hs", "hn", "s", "n")
+    out = rows.join(sites, F.expr("host <=> h and path <=> p"), "left").fillna(0.0, ["hs", "hn", "s", "n"])
+    q, one = F.col("q"), F.when(F.col("empty"), 0.0).otherwise(1.0)  # what the sums hold of the document itself; q is 0 where it is empty
+    out = out.withColumn("host_posterior", (F.col("hs") - q + k_host * mean) / (F.col("hn") - one + k_host))
+    path_post = (F.col("s") - q + k_path * F.col("host_posterior")) / (F.col("n") - one + k_path)
     final = F.when(F.col("empty"), F.lit(0.0)).otherwise(_sigmoid(F.col("l") + p.prior_weight * (_logit(path_post) - _logit(F.lit(float(mean))))))
-    out = out.select(F.col("id").alias(id_col), F.col("q").alias("p_doc"), F.coalesce("host_posterior", F.lit(float(mean))).alias("host_posterior"), path_post.alias("path_posterior"), final.alias("p_quality"))
+    kept = [F.col("row").alias(row_col)] if row_col else []
+    out = out.select(F.col("id").alias(id_col), *kept, F.col("q").alias("p_doc"), "host_posterior", path_post.alias("path_posterior"), final.alias("p_quality"))
     return out.withColumn("keep", F.col("p_quality") >= p.cut)

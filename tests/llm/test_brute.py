@@ -69,6 +69,38 @@ def test_jaccard_loses_no_link(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == expected(texts)
 
 
+def test_shingles_that_fall_together_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CUT_BITS", 12)  # far fewer values than shingles
+    rng = random.Random(8)
+    texts = []
+    for k in range(100):
+        base = [f"p{k}w{i}" for i in range(60)]
+        texts += [base, near(rng, base, 2), [f"l{k}w{i}" for i in range(50)], [f"m{k}w{i}" for i in range(70)]]
+    texts = [" ".join(t) for t in texts]
+    out = jaccard.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == expected(texts)
+
+
+def test_null_and_repeated_ids(spark):
+    """A null or repeated id stands for many texts: each text is linked by itself, and a group takes the least id that one of its rows has."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(80):
+        base = [f"n{k}w{i}" for i in range(40)]
+        texts += [base, near(rng, base, 1)] + [base] * (k % 3)
+    ids = [None if i % 2 else i % 20 for i in range(len(texts))]
+    texts = [" ".join(t) for t in texts]
+    want = expected(texts)
+    least = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[want[i][1]] = min(least.get(want[i][1], x), x)
+    out = jaccard.jaccard_groups(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect() if r["doc_id"] is not None)
+    assert got == sorted((False, x, want[i][0], least[want[i][1]]) for i, x in enumerate(ids) if x is not None)
+    assert out.where("doc_id IS NULL AND component_id IS NOT NULL").count() == sum(x is None and want[i][1] in least for i, x in enumerate(ids))
+
+
 def test_tree_links_span_the_groups():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.choice(2000, size=rng.integers(3, 90)).astype(np.uint64)) for _ in range(70)]
@@ -96,7 +128,7 @@ def test_tree_links_span_the_groups():
 
 def test_components(spark):
     rng = random.Random(1)
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7), (5, 4)]
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 40)] + [(400 + i, 400) for i in range(1, 700)] + [(2000 + i, 2000 - i) for i in range(0, 500)] + [(1500, 400)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7), (5, 4)]
     got = {r["v"]: r["c"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     up = {x: x for e in edges for x in e}
 
@@ -217,9 +249,63 @@ def test_quality_tells_junk(spark):
     assert all(r["keep"] == (r["doc_id"] % 4 > 0) for r in out) and all(0 < r["path_posterior"] < 1 for r in out)
 
 
+def test_site_priors_by_hand(spark):
+    """Posteriors from the documents' own evidence, each left out of its sites' sums, by plain loops."""
+    rows = [(i, prose(i) if i % 3 else " ".join(w.upper() + "!!" for w in prose(i).split()), f"s{i % 4}" if i % 11 else None, "en" if i % 5 else "de") for i in range(120)] + [(500, " ", "s1", "en"), (501, None, "s9", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = {r["doc_id"]: r for r in quality.score(df, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")).collect()}
+    site = {r[0]: (r[2], r[3]) for r in rows}
+    real = {i: r["p_doc"] for i, r in out.items() if i < 500}
+    mean = sum(real.values()) / len(real)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, q in real.items():
+        hosts[site[i][0]].append(q)
+        paths[site[i]].append(q)
+    total = len(real)
+    between = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups.values())
+    within = (sum(q * q for q in real.values()) - between(paths)) / (total - len(paths))
+    pn2 = sum(sum(len(g) ** 2 for k, g in paths.items() if k[0] == h) / len(hosts[h]) for h in hosts)
+    path_var = max((between(paths) - between(hosts) - (len(paths) - len(hosts)) * within) / (total - pn2), 1e-9)
+    host_var = max((between(hosts) - mean**2 * total - (len(hosts) - 1) * within) / (total - sum(len(g) ** 2 for g in hosts.values()) / total), 1e-9)
+    kh, kp = within / host_var, within / path_var
+    for i, r in out.items():
+        own = [r["p_doc"]] if i < 500 else []
+        h, p = hosts.get(site[i][0], []), paths.get(site[i], [])
+        hp = (sum(h) - sum(own) + kh * mean) / (len(h) - len(own) + kh)
+        pp = (sum(p) - sum(own) + kp * hp) / (len(p) - len(own) + kp)
+        assert r["host_posterior"] == pytest.approx(hp, rel=1e-6) and r["path_posterior"] == pytest.approx(pp, rel=1e-6)
+
+
 # ---- pipeline
 
 
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    """Null and repeated ids: each row goes or stays by its own text."""
+    junk = lambda i: " ".join(w.upper() + "!!***" for w in prose(i).split())
+    good = [(i, prose(i), "en", "s0", 1) for i in range(40)]
+    bad = [(200 + i, junk(50 + i), "en", "s1", 1) for i in range(20)]
+    odd = [(None, prose(60), "en", "s0", 1), (None, junk(90), "en", "s1", 1), (None, prose(60), "en", "s0", 1), (7, prose(61), "en", "s0", 1), (7, junk(91), "en", "s1", 1), (None, prose(3), "en", "s0", 1), (5, prose(5), "en", "s0", 1)]
+    leak = " ".join(f"bench{i}" for i in range(30))
+    odd += [(7, prose(62) + " " + leak, "en", "s0", 1), (None, prose(63) + " " + leak, "en", "s0", 1)]
+    docs = spark.createDataFrame(good + bad + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, 0) for i in range(40) if i != 7] + [(200 + i, 0, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in df.collect())
+    want = lambda rows: sorted((r[0] is None, r[0] or 0, r[1]) for r in rows)
+    docs.write.parquet(str(tmp_path / "d0"))
+    one = corpus_pipeline.quality_stage(spark, spark.read.parquet(str(tmp_path / "d0")), str(tmp_path))
+    kept = [r for r in good + odd if "!!***" not in r[1]]
+    assert texts(one) == want(kept)
+    one.write.parquet(str(tmp_path / "d1"))
+    two = corpus_pipeline.near_dup_stage(spark, spark.read.parquet(str(tmp_path / "d1")), str(tmp_path))
+    kept = good + [r for r in odd if "!!***" not in r[1] and r[1] not in (prose(3), prose(5), prose(60))] + [odd[0]]
+    assert texts(two) == want(kept)
+    two.write.parquet(str(tmp_path / "d2"))
+    three = corpus_pipeline.leak_stage(spark, spark.read.parquet(str(tmp_path / "d2")), str(tmp_path))
+    assert texts(three) == want(r for r in kept if "bench" not in r[1])
+
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = [(i, prose(i), "en", f"s{i % 2}", 1) for i in range(40)]
     docs += [(100 + i, prose(i) + " tail", "en", "s0", 1) for i in range(5)]  # near copies

@@ -6,7 +6,8 @@ leaks      documents that hold a benchmark item go.
 secrets    stretches of text that hold secrets are masked; every document stays.
 mix        how often each document is taken, by source.
 
-Rows without a doc_id can't be told apart by decisions: the filters keep them, but for those of the quality stage, which judges rows.
+Decisions are made by row, under a key that each stage gives its own rows, so a null or repeated doc_id changes nothing: a row goes by what
+is found in it. Of near duplicates the row with the least doc_id stays, one without an id last; exact repeats are near duplicates.
 """
 
 from __future__ import annotations
@@ -20,25 +21,40 @@ from lakeloom.llm import decontaminate, jaccard, mixing, quality, secret_scan
 from lakeloom.llm.common import read, stored
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for rows whose doc_id is among ids (column `gone`)."""
-    gone = ids.distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row. A stage's docs are a table that is scanned, which gives the same keys however often tasks run."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among those of `gone` (column gone)."""
+    return keyed.join(stored(gone, "gone"), F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, scored.where(~F.col("keep")).select(F.col("doc_id").alias("gone")))
+    keyed = _keyed(docs)
+    scored = quality.score(keyed, read(spark, sf_dir, "labels"), row_col=ROW)
+    return _without(keyed, scored.where(~F.col("keep")).select(F.col(ROW).alias("gone")))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_groups(docs)
-    return _without(docs, groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")))
+    keyed = _keyed(docs)
+    groups = stored(jaccard.jaccard_groups(keyed, ROW), "groups").withColumnRenamed(ROW, "row")
+    others = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("c"))
+    ids = groups.join(others, F.col("component_id") == F.col("c"), "left_semi").join(keyed.select(ROW, "doc_id"), F.col("row") == F.col(ROW))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = ids.groupBy(F.col("component_id").alias("c")).agg(F.min(order)["row"].alias("first"))
+    gone = ids.select("component_id", "row").join(first, F.col("component_id") == F.col("c")).where(F.col("row") != F.col("first"))
+    return _without(keyed, gone.select(F.col("row").alias("gone")))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
-    return _without(docs, stored(found.select(F.col("doc_id").alias("gone")).distinct(), "leaks"))
+    keyed = _keyed(docs)
+    found = decontaminate.find_leaks(keyed, read(spark, sf_dir, "benchmark"), ROW)
+    return _without(keyed, found.select(F.col(ROW).alias("gone")).distinct())
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

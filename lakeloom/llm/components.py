@@ -37,17 +37,24 @@ def _contracted(edges: DataFrame, rows: int = 200_000) -> DataFrame:
     return edges.select("a", "b").mapInPandas(op, "a long, b long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step on links (a, b) with a > b. A hot node's rows meet in a join, which may split them, not in one group."""
+#: A step broadcasts the least neighbours of at most so many nodes, those with the most links.
+HOT = 10_000
+
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One step on at most `rows` links (a, b) with a > b. A node of more than its share of the links, of which there are HOT at most, is joined
+    by broadcast, so that its links stay where they are; all others meet theirs by shuffle."""
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = near.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "d")
+    most = max(200, 2 * rows // HOT + 1)
+    hot, cold = F.broadcast(least.where(F.col("d") > most)), least.where(F.col("d") <= most)
+    joined = near.join(hot, F.col("u") == F.col("w")).unionByName(near.join(hot, F.col("u") == F.col("w"), "left_anti").join(cold.hint("merge"), F.col("u") == F.col("w")))
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b")))
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
@@ -61,7 +68,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         if now == mark or not now[0]:
             break
         mark = now
-        e = stored(_star(_star(e, True), False), name)
+        e = stored(_star(stored(_star(e, True, now[0]), name), False, 2 * now[0]), name)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("b").alias("v")).distinct().withColumn("c", F.col("v"))

@@ -69,12 +69,23 @@ def adjusted(e: DataFrame, rounds: int = 50, tol: float = 0.01, by: tuple[str, .
 
 
 def by_date(tg: DataFrame, dates: DataFrame, rounds: int = 50, tol: float = 0.01) -> DataFrame:
-    """(as_of, team_id, off, def, sos) for each date of `dates` (as_of), from games strictly before it, of all seasons. Games are summed by
-    date first; dates join them by an inequality, which is the size of the result of this operator; dates run in parallel."""
-    e = edges(tg.withColumn("season", F.lit(0)), ("game_date",)).withColumnRenamed("season", "__s")
-    d = e.join(F.broadcast(dates.select("as_of").distinct()), F.col("game_date") < F.col("as_of"))
-    d = d.groupBy("as_of", "team_id", "opponent_id").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"), F.sum("games").alias("games"))
-    return adjusted(d, rounds, tol, ("as_of",), "union")
+    """(as_of, team_id, off, def, sos) for each date of `dates` (as_of) that has games strictly before it, from these, of all seasons.
+
+    Games count from the first date after them on. A pair's sums run on from date to date and hold until its next game, so each (date, pair)
+    is made once, which is what the rounds read; dates run in parallel. Windows over the calendar see a row a day.
+    """
+    e = edges(tg.withColumn("season", F.lit(0)), ("game_date",)).drop("season")
+    marks = dates.select("as_of").distinct().withColumn("slot", F.row_number().over(W.orderBy("as_of")))
+    n = marks.count()
+    days = marks.select(F.col("as_of").alias("day"), "slot").unionByName(e.select(F.col("game_date").alias("day")).distinct().withColumn("slot", F.lit(None).cast("int")))
+    after = W.orderBy("day", F.col("slot").asc_nulls_last()).rowsBetween(1, W.unboundedFollowing)
+    starts = days.withColumn("from", F.first("slot", ignorenulls=True).over(after)).where("slot IS NULL AND from IS NOT NULL").select("day", "from")
+    pair = W.partitionBy("team_id", "opponent_id").orderBy("from")
+    so_far = pair.rowsBetween(W.unboundedPreceding, 0)
+    d = e.join(starts, F.col("game_date") == F.col("day")).groupBy("team_id", "opponent_id", "from").agg(*[F.sum(c).alias(c) for c in ("pts", "poss", "games")])
+    d = d.select("team_id", "opponent_id", *[F.sum(c).over(so_far).alias(c) for c in ("pts", "poss", "games")], "from", F.coalesce(F.lead("from").over(pair) - 1, F.lit(n)).alias("to"))
+    d = d.withColumn("slot", F.explode(F.sequence("from", "to"))).drop("from", "to")
+    return adjusted(d.join(marks, "slot"), rounds, tol, ("as_of",), "union")
 
 
 ELO_START, ELO_K, ELO_HOME = 1500.0, 20.0, 3.5
@@ -112,8 +123,9 @@ def cumulative_sos(pg: DataFrame, snapshots: DataFrame) -> DataFrame:
     snapshots: team_id, as_of, margin."""
     rows = pg.where("minutes > 0").select("player_id", "season", "game_id", "game_date", "minutes", F.col("opponent_id").alias("team_id"))
     met = joins.asof_join(rows, snapshots.select("team_id", "as_of", "margin"), ["team_id"], "game_date", "as_of", ["margin"])
-    value = windows.cumulative_wavg(X.nz("margin", 0.0), "minutes", ["player_id", "season"], ["game_date", "game_id"])
-    return met.select("player_id", "season", "game_id", value.alias("cum_sos"))
+    w = windows.prior(["player_id", "season"], ["game_date", "game_id"])
+    total = F.sum((X.nz("margin", 0.0) * F.col("minutes")).cast("decimal(28,9)")).over(w).cast("double")  # of decimals: in any order of rows the same
+    return met.select("player_id", "season", "game_id", F.try_divide(total, F.sum("minutes").over(w)).alias("cum_sos"))
 
 
 def dense_order(df: DataFrame, value: str, by: tuple[str, ...] = ("season",)) -> DataFrame:

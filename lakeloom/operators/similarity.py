@@ -25,9 +25,10 @@ def nearest(df: DataFrame, target: DataFrame, id_col: str, vector: str, k: int =
 
 
 def standardize(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """z-scores by population deviation; a constant feature gives 0."""
-    w = W.partitionBy(*by or [F.lit(1)])
-    return df.select(*[c for c in df.columns if c not in features], *[F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w)), F.lit(0.0)).alias(c) for c in features])
+    """z-scores by population deviation; a constant feature gives 0. Means and deviations are one aggregation, joined to the rows."""
+    of = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(*[F.avg(c).alias(f"__m_{c}") for c in features], *[F.stddev_pop(c).alias(f"__s_{c}") for c in features])
+    j = df.join(of, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]) if by else df.crossJoin(F.broadcast(of))  # without groups: one row
+    return j.select(*[c for c in df.columns if c not in features], *[F.coalesce(F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")), F.lit(0.0)).alias(c) for c in features])
 
 
 def affinities(vector, centroids: Sequence[Sequence[float]], names: Sequence[str], temperature: float = 1.5) -> Column:

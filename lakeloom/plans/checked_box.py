@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import exprs as X
 from lakeloom.operators import joins, ratings, sorting, upsert, windows
-from lakeloom.plans import features, steps
+from lakeloom.plans import features, models, steps
 from lakeloom.sources import boxscores
+from lakeloom.sources.tables import stored
 
 ROUNDS = 10
 
@@ -116,7 +117,7 @@ def q01_rankings(spark: SparkSession, d: str) -> DataFrame:
     """Q01: teams of each season by adjusted margin, with a row number and a rank for each statistic."""
     s = _scores(spark, d)
     ts = _all(spark, d)["team_seasons"].drop("sos_rank").where("adj_efficiency_margin IS NOT NULL")
-    ranked = _ranks(ts).join(F.broadcast(s.teams), "team_id")
+    ranked = _ranks(ts).join(s.teams, "team_id")
     out = ranked.select("season", "team_id", "name", "conference", "wins", "losses", windows.row_number(["season"], [X.ordered("adj_efficiency_margin", True), "team_id"]).alias("position"), *RANKED, *LOW, *[f"{c}_rank" for c in RANKED + LOW])
     return out.orderBy("season", "position")
 
@@ -139,8 +140,8 @@ def q02_profile(spark: SparkSession, d: str) -> DataFrame:
 SQL_Q02 = "SELECT t.team_id, name, season, adj_efficiency_margin, margin_rank, defense_rank FROM teams t LEFT JOIN (SELECT team_id, season, m AS adj_efficiency_margin, RANK() OVER (PARTITION BY season ORDER BY m DESC NULLS LAST) AS margin_rank, RANK() OVER (PARTITION BY season ORDER BY adj_defense ASC NULLS LAST) AS defense_rank FROM (SELECT *, CASE WHEN team_id % 5 <> 0 THEN adj_efficiency_margin END AS m FROM ts)) r ON r.team_id = t.team_id"
 
 
-def _games(spark: SparkSession, d: str) -> DataFrame:
-    tg = _scores(spark, d).team_games
+def _games(spark: SparkSession, d: str, scores: boxscores.BoxScores | None = None) -> DataFrame:
+    tg = (scores or _scores(spark, d)).team_games
     side = tg.select("game_id", "season", "game_date", F.least("team_id", "opponent_id").alias("home_team_id"), F.greatest("team_id", "opponent_id").alias("away_team_id"), "is_home", "points")
     g = side.groupBy("game_id", "season", "game_date", "home_team_id", "away_team_id").agg(F.max(F.when(F.col("is_home"), F.col("points"))).alias("home_score"), F.max(F.when(~F.col("is_home"), F.col("points"))).alias("away_score"))
     return g.withColumn("is_neutral_site", (F.col("home_team_id") + F.col("away_team_id")) % 4 == 0)
@@ -155,7 +156,8 @@ def gsql(select: str) -> str:
 
 def q03_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Q03: each side's schedule with opponent names and scores from its own point of view."""
-    s, g = _scores(spark, d), _games(spark, d)
+    s = _scores(spark, d)
+    g = _games(spark, d, s)
     sc = steps.schedules(g).join(g.select("game_id", "home_team_id", "home_score", "away_score"), "game_id")
     home = F.col("team_id") == F.col("home_team_id")
     sc = sc.select("game_id", "season", "game_date", "team_id", "opponent_id", "is_home", F.when(home, F.col("home_score")).otherwise(F.col("away_score")).alias("team_score"), F.when(home, F.col("away_score")).otherwise(F.col("home_score")).alias("opp_score"))
@@ -298,7 +300,7 @@ def q20_team_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Q20: for each query the team of that name in any case, else the shortest name that it begins."""
     t = _scores(spark, d).teams
     asked = spark.createDataFrame([("nation_1",), ("Nation_2",), ("na",), ("zzz",)], "query string")
-    m = asked.join(F.broadcast(t), F.lower("name").startswith(F.lower("query")))
+    m = asked.join(t, F.lower("name").startswith(F.lower("query")))
     best = windows.distinct_on(m, ["query"], [(F.lower("name") != F.lower("query")).asc(), F.length("name").asc(), F.col("name").asc()])
     return best.select("query", "team_id", "name")
 
@@ -337,16 +339,40 @@ def k1_adjusted(spark: SparkSession, d: str) -> DataFrame:
 SQL_K1 = f"SELECT season, r.team_id, {rnd('o', 3)} AS off, {rnd('d', 3)} AS def, {rnd('sos', 3)} AS sos FROM r{ROUNDS} r LEFT JOIN sos USING (season, team_id)"
 
 
-def k2_by_date(spark: SparkSession, d: str) -> DataFrame:
-    """K2: ratings as of each January, from earlier games of all seasons (no round: raw sums; iteration is tested on its own)."""
-    tg = steps.estimate_rebounds(_scores(spark, d).team_games)
+def _snapshots(tg: DataFrame) -> DataFrame:
+    """Ratings as of each January."""
     dates = tg.select(F.make_date(F.year("game_date"), F.lit(1), F.lit(1)).alias("as_of")).distinct()
-    r = ratings.by_date(tg, dates, 0)
-    return r.select("as_of", "team_id", X.round_n("off", 3).alias("off"), X.round_n("def", 3).alias("def"))
+    return ratings.by_date(tg, dates, ROUNDS, 0.0)
 
 
-SQL_K2 = f"SELECT as_of, team_id, {rnd('COALESCE(SUM(op) / SUM(os) * 100, MAX(league))', 3)} AS off, {rnd('COALESCE(SUM(dp) / SUM(ds) * 100, MAX(league))', 3)} AS def FROM (SELECT as_of, team_id, pts AS op, poss AS os, NULL AS dp, NULL AS ds FROM days JOIN ed ON game_date < as_of UNION ALL SELECT as_of, opponent_id, NULL, NULL, pts, poss FROM days JOIN ed ON game_date < as_of) JOIN (SELECT as_of, SUM(pts) / SUM(poss) * 100 AS league FROM days JOIN ed ON game_date < as_of GROUP BY as_of) USING (as_of) GROUP BY as_of, team_id"
-DAYS = "ed AS (SELECT game_date, team_id, opponent_id, CAST(points AS DOUBLE) AS pts, fga - COALESCE(off_rebounds,0) + COALESCE(turnovers,0) + 0.44e0 * COALESCE(fta,0) AS poss FROM tg WHERE points IS NOT NULL AND fga - COALESCE(off_rebounds,0) + COALESCE(turnovers,0) + 0.44e0 * COALESCE(fta,0) > 0), days AS (SELECT DISTINCT make_date(year(game_date), 1, 1) AS as_of FROM tg)"
+def k2_by_date(spark: SparkSession, d: str) -> DataFrame:
+    """K2: adjusted ratings as of each January, from earlier games of all seasons, after ten rounds, with schedule strength."""
+    r = _snapshots(steps.estimate_rebounds(_scores(spark, d).team_games))
+    return r.select("as_of", "team_id", *[X.round_n(c, 3).alias(c) for c in ("off", "def", "sos")])
+
+
+def _snap_sql() -> str:
+    """CTEs of the rounds by date; the last is `snap` (as_of, team_id, o, d, sos)."""
+    out = [
+        "ed AS (SELECT game_date, team_id, opponent_id, CAST(points AS DOUBLE) AS pts, fga - COALESCE(off_rebounds,0) + COALESCE(turnovers,0) + 0.44e0 * COALESCE(fta,0) AS poss FROM tg WHERE points IS NOT NULL AND fga - COALESCE(off_rebounds,0) + COALESCE(turnovers,0) + 0.44e0 * COALESCE(fta,0) > 0)",
+        "days AS (SELECT DISTINCT make_date(year(game_date), 1, 1) AS as_of FROM tg)",
+        "de AS MATERIALIZED (SELECT as_of, team_id, opponent_id, SUM(pts) AS pts, SUM(poss) AS poss, CAST(COUNT(*) AS DOUBLE) AS games FROM days JOIN ed ON game_date < as_of GROUP BY ALL)",
+        "dl AS (SELECT as_of, SUM(pts) / SUM(poss) * 100 AS league FROM de GROUP BY as_of)",
+        "dt AS (SELECT DISTINCT as_of, team_id FROM (SELECT as_of, team_id FROM de UNION ALL SELECT as_of, opponent_id FROM de))",
+        "s0 AS MATERIALIZED (SELECT dt.as_of, dt.team_id, league, COALESCE(op / os * 100, league) AS raw_o, COALESCE(dp / ds * 100, league) AS raw_d, COALESCE(op / os * 100, league) AS o, COALESCE(dp / ds * 100, league) AS d, os, ds FROM dt JOIN dl USING (as_of) LEFT JOIN (SELECT as_of, team_id, SUM(pts) AS op, SUM(poss) AS os FROM de GROUP BY ALL) USING (as_of, team_id) LEFT JOIN (SELECT as_of, opponent_id AS team_id, SUM(pts) AS dp, SUM(poss) AS ds FROM de GROUP BY ALL) USING (as_of, team_id))",
+    ]
+    for i in range(1, ROUNDS + 1):
+        p = f"s{i - 1}"
+        out += [
+            f"x{i} AS (SELECT de.as_of, de.team_id, SUM(r.d * poss) / SUM(poss) AS met FROM de JOIN {p} r ON r.as_of = de.as_of AND r.team_id = de.opponent_id GROUP BY ALL)",
+            f"y{i} AS (SELECT de.as_of, de.opponent_id AS team_id, SUM(r.o * poss) / SUM(poss) AS met FROM de JOIN {p} r ON r.as_of = de.as_of AND r.team_id = de.team_id GROUP BY ALL)",
+            f"s{i} AS MATERIALIZED (SELECT as_of, team_id, league, raw_o, raw_d, CASE WHEN os > 0 THEN raw_o * (league / x{i}.met) ELSE o END AS o, CASE WHEN ds > 0 THEN raw_d * (league / y{i}.met) ELSE d END AS d, os, ds FROM {p} LEFT JOIN x{i} USING (as_of, team_id) LEFT JOIN y{i} USING (as_of, team_id))",
+        ]
+    out.append(f"snap AS MATERIALIZED (SELECT r.as_of, r.team_id, r.o, r.d, COALESCE(m.sos, 0e0) AS sos FROM s{ROUNDS} r LEFT JOIN (SELECT de.as_of, de.team_id, SUM((q.o - q.d) * games) / SUM(games) AS sos FROM de JOIN s{ROUNDS} q ON q.as_of = de.as_of AND q.team_id = de.opponent_id GROUP BY ALL) m USING (as_of, team_id))")
+    return ",\n".join(out)
+
+
+SQL_K2 = f"SELECT as_of, team_id, {rnd('o', 3)} AS off, {rnd('d', 3)} AS def, {rnd('sos', 3)} AS sos FROM snap"
 
 
 def k3_elo(spark: SparkSession, d: str) -> DataFrame:
@@ -354,16 +380,34 @@ def k3_elo(spark: SparkSession, d: str) -> DataFrame:
     return ratings.elo(_games(spark, d)).select("season", "game_id", X.round_n("home_elo", 3).alias("home_elo"), X.round_n("away_elo", 3).alias("away_elo"))
 
 
+#: Elo is sequential: a recursive step a game, with the ratings of all teams (ids from 0) as a list; seasons run side by side.
+SQL_K3 = """, gk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY season ORDER BY game_date, game_id) AS k FROM games),
+elo AS (
+  SELECT season, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS game_id, CAST(NULL AS DOUBLE) AS eh, CAST(NULL AS DOUBLE) AS ea, list_transform(range((SELECT MAX(team_id) + 1 FROM teams)), lambda i: 1500e0) AS e FROM (SELECT DISTINCT season FROM gk)
+  UNION ALL
+  SELECT season, k, game_id, eh, ea, list_transform(range(len(e)), lambda i: CASE WHEN i = h THEN eh + COALESCE(st, 0e0) WHEN i = a THEN ea - COALESCE(st, 0e0) ELSE e[i + 1] END) FROM (
+    SELECT *, 20e0 * ln(abs(m) + 1) * 2.2e0 / ((eh - ea) * 0.001e0 + 2.2e0) * (CASE WHEN m > 0 THEN 1e0 WHEN m < 0 THEN 0e0 ELSE 0.5e0 END - 1 / (1 + pow(10e0, (ea - eh - CASE WHEN neutral THEN 0e0 ELSE 3.5e0 END) / 400))) AS st FROM (
+      SELECT g.season, g.k, g.game_id, g.home_team_id AS h, g.away_team_id AS a, elo.e[g.home_team_id + 1] AS eh, elo.e[g.away_team_id + 1] AS ea, g.home_score - g.away_score AS m, g.is_neutral_site AS neutral, elo.e AS e
+      FROM elo JOIN gk g ON g.season = elo.season AND g.k = elo.k + 1))
+)"""
+
+
+def rsql(select: str) -> str:
+    return f"WITH RECURSIVE {chain()},\n{GAMES_SQL}\n{SQL_K3}\n{select}"
+
+
+SQL_K3_OUT = f"SELECT season, game_id, {rnd('eh', 3)} AS home_elo, {rnd('ea', 3)} AS away_elo FROM elo WHERE k > 0"
+
+
 def c08_player_sos(spark: SparkSession, d: str) -> DataFrame:
     """Schedule strength of players."""
     a = _all(spark, d)
     return steps.player_sos(a["player_games"], a["team_seasons"])
 
 
-def _external(spark: SparkSession, d: str) -> DataFrame:
+def _external(a: steps.Steps) -> DataFrame:
     """External season rows: shares and impact drawn from season statistics."""
-    s, a = _scores(spark, d), _all(spark, d)
-    ps = joins.lookup(a["player_seasons"], s.teams, {"team_id": "team_id"}, {"conference": "conf"})
+    ps = joins.lookup(a["player_seasons"], a.scores.teams, {"team_id": "team_id"}, {"conference": "conf"})
     return ps.select(F.col("player_id").alias("ext_pid"), "season", "conf", "games_played", "mpg", (F.col("mpg") * 2.5).alias("min_share_pct"), (F.col("usage_rate") * 100).alias("usage_rate"), F.when(F.col("games_played") % 7 != 0, F.col("ppg") - 9.0).alias("ogbpm"), (F.col("rpg") - 6.0).alias("dgbpm"), "player_sos")
 
 
@@ -373,7 +417,7 @@ TIERS = ["adj", "value", "value_o", "value_d", "min_adj", "value_v2", "conf_sos"
 
 def c09_composite(spark: SparkSession, d: str) -> DataFrame:
     """All tiers of the composite and its percentile."""
-    t = steps.composite(_external(spark, d))
+    t = steps.composite(_external(_all(spark, d)))
     return t.select("ext_pid", "season", *[X.round_n(c, 4).alias(c) for c in TIERS])
 
 
@@ -427,22 +471,6 @@ def c01_dedup(spark: SparkSession, d: str) -> DataFrame:
 SQL_C01 = "SELECT pid AS player_id, game_id, points FROM (SELECT COALESCE(prim, player_id) AS pid, game_id, points, ROW_NUMBER() OVER (PARTITION BY COALESCE(prim, player_id), game_id ORDER BY prim IS NOT NULL AND prim <> player_id, player_id) AS k FROM box LEFT JOIN (SELECT p.player_id, FIRST_VALUE(p.player_id) OVER (PARTITION BY right(name, 1), p.team_id ORDER BY COALESCE(n, 0) DESC, p.player_id) AS prim FROM players p LEFT JOIN (SELECT player_id, COUNT(*) AS n FROM box GROUP BY player_id) c ON c.player_id = p.player_id) USING (player_id)) WHERE k = 1"
 
 
-def n8_matchups(spark: SparkSession, d: str) -> DataFrame:
-    """Differences of both sides' season statistics for every game, less-is-better ones with the sign turned."""
-    ts = _all(spark, d)["team_seasons"].withColumn("win_pct", X.win_pct("wins", "losses"))
-    cols = ["win_pct", "adj_offense", "adj_defense", "effective_fg_pct", "opp_ft_rate", "sos"]
-    g = _games(spark, d).withColumn("hk", F.concat_ws("/", "home_team_id", "season")).withColumn("ak", F.concat_ws("/", "away_team_id", "season"))
-    j = joins.both_sides(g, ts.withColumn("k", F.concat_ws("/", "team_id", "season")), "hk", "ak", "k", cols)
-    flip = {"adj_defense", "opp_ft_rate"}
-    return j.select("game_id", F.when(F.col("is_neutral_site"), 0).otherwise(1).cast("long").alias("venue"), *[X.round_n(X.diff(f"home_{c}", f"away_{c}", c in flip), 4).alias(f"diff_{c}") for c in cols], (F.col("home_score") - F.col("away_score")).alias("margin"))
-
-
-def _n8_sql() -> str:
-    cols = ["wp", "adj_offense", "adj_defense", "effective_fg_pct", "opp_ft_rate", "sos"]
-    term = lambda c: rnd(("-" if c in ("adj_defense", "opp_ft_rate") else "") + f"(COALESCE(h.{c}, 0e0) - COALESCE(a.{c}, 0e0))", 4)
-    return f"WITH {chain()},\n{GAMES_SQL}, w AS (SELECT *, CASE WHEN wins + losses > 0 THEN CAST(wins AS DOUBLE) / (wins + losses) ELSE 0.5e0 END AS wp FROM ts) SELECT game_id, CAST(CASE WHEN is_neutral_site THEN 0 ELSE 1 END AS BIGINT) AS venue, " + ", ".join(f"{term(c)} AS diff_{'win_pct' if c == 'wp' else c}" for c in cols) + ", home_score - away_score AS margin FROM games LEFT JOIN w h ON h.team_id = home_team_id AND h.season = games.season LEFT JOIN w a ON a.team_id = away_team_id AND a.season = games.season"
-
-
 def f11_expanding(spark: SparkSession, d: str) -> DataFrame:
     """Expanding means, cumulative sums, lag, running index and cumulative weighted means before each game."""
     pg = _all(spark, d)["player_games"].where("minutes > 0")
@@ -485,7 +513,8 @@ def n1_team_form(spark: SparkSession, d: str) -> DataFrame:
     return f.select("season", "team_id", "game_id", *[X.round_n(c, 6).alias(c) for c in features.TEAM])
 
 
-def _n1_sql() -> str:
+def _form_sql(digits: int | None = None) -> str:
+    """A team's season up to each game; rounded where digits are given."""
     w = "OVER (PARTITION BY team_id, season ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     s = lambda c: f"CAST(SUM({c}) {w} AS DOUBLE)"
     n = lambda c: f"COALESCE(COUNT(*) FILTER (WHERE {c}) {w}, 0)"
@@ -496,31 +525,126 @@ def _n1_sql() -> str:
     py = "COALESCE(pow(pts, 11.5e0) / NULLIF(pow(pts, 11.5e0) + pow(opts, 11.5e0), 0e0), 0.5e0)"
     out = {"win_pct": half("wn", "ls"), "road_win_pct": half("rw", "rl"), "pythag_win_pct": py, "point_diff": "pd", "adj_tempo": pos(f"(({ps} + COALESCE({op}, {ps})) / 2e0)", "games"), "effective_fg_pct": pos("(fgm + 0.5e0 * tpm)", "fga"), "turnover_pct": pos("tov", ps), "off_rebound_pct": pos("orb", "(orb + odrb)"), "ft_rate": pos("fta", "fga"), "opp_effective_fg_pct": pos("(ofgm + 0.5e0 * otpm)", "ofga"), "opp_turnover_pct": pos("otov", op), "def_rebound_pct": pos("drb", "(drb + oorb)"), "opp_ft_rate": pos("ofta", "ofga")}
     both = "SELECT t.*, o.points AS o_pts, o.fgm AS o_fgm, o.fga AS o_fga, o.tpm AS o_tpm, o.fta AS o_fta, o.off_rebounds AS o_orb, o.def_rebounds AS o_drb, o.turnovers AS o_tov FROM tg t LEFT JOIN tg o ON o.game_id = t.game_id AND o.team_id = t.opponent_id"
-    return sql(f"SELECT season, team_id, game_id, {', '.join(f'{rnd(e, 6)} AS {c}' for c, e in out.items())} FROM (SELECT season, team_id, game_id, {raw}, {wins}, AVG(points - o_pts) {w} AS pd, CAST(COUNT(*) {w} AS DOUBLE) AS games FROM ({both}))")
+    return f"SELECT season, team_id, game_id, {', '.join(f'{rnd(e, digits) if digits else e} AS {c}' for c, e in out.items())} FROM (SELECT season, team_id, game_id, {raw}, {wins}, AVG(points - o_pts) {w} AS pd, CAST(COUNT(*) {w} AS DOUBLE) AS games FROM ({both}))"
+
+
+def _impact(a: steps.Steps) -> DataFrame:
+    """Composite rows with raw impact beside the tiers."""
+    return steps.composite(_external(a)).withColumn("gbpm", F.col("ogbpm") + F.col("dgbpm")).withColumnRenamed("ext_pid", "player_id")
+
+
+MIN_GAMES, MIN_MINUTES = 3, 8.0
 
 
 def n2_roster(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted form of the players of each game, the most used one's points, depth and trends."""
-    f = features.roster(steps.fill_player_games(_scores(spark, d).player_games), 3, 8.0)
+    """Weighted form of the players of each game, the most used one's, depth, recent form and trends."""
+    a = _all(spark, d)
+    f = features.roster(a["rolling"], MIN_GAMES, MIN_MINUTES, features.impact_of(_impact(a)))
     return f.select("season", "team_id", "game_id", "roster_size", *[X.round_n(c, 6).alias(c) for c in features.ROSTER if c != "roster_size"])
 
 
+def _roster_sql() -> str:
+    """CTEs; the last is `people` (season, team_id, game_id, features.ROSTER...)."""
+    line = "OVER (PARTITION BY player_id, team_id, season ORDER BY game_date, game_id"
+    w = f"{line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    n = lambda c: f"CAST({c} AS DOUBLE)"
+    fifth, plays, team_plays = f"(COALESCE({n('team_minutes')}, 200e0) / 5e0)", "(fga + 0.44e0 * fta + turnovers)", "(team_fga + 0.44e0 * team_fta + team_turnovers)"
+    rates = {
+        "ts_g": pos("points", "(2e0 * (fga + 0.44e0 * fta))"), "efg_g": pos("(fgm + 0.5e0 * tpm)", "fga"), "ortg_g": f"{n('points')} / greatest(fga - off_rebounds + turnovers + 0.44e0 * fta, 0.1e0) * 100e0",
+        "usage_g": f"CASE WHEN {team_plays} > 0 THEN {plays} * {fifth} / (minutes * {team_plays}) END", "ast_g": pos("assists", f"(minutes / {fifth} * team_fgm - fgm)"), "tov_g": pos("turnovers", plays), "stl_g": f"{n('steals')} / (minutes / 40e0)", "blk_g": f"{n('blocks')} / (minutes / 40e0)",
+    }
+    mean = lambda c: f"CAST(SUM(CAST({c} AS DECIMAL(18,9))) {w} AS DOUBLE) / NULLIF(CAST(COUNT({c}) {w} AS DOUBLE), 0e0)"
+    means = ", ".join(f"{mean(c)} AS {a}" for a, c in [*features.MEANS.items(), ("gs", "game_score")])
+    total = lambda c: f"CAST(SUM(CAST({c} * wt AS DECIMAL(28,9))) AS DOUBLE)"
+    every = ", ".join(f"COALESCE({total(c)} / SUM(wt), 0e0) AS {a}" for a, c in [*((a, a) for a in features.MEANS), *((f"w_{c}", c) for c in features.IMPACT)])
+    stars = ", ".join(f"CAST(first(CAST({c} AS DOUBLE) ORDER BY wt DESC, player_id) AS DOUBLE) AS {a}" for a, c in [("star_ppg", "w_ppg"), *((f"star_{c}", c) for c in features.IMPACT), ("star_ortg", "w_ortg")])
+    known = ", ".join(f"{total(c)} / SUM(CASE WHEN {c} IS NOT NULL THEN wt END) AS {c}" for c in ("w_rolling_gs", "w_rolling_ts", "w_ppg_trend", "w_gs_trend"))
+    return ",\n".join([
+        f"rt AS (SELECT *, {', '.join(f'{e} AS {a}' for a, e in rates.items())} FROM roll)",
+        f"cum AS MATERIALIZED (SELECT season, team_id, game_id, player_id, COUNT(*) {w} AS g, SUM(minutes) {w} AS wt, {means}, LAG(rolling_ppg) {line}) AS r_ppg, LAG(rolling_game_score) {line}) AS w_rolling_gs, LAG(rolling_ts_pct) {line}) AS w_rolling_ts FROM rt)",
+        "imp AS (SELECT ext_pid AS player_id, season, ogbpm + dgbpm AS gbpm, ogbpm, dgbpm FROM ext)",
+        f"people AS MATERIALIZED (SELECT season, team_id, game_id, COUNT(*) AS roster_size, {every}, {stars}, stddev_samp(mpg) AS minutes_stddev, {known} FROM (SELECT cum.*, gbpm, ogbpm, dgbpm, wt / g AS mpg, r_ppg - w_ppg AS w_ppg_trend, w_rolling_gs - gs AS w_gs_trend FROM cum LEFT JOIN imp USING (player_id, season) WHERE g >= {MIN_GAMES} AND wt / g >= {MIN_MINUTES}) GROUP BY season, team_id, game_id)",
+    ])
+
+
 def _n2_sql() -> str:
-    w = "OVER (PARTITION BY player_id, team_id, season ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    r = w.replace("UNBOUNDED PRECEDING AND", "5 PRECEDING AND")
-    means = ", ".join(f"AVG({c}) {w} AS {a}" for a, c in {"mpg": "minutes", "ppg": "points", "rpg": "total_rebounds", "apg": "assists", "spg": "steals", "bpg": "blocks", "topg": "turnovers", "gs": "game_score"}.items())
-    inner = f"SELECT season, team_id, game_id, player_id, COUNT(*) {w} AS g, {means}, {pos(f'SUM(points) {w}', f'(2e0 * ((SUM(fga) {w}) + 0.44e0 * (SUM(fta) {w})))')} AS ts_pct, {pos(f'((SUM(fgm) {w}) + 0.5e0 * (SUM(tpm) {w}))', f'(SUM(fga) {w})')} AS efg_pct, AVG(points) {r} AS r_ppg, AVG(game_score) {r} AS r_gs FROM pg WHERE minutes > 0"
-    avg = lambda c: rnd(div(f"SUM({c} * wt)", f"SUM(CASE WHEN {c} IS NOT NULL THEN wt END)"), 6)
-    cols = ", ".join(f"{avg(c)} AS w_{c}" for c in ("ppg", "rpg", "apg", "spg", "bpg", "topg", "ts_pct", "efg_pct"))
-    return sql(f"SELECT season, team_id, game_id, COUNT(*) AS roster_size, {cols}, {rnd('arg_max(ppg, (wt, -player_id))', 6)} AS star_ppg, {rnd('stddev_samp(mpg)', 6)} AS minutes_stddev, {avg('ppg_trend')} AS w_ppg_trend, {avg('gs_trend')} AS w_gs_trend FROM (SELECT *, mpg * g AS wt, r_ppg - ppg AS ppg_trend, r_gs - gs AS gs_trend FROM ({inner}) WHERE g >= 3 AND mpg >= 8) GROUP BY season, team_id, game_id")
+    return f"WITH {chain()},\n{ROLL},\n{EXT},\n{_roster_sql()}\nSELECT season, team_id, game_id, roster_size, " + ", ".join(f"{rnd(c, 6)} AS {c}" for c in features.ROSTER if c != "roster_size") + " FROM people"
 
 
-def n9_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The whole matrix with as-of ratings and Elo (no oracle: parts have theirs, leakage is tested)."""
-    s = _scores(spark, d)
-    pg, tg = steps.fill_player_games(s.player_games), steps.estimate_rebounds(s.team_games)
-    dates = tg.select(F.trunc("game_date", "year").alias("as_of")).distinct()
-    return features.matrix(_games(spark, d), pg, tg, s.teams, ratings.by_date(tg, dates, ROUNDS))
+def _matrix(spark: SparkSession, d: str, variant: str = "raw") -> DataFrame:
+    a = _all(spark, d)
+    return features.matrix(_games(spark, d, a.scores), a["rolling"], a["team_games"], a.scores.teams, _snapshots(a["team_games"]), _impact(a), variant, min_games=MIN_GAMES, min_minutes=MIN_MINUTES)
+
+
+def n8_matchups(spark: SparkSession, d: str) -> DataFrame:
+    """The whole matrix, with as-of ratings, Elo, schedules met and impact."""
+    m = _matrix(spark, d)
+    return m.select("season", "game_id", F.col("venue").cast("long").alias("venue"), F.col("is_conference_game").cast("long").alias("is_conference_game"), *[X.round_n(f"diff_{c}", 4).alias(f"diff_{c}") for c in features.NAMES], "margin", F.col("home_win").cast("long").alias("home_win"))
+
+
+def _n8_sql() -> str:
+    side = {**{c: f"{{s}}_f.{c}" for c in features.TEAM}, "adj_offense": "{s}_r.o", "adj_defense": "{s}_r.d", "adj_efficiency_margin": "({s}_r.o - {s}_r.d)", "sos": "{s}_r.sos", "elo": "e.e{s}", **{c: f"{{s}}_p.{c}" for c in features.ROSTER}, "w_player_sos": "{s}_t.w_player_sos"}
+    gap = lambda c: rnd(f"({'-' if c in features.LOWER_IS_BETTER else ''}(CAST({side[c].format(s='h')} AS DOUBLE) - CAST({side[c].format(s='a')} AS DOUBLE)))", 4)
+    w = "OVER (PARTITION BY player_id, season ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    met = ",\n".join([
+        f"form AS MATERIALIZED ({_form_sql()})",
+        "met AS (SELECT p.player_id, p.season, p.game_id, p.team_id, p.game_date, p.minutes, s.o - s.d AS mg FROM pg p ASOF LEFT JOIN snap s ON s.team_id = p.opponent_id AND p.game_date >= s.as_of WHERE p.minutes > 0)",
+        f"psm AS (SELECT season, team_id, game_id, minutes, CAST(SUM(CAST(COALESCE(mg, 0e0) * minutes AS DECIMAL(28,9))) {w} AS DOUBLE) / NULLIF(SUM(minutes) {w}, 0e0) AS cs FROM met)",
+        "tsos AS (SELECT season, team_id, game_id, CAST(SUM(CAST(COALESCE(cs, 0e0) * minutes AS DECIMAL(28,9))) AS DOUBLE) / SUM(minutes) AS w_player_sos FROM psm GROUP BY ALL)",
+        "gr AS (SELECT g.*, h.conference AS hc, a.conference AS ac FROM games g JOIN teams h ON h.team_id = home_team_id JOIN teams a ON a.team_id = away_team_id)",
+        "before AS (SELECT g.game_id, t.team_id, MAX(s.as_of) AS as_of FROM games g JOIN (SELECT DISTINCT team_id FROM snap) t ON t.team_id IN (g.home_team_id, g.away_team_id) JOIN snap s ON s.team_id = t.team_id AND s.as_of < g.game_date GROUP BY ALL)",
+    ])
+    joined = "FROM gr g LEFT JOIN elo e ON e.game_id = g.game_id AND e.season = g.season"
+    for s, key in (("h", "home_team_id"), ("a", "away_team_id")):
+        joined += f" LEFT JOIN form {s}_f ON {s}_f.game_id = g.game_id AND {s}_f.team_id = g.{key} LEFT JOIN people {s}_p ON {s}_p.game_id = g.game_id AND {s}_p.team_id = g.{key} LEFT JOIN tsos {s}_t ON {s}_t.game_id = g.game_id AND {s}_t.team_id = g.{key} LEFT JOIN before {s}_b ON {s}_b.game_id = g.game_id AND {s}_b.team_id = g.{key} LEFT JOIN snap {s}_r ON {s}_r.team_id = g.{key} AND {s}_r.as_of = {s}_b.as_of"
+    head = f"WITH RECURSIVE {chain()},\n{GAMES_SQL}\n{SQL_K3},\n{ROLL},\n{EXT},\n{_roster_sql()},\n{_snap_sql()},\n{met}"
+    return f"{head}\nSELECT g.season, g.game_id, CAST(CASE WHEN is_neutral_site THEN 0 ELSE 1 END AS BIGINT) AS venue, CAST(COALESCE(hc = ac, false) AS BIGINT) AS is_conference_game, " + ", ".join(f"{gap(c)} AS diff_{c}" for c in features.NAMES) + f", home_score - away_score AS margin, CAST(home_score > away_score AS BIGINT) AS home_win {joined}"
+
+
+def n10_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Impact columns of the composite by variant, under the same names."""
+    a = _all(spark, d)
+    ext = stored(_impact(a), "impact")
+    rows = [features.impact_of(ext, v).select(F.lit(v).alias("variant"), "player_id", "season", *[X.round_n(c, 4).alias(c) for c in features.IMPACT]) for v in features.VARIANTS]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _n10_sql() -> str:
+    body = _c09_sql()
+    head, tail = body[: body.rindex("SELECT ext_pid")], ""
+    for v, cols in features.VARIANTS.items():
+        cols = [{"gbpm": "(ogbpm + dgbpm)"}.get(c, c) for c in cols]
+        tail += f"{' UNION ALL ' if tail else ''}SELECT '{v}' AS variant, ext_pid AS player_id, season, " + ", ".join(f"{rnd(c, 4)} AS {n}" for c, n in zip(cols, features.IMPACT, strict=True)) + " FROM t5"
+    return head + tail
+
+
+def o_models(spark: SparkSession, d: str) -> DataFrame:
+    """Margin and win models over the whole matrix, trained on the first four fifths by day and applied to the rest (no oracle: trained)."""
+    m = _matrix(spark, d)
+    m = stored(m.withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double")).dropna(subset=[*features.FEATURES, "margin"]), "matrix")
+    first, rest = models.chronological(m, "game_date", "game_id")
+    fitted = models.train(first, features.FEATURES, "margin", "home_win")
+    return models.predict(rest, fitted).select("season", "game_id", "margin", "pred_margin", "pred_win", "home_wins")
+
+
+def q19_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Q19: matchups asked for by name: teams found as in Q20, features as of the day, models, winner (no oracle: trained)."""
+    a = _all(spark, d)
+    names = a.scores.teams.select("team_id", "name")
+    asked = spark.createDataFrame([("q1", "NATION_1", "nation_2", False), ("q2", "NATION_3", "NATION_4", True), ("q3", "nobody", "NATION_4", False)], "game_id string, home string, away string, is_neutral_site boolean")
+    found = asked
+    for side in ("home", "away"):
+        t = names.select(F.lower("name").alias(f"{side}_key"), F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_name"))
+        found = found.join(t, F.lower(side) == F.col(f"{side}_key"))
+    last = a["team_games"].agg(F.max("season").alias("season"), F.date_add(F.max("game_date"), 1).alias("game_date"))
+    found = stored(found.crossJoin(last).select("game_id", "season", "game_date", "home_team_id", "away_team_id", "is_neutral_site", "home_name", "away_name"), "asked")
+    games, pg, tg = features.with_matchups(found.drop("home_name", "away_name"), _games(spark, d, a.scores), a["rolling"], a["team_games"])
+    snap = _snapshots(a["team_games"])
+    m = stored(features.matrix(games, pg, tg, a.scores.teams, snap, _impact(a), min_games=MIN_GAMES, min_minutes=MIN_MINUTES), "matrix")
+    past = m.where("margin IS NOT NULL").withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double"))
+    fitted = models.train(past, features.FEATURES, "margin", "home_win")
+    out = models.predict(m.join(found.select("game_id", "home_name", "away_name"), "game_id").fillna(0.0, features.FEATURES), fitted)
+    return out.select("game_id", "home_name", "away_name", "pred_margin", "pred_win", F.when(F.col("home_wins"), F.col("home_name")).otherwise(F.col("away_name")).alias("winner"))
 
 
 QUERIES = {
@@ -549,12 +673,14 @@ QUERIES = {
     "c11_three_valued_flag": (c11_flags, lambda: gsql(SQL_C11)),
     "c12_schedules": (c12_schedules, lambda: gsql(SQL_C12)),
     "k1_adjusted_rating": (k1_adjusted, lambda: sql(SQL_K1)),
-    "k2_rating_by_date": (k2_by_date, lambda: f"WITH {chain()}, {DAYS}\n{SQL_K2}"),
-    "k3_elo": (k3_elo, None),
-    "n1_team_form": (n1_team_form, _n1_sql),
+    "k2_rating_by_date": (k2_by_date, lambda: f"WITH {chain()}, {_snap_sql()}\n{SQL_K2}"),
+    "k3_elo": (k3_elo, lambda: rsql(SQL_K3_OUT)),
+    "n1_team_form": (n1_team_form, lambda: sql(_form_sql(6))),
     "n2_n3_roster_form": (n2_roster, _n2_sql),
-    "n9_feature_matrix": (n9_matrix, None),
     "n8_matchup_features": (n8_matchups, _n8_sql),
+    "n10_impact_variants": (n10_variants, _n10_sql),
+    "o1_o2_models": (o_models, None),
+    "q19_predict": (q19_predict, None),
     "f11_f15_expanding_prior": (f11_expanding, lambda: sql(SQL_F11)),
     "t4_standouts": (t4_standouts, lambda: sql(SQL_T4)),
     "t5_overlay": (t5_overlay, lambda: psql(SQL_T5)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import exprs as X
 from lakeloom.functions import metrics, strings
 from lakeloom.operators import joins, similarity, upsert, windows
-from lakeloom.plans import models, steps
+from lakeloom.plans import steps
 from lakeloom.plans.checked_box import div, rnd
 
 
@@ -92,12 +92,13 @@ SQL_T2 = f"WITH {_SHARES}, x AS (SELECT *, gs / NULLIF(tsh, 0e0) AS ix, {rnd('(g
 
 
 def k5_archetypes(spark: SparkSession, d: str) -> DataFrame:
-    """K5 and K6: clusters of standardised vectors with named classes and soft membership (no oracle: invariants are tested)."""
+    """K5 and K6: clusters of whole standardised vectors with named classes and soft membership (no oracle: invariants are tested)."""
     e = _t(spark, d, "embeddings")
-    dims = [f"v{i}" for i in range(6)]
+    n = e.select(F.max(F.size("embedding"))).first()[0] or 0
+    dims = [f"v{i}" for i in range(n)]
     flat = similarity.standardize(e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(dims)]), dims)
-    signatures = {f"class{i}": [1.0 if j == i else -0.2 for j in range(6)] for i in range(4)}
-    r = similarity.archetypes(flat.select("vec_id", F.array(*dims).alias("v")), "vec_id", "v", signatures, 2)
+    signatures = {f"class{i}": [1.0 if j % 12 == i else -1.0 / 11 for j in range(n)] for i in range(12)}
+    r = similarity.archetypes(flat.select("vec_id", F.array(*dims).alias("v")), "vec_id", "v", signatures)
     return r.drop("affinity")
 
 
@@ -400,16 +401,6 @@ def h1_sets(spark: SparkSession, d: str) -> DataFrame:
 SQL_H1 = "SELECT c_mktsegment, COUNT(*) AS n FROM (SELECT c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT c_mktsegment FROM customer) GROUP BY 1 UNION ALL SELECT DISTINCT o_orderstatus, CAST(0 AS BIGINT) FROM orders"
 
 
-def o_models(spark: SparkSession, d: str) -> DataFrame:
-    """Margin and win models, trained on the first four fifths by day and applied to the rest (no oracle: quality is tested)."""
-    o = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    li = _t(spark, d, "lineitem", "l_orderkey", "l_quantity", "l_discount").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("disc"), F.count("*").cast("double").alias("lines"))
-    df = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("margin", F.col("q") - 100.0 + F.col("lines")).withColumn("win", (F.col("q") > 100).cast("double"))
-    first, rest = models.chronological(df, "o_orderdate", "o_orderkey")
-    fitted = models.train(first, ["q", "disc", "lines"], "margin", "win", models.Params(trees=5, depth=3))
-    return models.predict(rest, fitted).select("o_orderkey", "margin", "pred_margin", "pred_win", "home_wins")
-
-
 QUERIES = {
     "q14_similar_vectors": (q14_similar, lambda: SQL_Q14),
     "q15_exemplars": (q15_exemplars, lambda: SQL_Q15),
@@ -443,5 +434,4 @@ QUERIES = {
     "j_last_wins": (j_last_wins, lambda: SQL_JL),
     "b_scalars": (b_scalars, lambda: SQL_B),
     "h1_h4_sets": (h1_sets, lambda: SQL_H1),
-    "o1_o2_models": (o_models, None),
 }

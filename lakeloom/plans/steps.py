@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import exprs as X
 from lakeloom.operators import joins, ratings, upsert, windows
+from lakeloom.sources.tables import stored
 
 GAME_ORDER = ("game_date", "game_id")
 
@@ -226,11 +228,40 @@ def percentiles(ps: DataFrame, min_games: int = 10, min_minutes: float = 10) ->
     return windows.percent_ranks(best, ["player_id"], have, ["season"], [m for m in PERCENTILE_DOWN if m in have])
 
 
-def run_all(scores, rounds: int = 50, tol: float = 0.01) -> dict[str, DataFrame]:
-    """All steps over box scores (see sources.boxscores), lazily."""
-    pg, tg = fill_player_games(scores.player_games), estimate_rebounds(scores.team_games)
-    ts = with_adjusted(team_seasons(tg), tg, rounds, tol)
-    ps = player_seasons(pg, tg)
-    sos = player_sos(pg, ts)
-    ps = ps.join(sos, ["player_id", "team_id", "season"], "left")
-    return {"player_games": pg, "team_games": tg, "team_seasons": ts, "player_seasons": ps, "rolling": rolling(pg), "percentiles": percentiles(ps)}
+class Steps:
+    """All steps over box scores (see sources.boxscores), each made when it is asked for. What several steps read is stored once."""
+
+    def __init__(self, scores, rounds: int = 50, tol: float = 0.01):
+        self.scores, self.rounds, self.tol = scores, rounds, tol
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def player_games(self) -> DataFrame:
+        return stored(fill_player_games(self.scores.player_games), "player-games")
+
+    @cached_property
+    def team_games(self) -> DataFrame:
+        return stored(estimate_rebounds(self.scores.team_games), "team-games")
+
+    @cached_property
+    def team_seasons(self) -> DataFrame:
+        return stored(with_adjusted(team_seasons(self.team_games), self.team_games, self.rounds, self.tol), "team-seasons")
+
+    @cached_property
+    def player_seasons(self) -> DataFrame:
+        sos = player_sos(self.player_games, self.team_seasons)
+        return stored(player_seasons(self.player_games, self.team_games).join(sos, ["player_id", "team_id", "season"], "left"), "player-seasons")
+
+    @cached_property
+    def rolling(self) -> DataFrame:
+        return rolling(self.player_games)
+
+    @cached_property
+    def percentiles(self) -> DataFrame:
+        return percentiles(self.player_seasons)
+
+
+def run_all(scores, rounds: int = 50, tol: float = 0.01) -> Steps:
+    return Steps(scores, rounds, tol)

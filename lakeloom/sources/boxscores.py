@@ -6,20 +6,14 @@ side of a game. Counts are taken from sums modulo small numbers; some are null.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOX = ["minutes", "points", "fgm", "fga", "tpm", "tpa", "ftm", "fta", "off_rebounds", "def_rebounds", "total_rebounds", "assists", "steals", "blocks", "turnovers", "fouls"]
-
+from lakeloom.sources.tables import stored
 
-@dataclass(frozen=True)
-class BoxScores:
-    teams: DataFrame  # team_id, name, conference, season-free
-    players: DataFrame  # player_id, name, team_id
-    player_games: DataFrame
-    team_games: DataFrame
+BOX = ["minutes", "points", "fgm", "fga", "tpm", "tpa", "ftm", "fta", "off_rebounds", "def_rebounds", "total_rebounds", "assists", "steals", "blocks", "turnovers", "fouls"]
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,29 +30,61 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class BoxScores:
+    """Tables as they are asked for. What players sold by game is joined and summed once and stored, as are the sides of games."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+
+    @cached_property
+    def teams(self) -> DataFrame:
+        """(team_id, name, conference)"""
+        return self._read("nation").join(self._read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("name"), F.col("r_name").alias("conference"))
+
+    @cached_property
+    def players(self) -> DataFrame:
+        """(player_id, name, team_id)"""
+        return self._read("supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("team_id"))
+
+    @cached_property
+    def _box(self) -> DataFrame:
+        keys = ["player_id", "team_id", "opponent_id", "game_id", "season", "game_date"]
+        b = _lines(self.spark, self.sf_dir).groupBy(*keys).agg(F.sum("l_quantity").cast("long").alias("q"), F.round(F.sum("l_extendedprice") * 100).cast("long").alias("p"))
+        q, p = F.col("q"), F.col("p")
+        b = b.withColumn("fga", 1 + q % 17).withColumn("fgm", F.least(F.col("fga"), p % 9)).withColumn("tpm", F.least(F.col("fgm"), p % 4)).withColumn("fta", p % 8).withColumn("ftm", F.least(F.col("fta"), q % 6))
+        b = b.withColumn("tpa", F.col("tpm") + q % 3).withColumn("off_rebounds", q % 5)
+        total = F.when(p % 11 == 0, F.lit(None)).when(p % 13 == 0, 0).otherwise(F.col("off_rebounds") + p % 9).cast("long")
+        box = b.select(
+            *keys, F.when(q % 29 != 0, (q % 40).cast("double")).alias("minutes"), F.when(p % 37 != 0, 2 * F.col("fgm") + F.col("tpm") + F.col("ftm")).alias("points"), "fgm", "fga", "tpm", "tpa", "ftm", "fta", "off_rebounds",
+            F.lit(None).cast("long").alias("def_rebounds"), total.alias("total_rebounds"), (p % 8).alias("assists"), (p % 3).alias("steals"), (q % 3).alias("blocks"), (q % 6).alias("turnovers"), (p % 5).alias("fouls"), (q % 2 == 0).alias("starter"), "q",
+        )
+        return stored(box, "box")
+
+    @cached_property
+    def team_games(self) -> DataFrame:
+        both = F.sum(F.coalesce("total_rebounds", "off_rebounds"))
+        known = F.sum("q") % 4 != 0
+        side = self._box.groupBy("team_id", "opponent_id", "game_id", "season", "game_date").agg(
+            F.when(F.sum("q") % 7 != 0, 200 + 25 * (F.sum("q") % 3)).alias("minutes"), *[F.sum(c).alias(c) for c in BOX[1:9]],
+            F.when(known, both - F.sum("off_rebounds")).alias("def_rebounds"), F.when(known, both).alias("total_rebounds"), *[F.sum(c).alias(c) for c in BOX[11:]],
+        )
+        return stored(side.withColumn("is_home", F.col("team_id") < F.col("opponent_id")), "sides")
+
+    @cached_property
+    def player_games(self) -> DataFrame:
+        context = self.team_games.select("game_id", "team_id", *[F.col(c).alias(f"team_{c}") for c in CONTEXT])
+        return self._box.drop("q").join(context, ["game_id", "team_id"])
+
+
+#: What a player's row holds of its team's.
+CONTEXT = ("fga", "fta", "turnovers", "fgm", "minutes")
+
+
 def box_scores(spark: SparkSession, sf_dir: str) -> BoxScores:
-    nation, region = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
-    teams = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("name"), F.col("r_name").alias("conference"))
-    players = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("team_id"))
-    keys = ["player_id", "team_id", "opponent_id", "game_id", "season", "game_date"]
-    b = _lines(spark, sf_dir).groupBy(*keys).agg(F.sum("l_quantity").cast("long").alias("q"), F.round(F.sum("l_extendedprice") * 100).cast("long").alias("p"))
-    q, p = F.col("q"), F.col("p")
-    b = b.withColumn("fga", 1 + q % 17).withColumn("fgm", F.least(F.col("fga"), p % 9)).withColumn("tpm", F.least(F.col("fgm"), p % 4)).withColumn("fta", p % 8).withColumn("ftm", F.least(F.col("fta"), q % 6))
-    b = b.withColumn("tpa", F.col("tpm") + q % 3).withColumn("off_rebounds", q % 5)
-    total = F.when(p % 11 == 0, F.lit(None)).when(p % 13 == 0, 0).otherwise(F.col("off_rebounds") + p % 9).cast("long")
-    box = b.select(
-        *keys, F.when(q % 29 != 0, (q % 40).cast("double")).alias("minutes"), F.when(p % 37 != 0, 2 * F.col("fgm") + F.col("tpm") + F.col("ftm")).alias("points"), "fgm", "fga", "tpm", "tpa", "ftm", "fta", "off_rebounds",
-        F.lit(None).cast("long").alias("def_rebounds"), total.alias("total_rebounds"), (p % 8).alias("assists"), (p % 3).alias("steals"), (q % 3).alias("blocks"), (q % 6).alias("turnovers"), (p % 5).alias("fouls"), (q % 2 == 0).alias("starter"), "q",
-    )
-    both = F.sum(F.coalesce("total_rebounds", "off_rebounds"))
-    known = F.sum("q") % 4 != 0
-    side = box.groupBy("team_id", "opponent_id", "game_id", "season", "game_date").agg(
-        F.when(F.sum("q") % 7 != 0, 200 + 25 * (F.sum("q") % 3)).alias("minutes"), *[F.sum(c).alias(c) for c in BOX[1:9]],
-        F.when(known, both - F.sum("off_rebounds")).alias("def_rebounds"), F.when(known, both).alias("total_rebounds"), *[F.sum(c).alias(c) for c in BOX[11:]],
-    )
-    side = side.withColumn("is_home", F.col("team_id") < F.col("opponent_id"))
-    context = side.select("game_id", "team_id", *[F.col(c).alias(f"team_{c}") for c in ("fga", "fta", "turnovers", "fgm")])
-    return BoxScores(teams, players, box.drop("q").join(context, ["game_id", "team_id"]), side)
+    return BoxScores(spark, sf_dir)
 
 
 #: The same tables as CTEs for DuckDB: teams, players, pg (player games), tg (team games).
@@ -88,5 +114,5 @@ sold AS (
     SUM(assists) AS assists, SUM(steals) AS steals, SUM(blocks) AS blocks, SUM(turnovers) AS turnovers, SUM(fouls) AS fouls, team_id < opponent_id AS is_home
   FROM box GROUP BY team_id, opponent_id, game_id, season, game_date
 ), pg0 AS (
-  SELECT b.*, t.fga AS team_fga, t.fta AS team_fta, t.turnovers AS team_turnovers, t.fgm AS team_fgm FROM box b JOIN tg0 t ON b.game_id = t.game_id AND b.team_id = t.team_id
+  SELECT b.*, t.fga AS team_fga, t.fta AS team_fta, t.turnovers AS team_turnovers, t.fgm AS team_fgm, t.minutes AS team_minutes FROM box b JOIN tg0 t ON b.game_id = t.game_id AND b.team_id = t.team_id
 )"""

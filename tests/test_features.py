@@ -16,7 +16,7 @@ def test_no_look_ahead(spark):
     s = boxscores.box_scores(spark, DIR)
     day = F.lit("1994-06-01").cast("date")
     tg = steps.estimate_rebounds(s.team_games).where("season <= 1994").persist()
-    pg = steps.fill_player_games(s.player_games).where("season <= 1994").persist()
+    pg = steps.rolling(steps.fill_player_games(s.player_games)).where("season <= 1994").persist()
     for make, rows in ((features.team_form, tg), (lambda d: features.roster(d, 2, 5.0), pg)):
         full = make(rows).join(tg.where(F.col("game_date") <= day).select("game_id", "team_id"), ["game_id", "team_id"], "left_semi")
         cut = make(rows.where(F.col("game_date") <= day))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.sources.tables import release, shared_dir, stored
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACE", "WORD", "read", "release", "shared_dir", "short_batches", "stored", "unit_hash"]
+
 #: White space and words as every operator here understands them.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,39 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a fresh folder in local mode (tests), whose executors
-    are the driver; on a cluster that is an error."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="lakeloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
-
-    It cuts lineage as checkpoint() does, survives lost executors, and leaves later plans real sizes to choose joins by.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lakeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Remove every table that stored() wrote in this application. Call it once results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lakeloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small: rows and bytes are bounded here, whatever the session says. These settings are read when a plan
     runs, so they stay set; they only ever shrink."""

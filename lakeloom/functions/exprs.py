@@ -122,3 +122,8 @@ def ladder(value, steps: list[tuple[float, str]], below: str) -> Column:
     for least, label in steps:
         out = out.when(v >= least, F.lit(label))
     return out.otherwise(F.lit(below))
+
+
+def single(c: Column | str) -> Column:
+    """In single precision."""
+    return col(c).cast("float")

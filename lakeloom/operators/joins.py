@@ -91,3 +91,13 @@ def any_of(*conditions: Column | None) -> Column:
     for c in given[1:]:
         out = out | c
     return out
+
+
+def backfill_rebounds(pg: DataFrame, feed: DataFrame, name: str, day: str, feed_name: str, feed_day: str) -> DataFrame:
+    """pg with the feed's oreb and dreb where total_rebounds is missing or 0, found by normalised name and day. A name may stand for several
+    players; feed rows that lack either number, or repeat a name and day beyond the first by oreb, are left out."""
+    f = feed.where("oreb IS NOT NULL AND dreb IS NOT NULL").groupBy(normalize_name(feed_name).alias("__n"), F.col(feed_day).alias("__d")).agg(F.min(F.struct("oreb", "dreb")).alias("__f"))
+    j = pg.join(f, (normalize_name(name) == F.col("__n")) & (F.col(day) == F.col("__d")), "left")
+    hit = F.col("__f").isNotNull() & (F.coalesce("total_rebounds", F.lit(0)) == 0)
+    new = {"off_rebounds": F.col("__f.oreb"), "def_rebounds": F.col("__f.dreb"), "total_rebounds": F.col("__f.oreb") + F.col("__f.dreb")}
+    return j.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in pg.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -87,3 +87,10 @@ def merge_facts(facts: DataFrame, mapping: DataFrame, entity_id: str, within: Se
     k = F.row_number().over(W.partitionBy("__to", *within).orderBy(F.col("dup").isNotNull(), F.col(entity_id)))
     kept = m.withColumn("__k", k).where("__k = 1")
     return kept.select(*[F.col("__to").alias(c) if c == entity_id else F.col(c) for c in facts.columns])
+
+
+def resolvable(facts: DataFrame, known: Mapping[str, DataFrame]) -> DataFrame:
+    """Facts whose keys all stand in their dimension (column to a table with that column); null keys stand in none."""
+    for column, dimension in known.items():
+        facts = facts.join(dimension.select(column), [column], "left_semi")
+    return facts

@@ -287,15 +287,6 @@ def q12_games(spark: SparkSession, d: str) -> DataFrame:
 SQL_Q12 = "SELECT game_id, season, game_date, home_team_id, away_team_id, home_score, away_score, is_neutral_site FROM games WHERE game_date >= DATE '1995-06-01' AND (home_team_id = 3 OR away_team_id = 3) ORDER BY game_date DESC, game_id LIMIT 100"
 
 
-def q18_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Q18: up to four players side by side; unknown ids are left out."""
-    s, a = _scores(spark, d), _all(spark, d)
-    return s.players.where(F.col("player_id").isin(1, 2, 3, 10**9)).drop("team_id").join(a["player_seasons"].select("player_id", "team_id", "season", "ppg", "rpg"), "player_id")
-
-
-SQL_Q18 = "SELECT player_id, name, ps.team_id, season, ppg, rpg FROM players p JOIN ps USING (player_id) WHERE player_id IN (1, 2, 3, 1000000000)"
-
-
 def q20_team_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Q20: for each query the team of that name in any case, else the shortest name that it begins."""
     t = _scores(spark, d).teams
@@ -661,7 +652,6 @@ QUERIES = {
     "q10_league_averages": (q10_league_averages, lambda: sql(SQL_Q10)),
     "q11_masked_percentiles": (q11_masked_percentiles, lambda: sql(SQL_Q11)),
     "q12_games_filtered": (q12_games, lambda: gsql(SQL_Q12)),
-    "q18_compare": (q18_compare, lambda: sql(SQL_Q18)),
     "q20_team_lookup": (q20_team_lookup, lambda: sql(SQL_Q20)),
     "c01_dedup": (c01_dedup, lambda: sql(SQL_C01)),
     "c02_player_games": (c02_player_games, lambda: sql(SQL_C02)),

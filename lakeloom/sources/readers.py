@@ -46,7 +46,8 @@ def positional_json(spark: SparkSession, path: str, columns: Mapping[str, tuple[
     return rows.dropna(subset=list(required)) if required else rows
 
 
-META_KEYS = ("meta", "user", "query", "credits", "success", "error")
+# Keys of a payload that hold no rows.
+META_KEYS = ("meta", "user", "query", "success", "error", "warnings")
 
 
 def payload_rows(df: DataFrame, payload: str, row_schema: str, meta_keys: Sequence[str] = META_KEYS) -> DataFrame:

@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lakeloom.plans import checked_box, checked_star
+from lakeloom.plans import checked_box, checked_reads, checked_star
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="no test tables")
-PLAIN = checked_box.QUERIES | checked_star.QUERIES
+PLAIN = checked_box.QUERIES | checked_reads.QUERIES | checked_star.QUERIES
 
 
 def same(v):

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions.exprs import col, ordered
+from lakeloom.sources.tables import stored
 
 Keys = Sequence[Column | str]
 
@@ -53,16 +54,32 @@ def percent_rank_among(x, among: Column, by: Keys = (), descending: bool = False
 
 
 def percent_ranks(df: DataFrame, key: Keys, metrics: Sequence[str], by: Keys = (), descending: Sequence[str] = ()) -> DataFrame:
-    """key, by and for each metric <metric>_pct. One sort a metric, each in its own partition, instead of one task that sorts for all:
-    metrics are unpivoted, ranked within (by, metric) and pivoted back, so k metrics run in k partitions."""
+    """key, by and for each metric <metric>_pct; nulls last when ascending, first when descending. Values are counted first, so windows see a row for
+    each distinct value of a metric and group and not one for each row; rows then look their value up."""
     ids = [*key, *by]
     long = df.select(*ids, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("m")).select(*ids, "m.metric", "m.x")
     down = F.col("metric").isin(*descending) if descending else F.lit(False)
     # descending ranks with nulls first equal ascending ranks of the negated value with nulls first
     nulls = F.when(F.col("x").isNull(), F.when(down, 0).otherwise(2)).otherwise(1)
-    rank = F.percent_rank().over(W.partitionBy(*by, "metric").orderBy(nulls, F.when(down, -F.col("x")).otherwise(F.col("x"))))
-    ranked = long.withColumn("r", rank)
-    return ranked.groupBy(*ids).agg(*[F.max(F.when(F.col("metric") == m, F.col("r"))).alias(f"{m}_pct") for m in metrics])
+    counts = long.groupBy(*by, "metric", "x").agg(F.count("*").alias("n"))
+    group = W.partitionBy(*by, "metric")
+    before = F.sum("n").over(group.orderBy(nulls, F.when(down, -F.col("x")).otherwise(F.col("x")))) - F.col("n")
+    ranks = counts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("metric").alias("__metric"), F.col("x").alias("__x"), F.coalesce(F.try_divide(before.cast("double"), F.sum("n").over(group) - 1), F.lit(0.0)).alias("r"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, "metric", "x"]]
+    return long.join(ranks, same).groupBy(*ids).agg(*[F.max(F.when(F.col("metric") == m, F.col("r"))).alias(f"{m}_pct") for m in metrics])
+
+
+def running_sum(df: DataFrame, by: Keys, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of `value` over the rows of its group up to each one, in order of a column that is unique in the group. Rows are dealt by range, so
+    a group is summed in as many tasks as it fills, and one row a task and group gives what the tasks before hold."""
+    keys = [col(c) for c in by]
+    dealt = stored(df.repartitionByRange(*keys, F.col(order)).withColumn("__task", F.spark_partition_id()), "dealt")
+    totals = dealt.groupBy(*by, "__task").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*by or [F.lit(1)]).orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__task").alias("__t"), before.alias("__before"))
+    here = F.sum(value).over(W.partitionBy(*by, "__task").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    out = dealt.withColumn("__here", here).join(starts, [F.col("__task") == F.col("__t"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]])
+    return out.withColumn(name, F.col("__here") + F.col("__before")).select(*df.columns, name)
 
 
 def rank_of(x, by: Keys = (), descending: bool = True, dense: bool = False) -> Column:

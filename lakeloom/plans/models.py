@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -48,6 +49,22 @@ def train(df: DataFrame, features: Sequence[str], margin: str, win: str, p: Para
     return Pipeline(stages=[parts, GBTRegressor(labelCol=margin, predictionCol="pred_margin", **shared)]).fit(d), Pipeline(stages=[parts, GBTClassifier(labelCol=win, predictionCol="pred_class", **shared)]).fit(d)
 
 
+def best_rounds(first: DataFrame, rest: DataFrame, features: Sequence[str], margin: str, win: str, p: Params = Params()) -> tuple[int, int]:  # noqa: B008
+    """Numbers of trees at which the margin's absolute error and the win's loss on `rest` are least, for models of p trained on `first`."""
+    fitted = train(first, features, margin, win, p)
+    d = rest.dropna(subset=[*features, margin, win])
+    losses = [m.stages[-1].evaluateEachIteration(m.stages[0].transform(d), *how) for m, how in zip(fitted, (("absolute",), ()), strict=True)]
+    return tuple(int(np.argmin(x)) + 1 for x in losses)
+
+
+def refit(df: DataFrame, day: str, tie: str, features: Sequence[str], margin: str, win: str, p: Params = Params()) -> tuple[tuple[PipelineModel, PipelineModel], dict]:  # noqa: B008
+    """Models of all rows with the numbers of trees that served the last fifth by day best, and their metadata."""
+    first, rest = chronological(df, day, tie)
+    trees = best_rounds(first, rest, features, margin, win, p)
+    fitted = tuple(train(df, features, margin, win, replace(p, trees=n))[k] for k, n in enumerate(trees))
+    return fitted, {"features": list(features), "trees": list(trees), "rows": df.count()}
+
+
 def predict(df: DataFrame, models: tuple[PipelineModel, PipelineModel]) -> DataFrame:
     """df with pred_margin (to 0.1), pred_win (to 0.001) and the winner by sign of the margin; all candidate matchups in one job."""
     out = models[1].transform(models[0].transform(df).drop("features"))

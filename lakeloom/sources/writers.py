@@ -1,10 +1,14 @@
-"""Sinks: tables by season, and publishing a set of tables at once."""
+"""Sinks: tables by season, publishing a set of tables at once, and the response cache."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.operators import upsert
 
 
 def write_seasons(df: DataFrame, path: str, column: str = "season") -> None:
@@ -12,15 +16,52 @@ def write_seasons(df: DataFrame, path: str, column: str = "season") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-def publish(spark: SparkSession, tables: Mapping[str, DataFrame], path: str) -> None:
-    """Write all tables beside the published folder and swap it in by rename, so that readers see all of the old or all of the new."""
+POINTER = "CURRENT"
+
+
+def _fs(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    final, fresh, old = (hadoop.Path(p) for p in (path, f"{path}.next", f"{path}.previous"))
-    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(fresh, True)
-    for name, df in tables.items():
-        df.write.parquet(f"{path}.next/{name}")
-    fs.delete(old, True)
-    if fs.exists(final):
-        fs.rename(final, old)
-    fs.rename(fresh, final)
+    at = hadoop.Path(path)
+    return hadoop, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, keep: int = 2) -> str:
+    """Write all tables to a folder of their own and then name it current, in one rename of a small file over the last. Readers (see published) find
+    all of the old or all of the new at any time; the last `keep` sets stay for those that still read them. Returns the set's name."""
+    name = f"set-{uuid.uuid4().hex}"
+    for table, df in tables.items():
+        df.write.parquet(f"{path}/{name}/{table}")
+    hadoop, root, fs = _fs(spark, path)
+    fresh, final = hadoop.Path(f"{path}/{POINTER}.{name}"), hadoop.Path(f"{path}/{POINTER}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(final), how)
+    old = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("set-"))
+    for _, gone in [x for x in old if x[1] != name][: max(len(old) - keep, 0)]:
+        fs.delete(hadoop.Path(f"{path}/{gone}"), True)
+    return name
+
+
+def published(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of the set that is current."""
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}/{table}")
+
+
+def cache_put(cache: DataFrame, responses: DataFrame, ttl_seconds: float, now=None) -> DataFrame:
+    """The cache with responses (endpoint, params_hash, response) fetched now, to expire after ttl_seconds; they replace those of the same request."""
+    at = now if now is not None else F.current_timestamp()
+    fresh = responses.withColumn("fetched_at", at).withColumn("expires_at", F.timestamp_seconds(F.unix_micros(at) / 1e6 + F.lit(float(ttl_seconds))))
+    return upsert.upsert(cache, fresh.select(*cache.columns), ["endpoint", "params_hash"], overwrite=["response", "fetched_at", "expires_at"])
+
+
+def cache_purge(cache: DataFrame, now=None) -> DataFrame:
+    """The cache without what has expired."""
+    return cache.where(F.col("expires_at") >= (now if now is not None else F.current_timestamp()))
+
+
+def cache_clear(cache: DataFrame) -> DataFrame:
+    """The cache without any entry."""
+    return cache.limit(0)

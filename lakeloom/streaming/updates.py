@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lakeloom.operators import upsert
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str):
+def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, keep: int = 3):
     """Keep the table at `path` up to date: each batch is made unique by key (last wins) and merged. The merged table is written to a folder of
-    its own by batch number and only then named current, so a batch that is run again gives the same table."""
+    its own by batch number and only then named current, so a batch that is run again gives the same table. Each batch writes the whole
+    table, as plain files need it; the last `keep` versions stay."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -22,10 +23,40 @@ def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], order: Sequ
         old = current(spark, path, before=number)
         table = upsert.upsert(old.select(*fresh.columns), fresh, keys) if old is not None else fresh
         table.write.mode("overwrite").parquet(f"{path}/v{number:09d}")
+        _drop_before(spark, path, number - keep + 1)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def _drop_before(spark: SparkSession, path: str, number: int) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in [p.getPath().getName() for p in fs.listStatus(hadoop.Path(path))]:
+        if name.startswith("v") and name[1:].isdigit() and int(name[1:]) < number:
+            fs.delete(hadoop.Path(f"{path}/{name}"), True)
+
+
+def late_dimension(stream: DataFrame, dimension: DataFrame, key: str, path: str, checkpoint: str, defaults: Mapping[str, object] | None = None):
+    """Keys of a stream of facts that `dimension` lacks are added to the table at `path`, once each, with `defaults` for the other columns (else
+    null); facts that come before their dimension thus find one."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = current(spark, path, before=number)
+        known = known if known is not None else dimension
+        new = batch.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key), [key], "left_anti")
+        rest = [F.lit((defaults or {}).get(f.name)).cast(f.dataType).alias(f.name) if f.name != key else F.col(key).cast(f.dataType) for f in known.schema.fields]
+        known.unionByName(new.select(*rest)).write.mode("overwrite").parquet(f"{path}/v{number:09d}")
+        _drop_before(spark, path, number - 2)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def unexpired(stream: DataFrame, time: str, keys: Sequence[str], ttl: str = "1 hour") -> DataFrame:
+    """Rows of a stream whose keys were not seen within `ttl` of event time: what was seen is kept as state and dropped when it expires."""
+    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(list(keys))
+
+
 def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The last complete version of an upserted table, or None."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -45,7 +76,8 @@ def windowed(stream: DataFrame, time: str, keys: Sequence[str], value: str, widt
 
 
 def rolling_state(stream: DataFrame, key: str, time: str, value: str, n: int = 5) -> DataFrame:
-    """(key, time, value, prior_mean): the mean of the n values before each row by key, kept as state of n numbers."""
+    """(key, time, value, prior_mean): the mean of the n values before each row by key, kept as state of n numbers. Rows are put in order within a
+    batch; a row that is late by a batch counts from then on and changes nothing that was given out."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
 
     def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

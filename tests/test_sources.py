@@ -45,7 +45,30 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["v"], r["season"]) for r in readers.slices(spark, p, [2025, 2026]).collect()) == [(1, 2025), (9, 2026)]
     for n in (1, 2):
         writers.publish(spark, {"a": spark.range(n)}, str(tmp_path / "pub"))
-        assert spark.read.parquet(str(tmp_path / "pub/a")).count() == n
+        assert writers.published(spark, str(tmp_path / "pub"), "a").count() == n
+
+
+def test_publish_has_no_gap(spark, tmp_path):
+    """Whoever reads finds a whole set at any time, also one that was found before the next was named."""
+    p = str(tmp_path / "p")
+    writers.publish(spark, {"a": spark.range(1), "b": spark.range(10)}, p)
+    before = writers.published(spark, p, "a")
+    for n in (2, 3):
+        writers.publish(spark, {"a": spark.range(n), "b": spark.range(10 * n)}, p)
+        if n == 2:
+            assert before.count() == 1
+        assert (writers.published(spark, p, "a").count(), writers.published(spark, p, "b").count()) == (n, 10 * n)
+    assert sum(x.name.startswith("set-") for x in (tmp_path / "p").iterdir()) == 2
+
+
+def test_cache_entries_expire(spark):
+    at = lambda t: F.lit(t).cast("timestamp")
+    cache = spark.sql("select 'e' endpoint, 'h' params_hash, 'old' response, timestamp'2026-01-01' fetched_at, timestamp'2026-01-03' expires_at")
+    new = spark.createDataFrame([("e", "h", "new"), ("e", "g", "other")], "endpoint string, params_hash string, response string")
+    both = writers.cache_put(cache, new, 60.5, at("2026-01-02 00:00:00"))
+    assert sorted((r["params_hash"], r["response"], str(r["expires_at"])[:22]) for r in both.collect()) == [("g", "other", "2026-01-02 00:01:00.50"), ("h", "new", "2026-01-02 00:01:00.50")]
+    assert writers.cache_purge(both, at("2026-01-02 00:01:01")).count() == 0 and writers.cache_purge(both, at("2026-01-02 00:01:00")).count() == 2
+    assert writers.cache_clear(both).count() == 0
 
 
 def test_upsert_stream(spark, tmp_path):
@@ -58,6 +81,20 @@ def test_upsert_stream(spark, tmp_path):
     assert sorted(map(tuple, updates.current(spark, out).collect())) == [(1, 10), (2, 6), (3, 7)]
 
 
+def test_late_dimension_and_expiry(spark, tmp_path):
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "team int, t timestamp, v int"
+    dim = spark.createDataFrame([(1, "known")], "team int, name string")
+    at = lambda m: f"2026-01-01 00:{m:02d}:00"
+    for batch in ([(1, at(0), 1), (2, at(1), 1), (2, at(2), 2)], [(2, at(3), 1), (3, at(4), 9), (None, at(5), 0)]):
+        spark.createDataFrame(batch, "team int, t string, v int").selectExpr("team", "cast(t as timestamp) t", "v").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        updates.late_dimension(stream, dim, "team", out, str(tmp_path / "cp"), {"name": "new"}).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, updates.current(spark, out).collect())) == [(1, "known"), (2, "new"), (3, "new")]
+    q = updates.unexpired(spark.readStream.schema(schema).parquet(src), "t", ["team"], "1 hour").writeStream.format("memory").queryName("w0").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(str(r["team"]) for r in spark.table("w0").collect()) == ["1", "2", "3", "None"]
+
+
 def test_windowed_and_state(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.sql("select 'a' k, timestamp'2026-01-01 00:10:00' t, 1.0D v union all select 'a', timestamp'2026-01-01 00:50:00', 3.0D union all select 'a', timestamp'2026-01-01 01:05:00', 5.0D").coalesce(1).write.parquet(src)

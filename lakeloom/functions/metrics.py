@@ -32,7 +32,7 @@ def auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFr
     """(by..., auc): area under the ROC curve from mean ranks, exact with ties. Scores are counted first, so ranks are made over distinct
     scores and not over rows; null where only one class is there."""
     n = df.groupBy(*by, F.col(score).alias("__s")).agg(F.count("*").alias("__n"), F.sum(F.when(F.col(truth) > 0, 1).otherwise(0)).alias("__p"))
-    r = running_sum(n, by, "__s", "__n", "__upto").withColumn("__r", F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0)
+    r = running_sum(n, by, "__s", {"__upto": "__n"}).withColumn("__r", F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0)
     pos, neg = F.sum("__p"), F.sum(F.col("__n") - F.col("__p"))
     value = F.try_divide(F.sum(F.col("__r") * F.col("__p")) - pos * (pos + 1) / 2.0, (pos * neg).cast("double"))
     return r.groupBy(*by).agg(value.alias("auc")) if by else r.agg(value.alias("auc"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -69,17 +69,17 @@ def percent_ranks(df: DataFrame, key: Keys, metrics: Sequence[str], by: Keys = (
     return long.join(ranks, same).groupBy(*ids).agg(*[F.max(F.when(F.col("metric") == m, F.col("r"))).alias(f"{m}_pct") for m in metrics])
 
 
-def running_sum(df: DataFrame, by: Keys, order: str, value: str, name: str) -> DataFrame:
-    """df with the sum of `value` over the rows of its group up to each one, in order of a column that is unique in the group. Rows are dealt by range, so
-    a group is summed in as many tasks as it fills, and one row a task and group gives what the tasks before hold."""
+def running_sum(df: DataFrame, by: Keys, order: str, sums: Mapping[str, str]) -> DataFrame:
+    """df with sums (name to column) over the rows of its group up to each one, in order of a column that is unique in the group. Rows are dealt by range,
+    so a group is summed in as many tasks as it fills, and one row a task and group gives what the tasks before hold."""
     keys = [col(c) for c in by]
     dealt = stored(df.repartitionByRange(*keys, F.col(order)).withColumn("__task", F.spark_partition_id()), "dealt")
-    totals = dealt.groupBy(*by, "__task").agg(F.sum(value).alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*by or [F.lit(1)]).orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__task").alias("__t"), before.alias("__before"))
-    here = F.sum(value).over(W.partitionBy(*by, "__task").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    out = dealt.withColumn("__here", here).join(starts, [F.col("__task") == F.col("__t"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]])
-    return out.withColumn(name, F.col("__here") + F.col("__before")).select(*df.columns, name)
+    totals = dealt.groupBy(*by, "__task").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    earlier = W.partitionBy(*by or [F.lit(1)]).orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__task").alias("__t"), *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    here = W.partitionBy(*by, "__task").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = dealt.select("*", *[F.sum(c).over(here).alias(f"__h_{n}") for n, c in sums.items()]).join(starts, [F.col("__task") == F.col("__t"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]])
+    return out.select(*df.columns, *[(F.col(f"__h_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums])
 
 
 def rank_of(x, by: Keys = (), descending: bool = True, dense: bool = False) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import WORD, stored, unit_hash
+from lakeloom.operators.windows import running_sum
 
 
 def word_count(text) -> F.Column:
@@ -19,18 +20,18 @@ def water_fill(sizes: DataFrame, max_epochs: float = 3.0, weights: tuple[float,
     Sources in code point order, null last, weigh `weights` in turn and share the total of all sizes. A target never exceeds
     max_epochs times its source; excess goes to the others by weight until none is above. The fixed point of that resharing
     has one water level L: target = min(cap, L * weight). With sources in order of cap / weight, L is the level at the first
-    source that stays below its cap, so a running sum finds it. One row per source goes through these windows, never documents.
+    source that stays below its cap, so a running sum finds it; of sources that are alike in that the first one counts. A row per source goes
+    through sums that are dealt by range, never documents.
     """
-    one = W.partitionBy(F.lit(1))
-    step = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (step % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("w", pick).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    order = W.partitionBy(F.lit(1)).orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum(F.col("source_size").cast("double")).over(one) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(one) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    rows = rows.withColumn("level", level).withColumn("open", F.col("cap") >= F.col("w") * F.col("level"))
-    water = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.col("cap") / F.col("w"))).over(one)
-    return rows.withColumn("target", F.least(F.col("cap"), F.col("w") * F.coalesce(water, F.lit(0.0)))).select("source", "source_size", "target")
+    by_name = F.struct(F.col("source").isNull().alias("last"), "source")
+    rows = running_sum(sizes.withColumn("__o", by_name).withColumn("__one", F.lit(1)), [], "__o", {"__k": "__one"})
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("__k") - 1) % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("w", pick).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))).withColumn("__o", F.struct((F.col("cap") / F.col("w")).alias("fill"), "__o"))
+    rows = stored(running_sum(rows, [], "__o", {"caps": "cap", "ws": "w"}), "mix-sources")
+    every = rows.agg(F.sum(F.col("source_size").cast("double")).alias("all"), F.sum("w").alias("all_w"))
+    rows = rows.crossJoin(F.broadcast(every)).withColumn("level", (F.col("all") - (F.col("caps") - F.col("cap"))) / (F.col("all_w") - (F.col("ws") - F.col("w"))))
+    water = rows.where(F.col("cap") >= F.col("w") * F.col("level")).agg(F.min(F.struct(F.col("cap") / F.col("w"), -F.col("level")))["col2"].alias("down"))
+    return rows.crossJoin(F.broadcast(water)).select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.coalesce(-F.col("down"), F.lit(0.0))).alias("target"))
 
 
 def _plan(classes: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ wt AS (SELECT source, ss, ss * 3e0 AS cap, CAST((ROW_NUMBER() OVER (ORDER BY sou
 lv AS (
   SELECT *, (SUM(CAST(ss AS DOUBLE)) OVER () - COALESCE(SUM(cap) OVER o, 0e0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER o, 0e0)) AS level
   FROM wt WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), wl AS (SELECT arg_min(level, cap / w) AS l FROM lv WHERE cap >= w * level),
+), wl AS (SELECT level AS l FROM lv WHERE cap >= w * level ORDER BY cap / w, level DESC LIMIT 1),
 tg AS (SELECT source, ss, least(cap, w * COALESCE((SELECT l FROM wl), 0e0)) AS target FROM wt),
 rt AS (SELECT *, CASE WHEN ss > 0 THEN target / ss ELSE 0e0 END AS rate FROM tg),
 cl AS (

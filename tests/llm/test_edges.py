@@ -194,3 +194,10 @@ def test_mixing_rules(spark):
         open_ -= over
     assert want == pytest.approx(target)
     assert all(abs(took[s] - want[s]) <= 13 for s in size)
+
+
+def test_sources_that_are_alike(spark):
+    """Six sources of one size: the level is that of the first of those that stay below their caps."""
+    rows = [(100 * k + i, "w " * 10, f"s{k}") for k in range(6) for i in range(10)]
+    out = mixing.water_fill(spark.createDataFrame(rows, "doc_id long, text string, source string").groupBy("source").agg((F.count("*") * 10).alias("source_size")))
+    assert {r["source"]: r["target"] for r in out.collect()} == {f"s{k}": 50.0 * (k % 3 + 1) for k in range(6)}

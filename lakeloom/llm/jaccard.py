@@ -33,7 +33,9 @@ from lakeloom.llm.shingles import WordHash, shingle_set, word_hashes
 #: Similarity as a fraction: 75 / 100.
 NUM, DEN = 3, 4
 LOW = np.uint64(int(0.36 * 2**64))
-BLOCK_SETS, BLOCK_SHINGLES = 1_500, 1_500_000
+BLOCK_SETS, BLOCK_SHINGLES = 750, 750_000
+#: Shingles of small regions that share a task.
+PACK_SHINGLES = 150_000
 FAN = 8
 #: Bits of a block's root when pairs of blocks are weighed.
 ROOT_BITS = 1 << 15
@@ -327,7 +329,7 @@ def _links(tokens: DataFrame, regions: DataFrame) -> DataFrame:
     sizes = {r["large"]: r["n"] for r in place.join(members.select(F.col("v").alias("w"), "n"), F.col("v") == F.col("w")).groupBy("large").agg(F.sum("n").alias("n")).collect()}  # two rows
     # by shuffle at every size, as above: places grow with the input
     near = lambda which: tokens.join(place.where(which).hint("merge"), F.col("node") == F.col("v")).select("c", "node", "n", "tokens")
-    packs = int(sizes.get(False, 0) // BLOCK_SHINGLES) + 1
+    packs = int(sizes.get(False, 0) // PACK_SHINGLES) + 1
     links = _trees(near("NOT large").withColumn("g", F.pmod(F.xxhash64("c"), F.lit(packs))), ["g"], "c")
     return links.unionByName(_large_links(stored(near("large"), "jaccard-large"))) if sizes.get(True) else links
 

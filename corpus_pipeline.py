@@ -21,40 +21,40 @@ from lakeloom.llm import decontaminate, jaccard, mixing, quality, secret_scan
 from lakeloom.llm.common import read, stored
 
 
-ROW = "__row"
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key for each row, and the key's name. A stage's docs are a table that is scanned, which gives the same keys however often tasks run."""
+    row = "__row"
+    while any(c.lower().startswith(row) for c in docs.columns):
+        row += "_"
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each row. A stage's docs are a table that is scanned, which gives the same keys however often tasks run."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
-
-
-def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose key is not among those of `gone` (column gone)."""
-    return keyed.join(stored(gone, "gone"), F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
+def _without(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among those of `gone` (one column)."""
+    out = stored(gone.toDF(f"{row}_gone"), "gone")
+    return keyed.join(out, F.col(row) == F.col(f"{row}_gone"), "left_anti").drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    scored = quality.score(keyed, read(spark, sf_dir, "labels"), row_col=ROW)
-    return _without(keyed, scored.where(~F.col("keep")).select(F.col(ROW).alias("gone")))
+    keyed, row = _keyed(docs)
+    scored = quality.score(keyed, read(spark, sf_dir, "labels"), row_col=row)
+    return _without(keyed, row, scored.where(~F.col("keep")).select(row))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    groups = stored(jaccard.jaccard_groups(keyed, ROW), "groups").withColumnRenamed(ROW, "row")
-    others = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("c"))
-    ids = groups.join(others, F.col("component_id") == F.col("c"), "left_semi").join(keyed.select(ROW, "doc_id"), F.col("row") == F.col(ROW))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = ids.groupBy(F.col("component_id").alias("c")).agg(F.min(order)["row"].alias("first"))
-    gone = ids.select("component_id", "row").join(first, F.col("component_id") == F.col("c")).where(F.col("row") != F.col("first"))
-    return _without(keyed, gone.select(F.col("row").alias("gone")))
+    keyed, row = _keyed(docs)
+    groups = stored(jaccard.jaccard_groups(keyed, row).select(F.col(row).alias("row"), "component_id"), "groups")
+    shared = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("c"))
+    ids = keyed.select(F.col(row).alias("k"), F.col("doc_id").alias("d"))
+    members = groups.join(shared, F.col("component_id") == F.col("c"), "left_semi").join(ids, F.col("row") == F.col("k"))
+    order = F.struct(F.col("d").isNull(), "d", "row")
+    first = members.groupBy(F.col("component_id").alias("c")).agg(F.min(order)["row"].alias("first"))
+    return _without(keyed, row, members.join(first, F.col("component_id") == F.col("c")).where(F.col("row") != F.col("first")).select("row"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    found = decontaminate.find_leaks(keyed, read(spark, sf_dir, "benchmark"), ROW)
-    return _without(keyed, found.select(F.col(ROW).alias("gone")).distinct())
+    keyed, row = _keyed(docs)
+    return _without(keyed, row, decontaminate.find_leaks(keyed, read(spark, sf_dir, "benchmark"), row).select(row).distinct())
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakeloom.llm import decontaminate, jaccard, pii, quality, secret_scan, tokencount
@@ -306,6 +307,23 @@ def test_stages_judge_rows_not_ids(spark, tmp_path):
 
 
 
+def test_stages_on_a_messy_table(spark, messy, empty, tmp_path):
+    """Clashing names, nulls, empty and very long texts, repeated rows: each stage keeps the columns, and what it keeps are rows of what it got."""
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing that any of these documents holds, not one word of it"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wide = lambda df: df.withColumn("__row", F.lit(1)).withColumn("__row_gone", F.lit(2))
+    for k, table in enumerate((wide(messy), wide(empty))):
+        table.write.parquet(str(tmp_path / f"t{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"t{k}"))
+        rows = [tuple(r) for r in docs.collect()]
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            kept = [tuple(r) for r in out.collect()]
+            assert name == "secrets" and len(kept) == len(rows) or all(kept.count(r) <= rows.count(r) for r in kept)
+        assert corpus_pipeline.mix_stage(spark, docs, str(tmp_path)).count() == len(rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = [(i, prose(i), "en", f"s{i % 2}", 1) for i in range(40)]
     docs += [(100 + i, prose(i) + " tail", "en", "s0", 1) for i in range(5)]  # near copies

@@ -201,3 +201,9 @@ def test_sources_that_are_alike(spark):
     rows = [(100 * k + i, "w " * 10, f"s{k}") for k in range(6) for i in range(10)]
     out = mixing.water_fill(spark.createDataFrame(rows, "doc_id long, text string, source string").groupBy("source").agg((F.count("*") * 10).alias("source_size")))
     assert {r["source"]: r["target"] for r in out.collect()} == {f"s{k}": 50.0 * (k % 3 + 1) for k in range(6)}
+
+
+def test_sites_of_urls(spark):
+    rows = [("https://User@Example.org:80/a/b?q#f",), ("http://x.y",), ("no url",), (None,), ("ftp+s://h/?p/q",)]
+    out = spark.createDataFrame(rows, "u string").select(*quality.site_of(F.col("u")))
+    assert list(map(tuple, out.collect())) == [("example.org", "/a"), ("x.y", ""), ("", ""), (None, None), ("h", "/")]

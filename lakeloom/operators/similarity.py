@@ -78,7 +78,7 @@ def assign(score: np.ndarray) -> list[int]:
     return out
 
 
-def kmeans(df: DataFrame, id_col: str, vector: str, k: int, seeds: int = 5, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+def kmeans(df: DataFrame, id_col: str, vector: str, k: int, seeds: int = 20, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
     """(id, cluster) and the centroids: the best of several k-means runs of Spark ML by cost."""
     d = df.select(F.col(id_col), array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
     best = None
@@ -89,7 +89,7 @@ def kmeans(df: DataFrame, id_col: str, vector: str, k: int, seeds: int = 5, roun
     return best.transform(d).select(id_col, F.col("cluster").cast("long")), [c.tolist() for c in best.clusterCenters()]
 
 
-def archetypes(df: DataFrame, id_col: str, vector: str, signatures: dict[str, Sequence[float]], seeds: int = 5) -> DataFrame:
+def archetypes(df: DataFrame, id_col: str, vector: str, signatures: dict[str, Sequence[float]], seeds: int = 20) -> DataFrame:
     """(id, cluster, primary, primary_score, secondary, secondary_score, affinity): k-means with as many clusters as there are named
     signatures; clusters take names by the assignment that maximises centroid . signature; scores are soft memberships."""
     names = list(signatures)

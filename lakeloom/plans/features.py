@@ -102,7 +102,9 @@ def elo_with_provider(computed: DataFrame, provider: DataFrame | None) -> DataFr
     if provider is None:
         return computed
     j = computed.join(provider.select("game_id", "home_elo_before", "away_elo_before"), "game_id", "left")
-    return j.select("season", "game_id", F.coalesce("home_elo_before", "home_elo").alias("home_elo"), F.coalesce("away_elo_before", "away_elo").alias("away_elo"))
+    for side in ("home", "away"):
+        j = joins.prefer(j, f"{side}_elo_before", f"{side}_elo", f"{side}_elo")
+    return j.select("season", "game_id", "home_elo", "away_elo")
 
 
 NAMES = [*TEAM, *RATED, "elo", *ROSTER, "w_player_sos"]

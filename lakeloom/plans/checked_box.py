@@ -562,9 +562,9 @@ def _n2_sql() -> str:
     return f"WITH {chain()},\n{ROLL},\n{EXT},\n{_roster_sql()}\nSELECT season, team_id, game_id, roster_size, " + ", ".join(f"{rnd(c, 6)} AS {c}" for c in features.ROSTER if c != "roster_size") + " FROM people"
 
 
-def _matrix(spark: SparkSession, d: str, variant: str = "raw") -> DataFrame:
+def _matrix(spark: SparkSession, d: str, fill: bool = False) -> DataFrame:
     a = _all(spark, d)
-    return features.matrix(_games(spark, d, a.scores), a["rolling"], a["team_games"], a.scores.teams, _snapshots(a["team_games"]), _impact(a), variant, min_games=MIN_GAMES, min_minutes=MIN_MINUTES)
+    return features.matrix(_games(spark, d, a.scores), a["rolling"], a["team_games"], a.scores.teams, _snapshots(a["team_games"]), _impact(a), fill=fill, min_games=MIN_GAMES, min_minutes=MIN_MINUTES)
 
 
 def n8_matchups(spark: SparkSession, d: str) -> DataFrame:
@@ -610,9 +610,9 @@ def _n10_sql() -> str:
 
 
 def o_models(spark: SparkSession, d: str) -> DataFrame:
-    """Margin and win models over the whole matrix, trained on the first four fifths by day and applied to the rest (no oracle: trained)."""
-    m = _matrix(spark, d)
-    m = stored(m.withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double")).dropna(subset=[*features.FEATURES, "margin"]), "matrix")
+    """Margin and win models over the whole matrix, trained on the first four fifths by day and applied to the rest (no oracle: trained)."""
+    m = _matrix(spark, d, fill=True)
+    m = stored(m.withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double")).dropna(subset=["margin"]), "matrix")
     first, rest = models.chronological(m, "game_date", "game_id")
     fitted = models.train(first, features.FEATURES, "margin", "home_win")
     return models.predict(rest, fitted).select("season", "game_id", "margin", "pred_margin", "pred_win", "home_wins")
@@ -631,10 +631,10 @@ def q19_predict(spark: SparkSession, d: str) -> DataFrame:
     found = stored(found.crossJoin(last).select("game_id", "season", "game_date", "home_team_id", "away_team_id", "is_neutral_site", "home_name", "away_name"), "asked")
     games, pg, tg = features.with_matchups(found.drop("home_name", "away_name"), _games(spark, d, a.scores), a["rolling"], a["team_games"])
     snap = _snapshots(a["team_games"])
-    m = stored(features.matrix(games, pg, tg, a.scores.teams, snap, _impact(a), min_games=MIN_GAMES, min_minutes=MIN_MINUTES), "matrix")
+    m = stored(features.matrix(games, pg, tg, a.scores.teams, snap, _impact(a), fill=True, min_games=MIN_GAMES, min_minutes=MIN_MINUTES), "matrix")
     past = m.where("margin IS NOT NULL").withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double"))
     fitted = models.train(past, features.FEATURES, "margin", "home_win")
-    out = models.predict(m.join(found.select("game_id", "home_name", "away_name"), "game_id").fillna(0.0, features.FEATURES), fitted)
+    out = models.predict(m.join(found.select("game_id", "home_name", "away_name"), "game_id"), fitted)
     return out.select("game_id", "home_name", "away_name", "pred_margin", "pred_win", F.when(F.col("home_wins"), F.col("home_name")).otherwise(F.col("away_name")).alias("winner"))
 
 

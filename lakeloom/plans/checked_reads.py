@@ -18,7 +18,7 @@ def _view(a: steps.Steps) -> DataFrame:
     s = a.scores
     ps = a["player_seasons"]
     ext = ps.select("player_id", "season", "mpg", F.col("team_id").alias("ext_pid"), F.when(F.col("team_id") % 3 != 0, F.col("ppg") * 9.0 + 7.0).alias("o_rtg"), (F.col("apg") * 8.0 + 71.0).alias("d_rtg"))
-    tiers = steps.composite(B._external(a)).select(F.col("ext_pid").alias("player_id"), "season", F.col("value_v3_psos").alias("campom"), F.col("value_v3_psos_pct").alias("campom_pct"))
+    tiers = steps.composite(B._external(a)).select(F.col("ext_pid").alias("player_id"), "season", F.col("value_v3_psos").alias("composite"), F.col("value_v3_psos_pct").alias("composite_pct"))
     kind = lambda k: F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (k % 3 + 1).cast("int"))
     classes = s.players.select("player_id").crossJoin(ps.select("season").distinct()).select("player_id", "season", kind(F.col("player_id")).alias("primary"), F.when(F.col("player_id") % 2 == 0, kind(F.col("player_id") + 1)).alias("secondary"))
     return reads.player_view(steps.pass_ratings(ps, ext), s.players, s.teams, tiers, a["percentiles"].select("player_id", "season", F.col("ppg_pct"), F.col("usage_rate_pct")), classes)
@@ -30,14 +30,14 @@ def _view_sql() -> str:
     head = body[: body.rindex("SELECT ext_pid")].rstrip()
     kind = lambda k: f"CASE {k} % 3 WHEN 0 THEN '{CLASSES[0]}' WHEN 1 THEN '{CLASSES[1]}' ELSE '{CLASSES[2]}' END"
     rtg = f"rtg AS (SELECT player_id, season, {B.rnd('(ppg * 9e0 + 7e0)', 1)} AS offensive_rating, {B.rnd('(apg * 8e0 + 71e0)', 1)} AS defensive_rating, {B.rnd('((ppg * 9e0 + 7e0) - (apg * 8e0 + 71e0))', 1)} AS net_rating FROM ps WHERE team_id % 3 <> 0 AND ppg IS NOT NULL AND apg IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY player_id, season ORDER BY mpg DESC NULLS LAST, team_id) = 1)"
-    view = f"view AS (SELECT ps.*, p.name, t.name AS team, t.conference, offensive_rating, defensive_rating, net_rating, value_v3_psos AS campom, value_v3_psos_pct AS campom_pct, ppg_pct, usage_rate_pct, {kind('player_id')} AS \"primary\", CASE WHEN player_id % 2 = 0 THEN {kind('(player_id + 1)')} END AS secondary FROM ps JOIN players p USING (player_id) LEFT JOIN teams t ON t.team_id = ps.team_id LEFT JOIN rtg USING (player_id, season) LEFT JOIN (SELECT ext_pid AS player_id, season, value_v3_psos, value_v3_psos_pct FROM t5) USING (player_id, season) LEFT JOIN pct USING (player_id, season))"
+    view = f"view AS (SELECT ps.*, p.name, t.name AS team, t.conference, offensive_rating, defensive_rating, net_rating, value_v3_psos AS composite, value_v3_psos_pct AS composite_pct, ppg_pct, usage_rate_pct, {kind('player_id')} AS \"primary\", CASE WHEN player_id % 2 = 0 THEN {kind('(player_id + 1)')} END AS secondary FROM ps JOIN players p USING (player_id) LEFT JOIN teams t ON t.team_id = ps.team_id LEFT JOIN rtg USING (player_id, season) LEFT JOIN (SELECT ext_pid AS player_id, season, value_v3_psos, value_v3_psos_pct FROM t5) USING (player_id, season) LEFT JOIN pct USING (player_id, season))"
     return f"{head},\n{B.ROLL},\n{B.PCT},\n{rtg},\n{view}"
 
 
 #: Searches: season, name, team, class, whether the second class counts, field, descending, limit, offset.
-SEARCHES = [(1995, None, None, None, False, f, i % 3 > 0, 4, i % 2) for i, f in enumerate(reads.SORTS)] + [(1996, "1", None, "Wing", False, "campom", True, 20, 0), (1996, "1", None, "Wing", True, "net_rating", False, 20, 2), (1997, None, 7, None, False, "ppg", True, 50, 0), (1994, "00", 3, "Big", True, "ft_rate", False, 50, 0)]
+SEARCHES = [(1995, None, None, None, False, f, i % 3 > 0, 4, i % 2) for i, f in enumerate(reads.SORTS)] + [(1996, "1", None, "Wing", False, "composite", True, 20, 0), (1996, "1", None, "Wing", True, "net_rating", False, 20, 2), (1997, None, 7, None, False, "ppg", True, 50, 0), (1994, "00", 3, "Big", True, "ft_rate", False, 50, 0)]
 SHOWN = ["player_id", "team_id", "name", "team", "conference", "season", "games_played", "primary", "secondary"]
-NUMBERS = [c for c in reads.SORTS if c != "games_played"] + ["campom_pct", "ppg_pct", "usage_rate_pct"]
+NUMBERS = [c for c in reads.SORTS if c != "games_played"] + ["composite_pct", "ppg_pct", "usage_rate_pct"]
 
 
 def q05_all_searches(spark: SparkSession, d: str) -> DataFrame:

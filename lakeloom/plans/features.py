@@ -5,7 +5,6 @@ Roster features follow the players with a row in the game, as the reference does
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ IMPACT = ["gbpm", "ogbpm", "dgbpm"]
 ROSTER = ["roster_size", *MEANS, *[f"w_{c}" for c in IMPACT], "star_ppg", *[f"star_{c}" for c in IMPACT], "star_ortg", "minutes_stddev", "w_rolling_gs", "w_rolling_ts", "w_ppg_trend", "w_gs_trend"]
 RATED = ["adj_offense", "adj_defense", "adj_efficiency_margin", "sos"]
 #: Columns of a composite table (see steps.composite) that count as impact, by variant.
-VARIANTS = {"raw": ("gbpm", "ogbpm", "dgbpm"), "cam_v3": ("value_v3", "value_o_v3", "value_d_v3"), "cam_v3_psos": ("value_v3_psos", "value_o_v3_psos", "value_d_v3_psos")}
+VARIANTS = {"raw": ("gbpm", "ogbpm", "dgbpm"), "v3": ("value_v3", "value_o_v3", "value_d_v3"), "v3_psos": ("value_v3_psos", "value_o_v3_psos", "value_d_v3_psos")}
 LOWER_IS_BETTER = {"opp_effective_fg_pct", "opp_ft_rate", "adj_defense"}
 
 

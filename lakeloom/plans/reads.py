@@ -15,14 +15,14 @@ from lakeloom.plans import steps
 SORTS = {
     c: c
     for c in (
-        "campom", "ppg", "rpg", "apg", "spg", "bpg", "topg", "offensive_rating", "defensive_rating", "net_rating", "mpg", "effective_fg_pct", "true_shooting_pct", "usage_rate", "games_played", "ast_pct", "tov_pct", "orb_pct",
+        "composite", "ppg", "rpg", "apg", "spg", "bpg", "topg", "offensive_rating", "defensive_rating", "net_rating", "mpg", "effective_fg_pct", "true_shooting_pct", "usage_rate", "games_played", "ast_pct", "tov_pct", "orb_pct",
         "drb_pct", "stl_pct", "blk_pct", "ft_rate",
     )
 }
 
 
 def player_view(ps: DataFrame, players: DataFrame, teams: DataFrame, composite: DataFrame, percentiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """A row for each (player, team, season) with names, the composite, percentiles and classes. composite: player_id, season, campom, campom_pct;
+    """A row for each (player, team, season) with names, the composite, percentiles and classes. composite: player_id, season, composite, composite_pct;
     classes: player_id, season, primary, secondary."""
     out = ps.join(players.select("player_id", "name"), "player_id")
     out = joins.lookup(out, teams, {"team_id": "team_id"}, {"name": "team", "conference": "conference"})

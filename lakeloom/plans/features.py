@@ -5,7 +5,6 @@ Roster features follow the players with a row in the game, as the reference does
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

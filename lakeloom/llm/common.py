@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.sources.tables import release, shared_dir, stored
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACE", "WORD", "read", "release", "shared_dir", "short_batches", "stored", "unit_hash"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "CRC32", "SPACE", "WORD", "read", "release", "shared_dir", "short_batches", "stored", "unit_hash"]
 
 #: White space and words as every operator here understands them.
 SPACE = r"[\x20\x09-\x0D]"
@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch; texts may be long, so batches are kept short.
 BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
+#: crc32 of a text of ASCII characters, as DuckDB has no such function; {0} stands for the text.
+CRC32 = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, jaccard, langid, media, mixing, pii, quality, secret_scan, tokencount
+from lakeloom.llm import chat, decontaminate, jaccard, langid, media, merkle, mixing, pii, quality, repair, secret_scan, substrings, tokencount
 from lakeloom.llm.common import read
 
 
@@ -64,6 +64,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and roots, and whether a tampered third is found out."""
+    return merkle.tamper_digest(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged and repaired by the cheapest edits."""
+    return repair.repair_digest(read(spark, sf_dir, "conversations"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 13 words that a document of a smaller id has."""
+    return substrings.dedup_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_personal_data": op2_personal_data,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mix": mixing.SQL, "op6_chat_format": chat.SQL, "op10_jaccard_join": jaccard.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_source_mix": mixing.SQL, "op6_chat_format": chat.SQL, "op10_jaccard_join": jaccard.SQL, "op11_merkle_manifest": merkle.SQL, "op12_conversation_repair": repair.SQL, "op13_substring_dedup": substrings.SQL}

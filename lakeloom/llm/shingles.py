@@ -7,8 +7,10 @@ import re
 import numpy as np
 import xxhash
 
-#: Bytes of a text that are split into words at a time; a longer word has a hash of another kind, wherever it stands.
+#: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 20
+#: A word of more bytes has a hash of another kind, wherever it stands: sums of powers modulo 2^64 tell long periodic words apart badly.
+LONG = 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SPACES = [bytes([i]) for i in (32, *range(9, 14))]
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -30,20 +32,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-#: What each byte adds to a word's sum: 64 mixed bits, 0 for white space.
-_BYTE = np.where(_GAP, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)))
-
-
 class WordHash:
-    """Hashes all words of a stretch of text at once: a word's hash is a polynomial in _BASE over its bytes, mixed. Sums are taken with the powers
-    of places in the stretch and then divided by the power of the word's start. Powers are kept and grow with the longest stretch."""
+    """Hashes all words of a stretch of text at once: a word's hash is a polynomial in an odd base over its bytes, mixed; that of a word of more than
+    LONG bytes is xxh3. Sums are taken with the powers of places in the stretch and then divided by the power of the word's start. Powers are
+    kept and grow with the longest stretch. Hashes of different seeds have nothing in common."""
 
-    def __init__(self) -> None:
+    def __init__(self, seed: int = 0) -> None:
+        self.seed, self.base = seed, (_BASE + seed * 0xD1342543DE82EF96) % (1 << 64) | 1
         self.powers = self.inverses = np.zeros(0, np.uint64)
+        #: What each byte adds to a word's sum: 64 mixed bits, 0 for white space.
+        self.bytes = np.where(_GAP, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(self.base)))
 
     def _grow(self, n: int) -> None:
         size = 1 << max(n - 1, 1 << 12).bit_length()
-        for name, base in (("powers", _BASE), ("inverses", _inverse(_BASE))):
+        for name, base in (("powers", self.base), ("inverses", _inverse(self.base))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             setattr(self, name, np.multiply.accumulate(steps))
@@ -59,8 +61,17 @@ class WordHash:
         starts = np.flatnonzero(first)
         if not len(starts):
             return np.zeros(0, np.uint64)
-        sums = np.add.reduceat(_BYTE[b] * self.powers[: len(b)], starts)
-        return mixed(sums * self.inverses[starts])
+        sums = np.add.reduceat(self.bytes[b] * self.powers[: len(b)], starts)
+        out = mixed(sums * self.inverses[starts])
+        for i in np.flatnonzero(np.diff(starts, append=len(b)) > LONG).tolist():
+            start = int(starts[i])
+            end = start + int(np.argmax(np.append(gap[start : starts[i + 1] if i + 1 < len(starts) else len(b)], True)))
+            if end - start > LONG:
+                out[i] = self.long(raw[start:end])
+        return out
+
+    def long(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word, self.seed)
 
 
 def word_hashes(text: str, memo: WordHash) -> np.ndarray:
@@ -81,7 +92,7 @@ def hashed(raw: bytes, memo: WordHash) -> np.ndarray:
         gap = _SPACE.search(raw, min(at + CHUNK, len(raw)))
         end = gap.start() if gap else len(raw)
         if end - at > CHUNK and end - (last := max(at, *(raw.rfind(c, at, end) + 1 for c in _SPACES))) > CHUNK:  # the last word is a long one
-            parts += [memo.of(raw[at:last]), np.array([xxhash.xxh3_64_intdigest(raw[last:end])], np.uint64)]
+            parts += [memo.of(raw[at:last]), np.array([memo.long(raw[last:end])], np.uint64)]
         else:
             parts.append(memo.of(raw[at:end]))
         at = end

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, jaccard, langid, media, mixing, pii, quality, secret_scan, tokencount
+from lakeloom.llm import chat, decontaminate, jaccard, langid, media, merkle, mixing, pii, quality, secret_scan, substrings, tokencount
 
 BENCH = "item_id long, text string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -25,6 +25,8 @@ OPERATORS = {
     "secrets": lambda s, d: secret_scan.scan_digest(d),
     "quality": lambda s, d: quality.score(d, labels(s)),
     "jaccard": lambda s, d: jaccard.jaccard_groups(d),
+    "merkle": lambda s, d: merkle.tamper_digest(d),
+    "windows": lambda s, d: substrings.dedup_digest(d),
 }
 
 

@@ -8,19 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.exprs import col
-from lakeloom.operators.windows import running_sum
+from lakeloom.operators.windows import quantiles, running_sum
 
 
 def error_summary(actual: str, predicted: str) -> list[Column]:
-    """mae, rmse, r2, sign accuracy and quantiles of the absolute error (linear between ranks)."""
+    """mae, rmse, r2, sign accuracy and quantiles of the absolute error (linear between ranks). The quantiles hold the distinct errors of a group in one
+    task: for groups of any size see errors()."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     e = F.abs(a - p)
     return [
         F.count("*").alias("n"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(a))).alias("r2"),
-        F.avg(F.when((a > 0) == (p > 0), 1.0).otherwise(0.0)).alias("sign_accuracy"), *[F.percentile(e, F.lit(q)).alias(n) for q, n in ((0.5, "median_error"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"))],
+        F.avg(F.when((a > 0) == (p > 0), 1.0).otherwise(0.0)).alias("sign_accuracy"), *[F.percentile(e, F.lit(q)).alias(n) for n, q in QUANTILES.items()],
     ]
 
 
+#: Quantiles of the absolute error that a summary has.
+QUANTILES = {"median_error": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+
+
+def errors(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, mae, rmse, r2, sign_accuracy, quantiles) as of error_summary, for any number of rows: the quantiles are ranked in ranges and not in
+    one aggregation that holds all errors."""
+    e = F.abs(F.col(actual).cast("double") - F.col(predicted).cast("double"))
+    rest = df.groupBy(*by).agg(*error_summary(actual, predicted)[: -len(QUANTILES)])
+    at = quantiles(df.select(*by, e.alias("__e")), "__e", QUANTILES, by)
+    if not by:
+        return rest.join(at, F.lit(True), "left")
+    return rest.join(at.select(*[F.col(c).alias(f"__{c}") for c in by], *QUANTILES), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").drop(*[f"__{c}" for c in by])
+
+
 def classification_summary(truth: str, probability: str, floor: float = 1e-15) -> list[Column]:
     """accuracy at 0.5 and log loss with clipped probabilities."""
     y, p = F.col(truth).cast("double"), F.least(F.greatest(F.col(probability), F.lit(floor)), F.lit(1 - floor))

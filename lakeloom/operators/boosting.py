@@ -120,6 +120,18 @@ class Model:
         return found
 
 
+def scored(df: DataFrame, model: Model, out: str, together: int = 16) -> DataFrame:
+    """df with the model's prediction as a column. Bins are found once; trees are added up a few at a time, so that no expression grows with their number."""
+    rows = df.withColumn("__bins", binned(model.features, model.cuts)).withColumn("__score", F.lit(model.start))
+    for at in range(0, len(model.trees), together):
+        score = F.col("__score")
+        for t in model.trees[at : at + together]:
+            score = score + t.route(F.col("__bins"), lambda k, t=t: F.lit(t.value[k]))
+        rows = rows.withColumn("__score", score)
+    found = 1 / (1 + F.exp(-F.col("__score"))) if model.loss == "logistic" else F.col("__score")
+    return rows.withColumn(out, found).drop("__bins", "__score")
+
+
 # ---- bins
 
 

@@ -91,6 +91,13 @@ def by_date(tg: DataFrame, dates: DataFrame, rounds: int = 50, tol: float = 0.01
 ELO_START, ELO_K, ELO_HOME = 1500.0, 20.0, 3.5
 
 
+def elo_step(home: float, away: float, margin: float, neutral: bool, k: float = ELO_K, home_edge: float = ELO_HOME) -> float:
+    """What a game of that margin adds to the home side's rating and takes from the other's."""
+    expected = 1 / (1 + 10 ** ((away - home - (0.0 if neutral else home_edge)) / 400))
+    result = 1.0 if margin > 0 else 0.0 if margin < 0 else 0.5
+    return float(k * np.log(abs(margin) + 1) * 2.2 / ((home - away) * 0.001 + 2.2) * (result - expected))
+
+
 def elo(games: DataFrame, start: float = ELO_START, k: float = ELO_K, home_edge: float = ELO_HOME) -> DataFrame:
     """Pre-game ratings: (season, game_id, home_elo, away_elo). games: season, game_id, game_date, home_team_id, away_team_id, home_score,
     away_score, is_neutral_site. Sequential within a season, so a season is one task (a row a game); seasons run in parallel."""
@@ -105,10 +112,7 @@ def elo(games: DataFrame, start: float = ELO_START, k: float = ELO_K, home_edge:
             rows.append((gid, eh, ea))
             if pd.isna(hs) or pd.isna(as_):
                 continue
-            margin = hs - as_
-            expected = 1 / (1 + 10 ** ((ea - eh - (0.0 if neutral else home_edge)) / 400))
-            result = 1.0 if margin > 0 else 0.0 if margin < 0 else 0.5
-            step = k * np.log(abs(margin) + 1) * 2.2 / ((eh - ea) * 0.001 + 2.2) * (result - expected)
+            step = elo_step(eh, ea, hs - as_, bool(neutral), k, home_edge)
             now[h], now[a] = eh + step, ea - step
         out = pd.DataFrame(rows, columns=["game_id", "home_elo", "away_elo"])
         out.insert(0, "season", g["season"].iloc[0])

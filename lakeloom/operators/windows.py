@@ -53,20 +53,65 @@ def percent_rank_among(x, among: Column, by: Keys = (), descending: bool = False
     return F.when(among, percent_rank(x, [*by, inside], descending))
 
 
-def percent_ranks(df: DataFrame, key: Keys, metrics: Sequence[str], by: Keys = (), descending: Sequence[str] = ()) -> DataFrame:
-    """key, by and for each metric <metric>_pct; nulls last when ascending, first when descending. Values are counted first, so windows see a row for
-    each distinct value of a metric and group and not one for each row; rows then look their value up."""
+def percent_ranks(df: DataFrame, key: Keys, metrics: Sequence[str], by: Keys = (), descending: Sequence[str] = (), among: Mapping[str, Column] | None = None) -> DataFrame:
+    """key, by and for each metric <metric>_pct; nulls last when ascending, first when descending. among: for some metrics a condition; rows where it does
+    not hold have no rank and count for none. Values are counted first and the counts are summed up in ranges, so neither a group nor a
+    metric is ordered in one task, however many distinct values it has; rows then look their value up."""
     ids = [*key, *by]
-    long = df.select(*ids, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("m")).select(*ids, "m.metric", "m.x")
+    inside = {m: F.coalesce(c, F.lit(False)) for m, c in (among or {}).items()}
+    values = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"), inside.get(m, F.lit(True)).alias("in")) for m in metrics]
+    long = df.select(*ids, F.explode(F.array(*values)).alias("m")).select(*ids, "m.metric", "m.x", "m.in")
     down = F.col("metric").isin(*descending) if descending else F.lit(False)
     # descending ranks with nulls first equal ascending ranks of the negated value with nulls first
     nulls = F.when(F.col("x").isNull(), F.when(down, 0).otherwise(2)).otherwise(1)
-    counts = long.groupBy(*by, "metric", "x").agg(F.count("*").alias("n"))
-    group = W.partitionBy(*by, "metric")
-    before = F.sum("n").over(group.orderBy(nulls, F.when(down, -F.col("x")).otherwise(F.col("x")))) - F.col("n")
-    ranks = counts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("metric").alias("__metric"), F.col("x").alias("__x"), F.coalesce(F.try_divide(before.cast("double"), F.sum("n").over(group) - 1), F.lit(0.0)).alias("r"))
+    order = F.struct(nulls.alias("nulls"), F.when(down, -F.col("x")).otherwise(F.col("x")).alias("x"))
+    counts = stored(long.where("in").groupBy(*by, "metric", "x").agg(F.count("*").alias("n")).withColumn("__o", order), "counts")
+    summed = running_sum(counts, [*by, "metric"], "__o", {"upto": "n"})
+    total = counts.groupBy(*[F.col(c).alias(f"__t_{c}") for c in [*by, "metric"]]).agg(F.sum("n").alias("total"))
+    summed = summed.join(total, [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in [*by, "metric"]])
+    rank = F.coalesce(F.try_divide((F.col("upto") - F.col("n")).cast("double"), F.col("total") - 1), F.lit(0.0))
+    ranks = summed.select(*[F.col(c).alias(f"__{c}") for c in [*by, "metric", "x"]], rank.alias("r"))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, "metric", "x"]]
-    return long.join(ranks, same).groupBy(*ids).agg(*[F.max(F.when(F.col("metric") == m, F.col("r"))).alias(f"{m}_pct") for m in metrics])
+    looked = long.join(ranks, same, "left").withColumn("r", F.when(F.col("in"), F.col("r")))
+    return looked.groupBy(*ids).agg(*[F.max(F.when(F.col("metric") == m, F.col("r"))).alias(f"{m}_pct") for m in metrics])
+
+
+def with_percent_rank(df: DataFrame, out: str, x: str, by: Keys = (), among: Column | None = None, descending: bool = False) -> DataFrame:
+    """df with percent_rank_among as a column (percent_rank where `among` is not given), for groups of any size: values are counted, the counts are summed up in
+    ranges, and rows look their value up. df is read twice."""
+    inside = F.coalesce(among, F.lit(False)) if among is not None else F.lit(True)
+    marked = df.withColumn("__in", inside).withColumn("__x", F.col(x).cast("double"))
+    nulls = F.when(F.col("__x").isNull(), 0 if descending else 2).otherwise(1)
+    order = F.struct(nulls.alias("nulls"), (-F.col("__x") if descending else F.col("__x")).alias("x"))
+    counts = stored(marked.where("__in").groupBy(*by, "__x").agg(F.count("*").alias("n")).withColumn("__o", order), "counts")
+    total = counts.groupBy(*[col(c).alias(f"__t_{c}") for c in by]).agg(F.sum("n").alias("total"))
+    summed = running_sum(counts, by, "__o", {"upto": "n"})
+    summed = summed.join(total, [col(c).eqNullSafe(F.col(f"__t_{c}")) for c in by]) if by else summed.crossJoin(F.broadcast(total))
+    rank = F.coalesce(F.try_divide((F.col("upto") - F.col("n")).cast("double"), F.col("total") - 1), F.lit(0.0))
+    ranks = summed.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__x").alias("__kx"), rank.alias("__r"))
+    found = marked.join(ranks, [*[F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by], F.col("__x").eqNullSafe(F.col("__kx"))], "left")
+    return found.select(*df.columns, F.when(F.col("__in"), F.col("__r")).alias(out))
+
+
+def quantiles(df: DataFrame, value: str, at: Mapping[str, float], by: Keys = ()) -> DataFrame:
+    """(by..., a column for each of `at`): exact quantiles, linear between ranks; nulls don't count. Values are counted and ranked in ranges, so no task holds
+    the values of a group; a group without values has no row."""
+    x = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("n"))
+    counts = stored(x, "counts")
+    total = counts.groupBy(*[col(c).alias(f"__t_{c}") for c in by]).agg(F.sum("n").alias("total"))
+    summed = running_sum(counts, by, "__x", {"upto": "n"})
+    summed = summed.join(total, [col(c).eqNullSafe(F.col(f"__t_{c}")) for c in by]) if by else summed.crossJoin(F.broadcast(total))
+    out = {}
+    for name, q in at.items():
+        place = (F.col("total") - 1) * F.lit(float(q))
+        holds = lambda r: (F.col("upto") - F.col("n") <= r) & (r < F.col("upto"))
+        out[name] = [F.max(F.when(holds(r(place)), F.col("__x"))).alias(f"{name}_{k}") for k, r in (("lo", F.floor), ("hi", F.ceil))]
+        out[name].append(F.max(place - F.floor(place)).alias(f"{name}_part"))
+    found = summed.groupBy(*by).agg(*[c for cols in out.values() for c in cols])
+    if not by:
+        found = found.where(F.col(f"{next(iter(at))}_lo").isNotNull())
+    between = lambda n: F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")
+    return found.select(*by, *[between(n).alias(n) for n in at])
 
 
 def running_sum(df: DataFrame, by: Keys, order: str, sums: Mapping[str, str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import exprs as X
-from lakeloom.operators import joins, ratings, sorting, upsert, windows
+from lakeloom.operators import boosting, joins, ratings, sorting, upsert, windows
 from lakeloom.plans import features, models, steps
 from lakeloom.sources import boxscores
 from lakeloom.sources.tables import stored
@@ -196,7 +196,7 @@ def psql(select: str) -> str:
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
     s, a = _scores(spark, d), _all(spark, d)
-    ps = steps.qualified(a["player_seasons"], 5, 10).join(s.players.select("player_id", "name"), "player_id")
+    ps = steps.qualified(a["player_lines"], 5, 10).join(s.players.select("player_id", "name"), "player_id")
     ps = joins.lookup(ps, s.teams, {"team_id": "team_id"}, {"conference": "conference"})
     found: list = [F.col("name").ilike("%1%"), None, F.col("conference") == "ASIA"]
     for c in found:
@@ -260,7 +260,7 @@ SQL_Q09 = "SELECT player_id, season, game_date, game_id, points, minutes, game_s
 def q10_league_averages(spark: SparkSession, d: str) -> DataFrame:
     """Q10: by season, mean points of the qualified and mean game score of their games."""
     a = _all(spark, d)
-    q = steps.qualified(a["player_seasons"]).select("player_id", "season", "ppg")
+    q = steps.qualified(a["player_lines"]).select("player_id", "season", "ppg")
     ppg = q.groupBy("season").agg(X.round_n(F.avg("ppg"), 3).alias("avg_ppg"))
     gs = a["player_games"].join(q.select("player_id", "season").distinct(), ["player_id", "season"], "left_semi").groupBy("season").agg(X.round_n(F.avg("game_score"), 3).alias("avg_game_score"))
     return ppg.join(gs, "season")
@@ -271,8 +271,9 @@ SQL_Q10 = f"SELECT * FROM (SELECT season, {rnd('AVG(ppg)', 3)} AS avg_ppg FROM p
 
 def q11_masked_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Q11: percentiles of a rate among those with attempts, null for the others."""
-    ps = _all(spark, d)["player_seasons"].withColumn("tries", F.when(F.col("tp_pct") > 0, F.col("tp_pct")))
-    return ps.select("player_id", "team_id", "season", "tp_pct", X.round_n(windows.percent_rank_among("tp_pct", F.col("tries").isNotNull(), ["season"]), 6).alias("tp_pctile"), X.round_n(windows.percent_rank("tries", ["season"], True), 6).alias("all_pctile"))
+    ps = _all(spark, d)["player_lines"].withColumn("tries", F.when(F.col("tp_pct") > 0, F.col("tp_pct")))
+    ps = windows.with_percent_rank(windows.with_percent_rank(ps, "own", "tp_pct", ["season"], F.col("tries").isNotNull()), "every", "tries", ["season"], None, True)
+    return ps.select("player_id", "team_id", "season", "tp_pct", X.round_n("own", 6).alias("tp_pctile"), X.round_n("every", 6).alias("all_pctile"))
 
 
 SQL_Q11 = f"SELECT player_id, team_id, season, tp_pct, CASE WHEN tp_pct > 0 THEN {rnd('r', 6)} END AS tp_pctile, {rnd('r2', 6)} AS all_pctile FROM (SELECT *, PERCENT_RANK() OVER (PARTITION BY season, tp_pct IS NOT NULL AND tp_pct > 0 ORDER BY tp_pct NULLS LAST) AS r, PERCENT_RANK() OVER (PARTITION BY season ORDER BY CASE WHEN tp_pct > 0 THEN tp_pct END DESC NULLS FIRST) AS r2 FROM ps)"
@@ -618,6 +619,15 @@ def o_models(spark: SparkSession, d: str) -> DataFrame:
     return models.predict(rest, fitted).select("season", "game_id", "margin", "pred_margin", "pred_win", "home_wins")
 
 
+def o_leafwise(spark: SparkSession, d: str) -> DataFrame:
+    """O1, O2 with leaf-wise trees: the last fifth of the first four fifths by day stops the rounds, the models are applied to the rest (no oracle: trained)."""
+    m = _matrix(spark, d, fill=True)
+    m = stored(m.withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double")).dropna(subset=["margin"]), "matrix")
+    first, rest = models.chronological(m, "game_date", "game_id")
+    fitted = models.train_leafwise(first, features.FEATURES, "margin", "home_win", "game_date", "game_id", boosting.Growth(rounds=12, leaves=8, rate=0.2, bins=32, patience=4))
+    return models.predict_leafwise(rest, fitted).select("season", "game_id", "margin", "pred_margin", "pred_win", "home_wins")
+
+
 def q19_predict(spark: SparkSession, d: str) -> DataFrame:
     """Q19: matchups asked for by name: teams found as in Q20, features as of the day, models, winner (no oracle: trained)."""
     a = _all(spark, d)
@@ -670,6 +680,7 @@ QUERIES = {
     "n8_matchup_features": (n8_matchups, _n8_sql),
     "n10_impact_variants": (n10_variants, _n10_sql),
     "o1_o2_models": (o_models, None),
+    "o1_o2_leafwise": (o_leafwise, None),
     "q19_predict": (q19_predict, None),
     "f11_f15_expanding_prior": (f11_expanding, lambda: sql(SQL_F11)),
     "t4_standouts": (t4_standouts, lambda: sql(SQL_T4)),

@@ -91,10 +91,14 @@ def q11_external_ranks(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ext_pid", "season", *[X.round_n(f"{c}_pctile", 6).alias(f"{c}_pctile") for c in [*reads.PLAIN, *reads.ZONES]])
 
 
-def _q11_sql() -> str:
+def _q11_select() -> str:
     plain = ", ".join(f"PERCENT_RANK() OVER (PARTITION BY season ORDER BY {c} {'ASC NULLS LAST' if up else 'DESC NULLS FIRST'}) AS {c}_p" for c, up in reads.PLAIN.items())
     zones = ", ".join(f"CASE WHEN {t} > 0 THEN PERCENT_RANK() OVER (PARTITION BY season, COALESCE({t} > 0, false) ORDER BY {c} NULLS LAST) END AS {c}_p" for c, t in reads.ZONES.items())
-    return B.sql(f"SELECT ext_pid, season, {', '.join(f'{B.rnd(c + chr(95) + chr(112), 6)} AS {c}_pctile' for c in [*reads.PLAIN, *reads.ZONES])} FROM (SELECT ext_pid, season, {plain}, {zones} FROM sr WHERE games_played >= 10 AND mpg >= 10)").replace("\nSELECT ext_pid", f",\n{_season_sql()}\nSELECT ext_pid", 1)
+    return f"SELECT ext_pid, season, {', '.join(f'{B.rnd(c + chr(95) + chr(112), 6)} AS {c}_pctile' for c in [*reads.PLAIN, *reads.ZONES])} FROM (SELECT ext_pid, season, {plain}, {zones} FROM sr WHERE games_played >= 10 AND mpg >= 10)"
+
+
+def _q11_sql() -> str:
+    return B.sql(_q11_select()).replace("\nSELECT ext_pid", f",\n{_season_sql()}\nSELECT ext_pid", 1)
 
 
 def t7_shot_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -109,17 +113,43 @@ def _t7_sql() -> str:
     return f"WITH {B.chain()},\n{_season_sql()}\nSELECT ext_pid, season, {', '.join(f'{B.rnd(e, 6)} AS {n}' for n, e in cols.items())} FROM sr"
 
 
+def _classes(a: steps.Steps) -> DataFrame:
+    """Classes with scores; a player may have several rows a season."""
+    kind = lambda k: F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (k % 3 + 1).cast("int"))
+    c = F.col
+    rows = a["player_lines"].select("player_id", "season").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    score = lambda m: ((c("player_id") * m + c("season") + c("k")) % 10).cast("double") / 10
+    return rows.select("player_id", "season", kind(c("player_id") + c("k")).alias("primary"), F.when(c("player_id") % 2 == 0, kind(c("player_id") + c("k") + 1)).alias("secondary"), score(7).alias("primary_score"), score(3).alias("secondary_score"))
+
+
+def q13_archetype(spark: SparkSession, d: str) -> DataFrame:
+    """Q13: the classes of every player of a season, one row each."""
+    return reads.archetype(_classes(B._all(spark, d)), 1995).select("player_id", "season", "primary", "secondary", "primary_score", "secondary_score")
+
+
+def _q13_sql() -> str:
+    kind = lambda k: f"CASE {k} % 3 WHEN 0 THEN '{CLASSES[0]}' WHEN 1 THEN '{CLASSES[1]}' ELSE '{CLASSES[2]}' END"
+    score = lambda m: f"CAST((player_id * {m} + season + k) % 10 AS DOUBLE) / 10"
+    rows = f'SELECT player_id, season, {kind("(player_id + k)")} AS "primary", CASE WHEN player_id % 2 = 0 THEN {kind("(player_id + k + 1)")} END AS secondary, {score(7)} AS primary_score, {score(3)} AS secondary_score FROM (SELECT DISTINCT player_id, season FROM ps), (VALUES (0), (1)) t(k)'
+    return B.sql(f'SELECT * FROM ({rows}) WHERE season = 1995 QUALIFY ROW_NUMBER() OVER (PARTITION BY player_id, season ORDER BY primary_score DESC NULLS LAST, "primary") = 1')
+
+
+EXTERNAL = [f"{c}_pctile" for c in [*reads.PLAIN, *reads.ZONES]]
+
+
 def q18_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Q18: up to four players side by side, all that is known of them, with their last games; unknown ids are left out."""
+    """Q18: up to four players side by side, all that is known of them: season rows, percentiles, game logs, external ranks, classes, league averages."""
     a = B._all(spark, d)
-    r = reads.compare([1, 2, 10**9, 3], _view(a), a["rolling"])
+    r = reads.compare([1, 2, 10**9, 3], _view(a), a["rolling"], reads.external_ranks(_season_rows(a)), B.q10_league_averages(spark, d))
     recent = F.array_join(F.transform("recent", lambda g: F.concat_ws("/", g["game_id"], g["points"].cast("string"))), ";")
-    return r.select(*SHOWN, *[X.round_n(c, 4).alias(c) for c in NUMBERS], recent.alias("recent"))
+    return r.select(*SHOWN, *[X.round_n(c, 4).alias(c) for c in NUMBERS], *[X.round_n(c, 6).alias(c) for c in EXTERNAL], "avg_ppg", "avg_game_score", recent.alias("recent"))
 
 
 def _q18_sql() -> str:
     shown = ", ".join(f'view."{c}"' for c in SHOWN)
-    return f"{_view_sql()}\nSELECT {shown}, {', '.join(f'{B.rnd(c, 4)} AS {c}' for c in NUMBERS)}, recent FROM view LEFT JOIN (SELECT player_id, season, string_agg(concat_ws('/', game_id, CAST(points AS VARCHAR)), ';' ORDER BY game_date, game_id) AS recent FROM (SELECT * FROM roll WHERE player_id IN (1, 2, 3) QUALIFY ROW_NUMBER() OVER (PARTITION BY player_id, season ORDER BY game_date DESC, game_id DESC) <= 5) GROUP BY ALL) USING (player_id, season) WHERE player_id IN (1, 2, 3)"
+    log = "SELECT player_id, season, string_agg(concat_ws('/', game_id, CAST(points AS VARCHAR)), ';' ORDER BY game_date, game_id) AS recent FROM roll WHERE player_id IN (1, 2, 3) GROUP BY ALL"
+    ctes = f"{_view_sql()},\n{_season_sql()},\nex AS ({_q11_select()}),\nla AS ({B.SQL_Q10})"
+    return f"{ctes}\nSELECT {shown}, {', '.join(f'{B.rnd(c, 4)} AS {c}' for c in NUMBERS)}, {', '.join(EXTERNAL)}, avg_ppg, avg_game_score, recent FROM view LEFT JOIN ({log}) USING (player_id, season) LEFT JOIN (SELECT ext_pid AS player_id, * EXCLUDE ext_pid FROM ex) USING (player_id, season) LEFT JOIN la USING (season) WHERE player_id IN (1, 2, 3)"
 
 
 def d12_rebound_backfill(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +197,7 @@ SQL_B13 = "SELECT team_id, season, " + ", ".join(f"CAST(CAST({c} AS FLOAT) AS DO
 QUERIES = {
     "q05_all_searches": (q05_all_searches, _q05_sql),
     "q11_external_ranks": (q11_external_ranks, _q11_sql),
+    "q13_archetype": (q13_archetype, _q13_sql),
     "q18_compare": (q18_compare, _q18_sql),
     "t7_shot_shares": (t7_shot_shares, _t7_sql),
     "d12_rebound_backfill": (d12_rebound_backfill, lambda: B.sql(SQL_D12)),

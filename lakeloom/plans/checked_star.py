@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from lakeloom.functions import metrics, strings
 from lakeloom.operators import joins, similarity, upsert, windows
 from lakeloom.plans import steps
 from lakeloom.plans.checked_box import div, rnd
+from lakeloom.sources.bucketed import BucketTable
+from lakeloom.sources.tables import shared_dir
 
 
 def _t(spark: SparkSession, d: str, table: str, *cols: str) -> DataFrame:
@@ -197,7 +201,7 @@ def _rounded(df: DataFrame, *keep: str) -> DataFrame:
 
 def p1_errors(spark: SparkSession, d: str) -> DataFrame:
     """Errors and their exact quantiles."""
-    return _rounded(_pred(spark, d).agg(*metrics.error_summary("actual", "guess")))
+    return _rounded(metrics.errors(_pred(spark, d), "actual", "guess"))
 
 
 SQL_P1 = f"WITH {_PRED} SELECT {_ERR} FROM pr"
@@ -290,6 +294,15 @@ def j1_coalesce(spark: SparkSession, d: str) -> DataFrame:
 SQL_J1 = f"WITH {_OLDNEW} SELECT c_custkey, COALESCE(n.c_name, o.c_name) AS c_name, COALESCE(n.c_nationkey, o.c_nationkey) AS c_nationkey, COALESCE(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM o FULL JOIN n USING (c_custkey)"
 
 
+def j1_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """J1 as a merge into a table in buckets, which writes the buckets of the new keys alone."""
+    old, new = _slices(spark, d)
+    table = BucketTable(spark, f"{shared_dir(spark).rstrip('/')}/lakeloom/{spark.sparkContext.applicationId}/buckets-{uuid.uuid4().hex}", ["c_custkey"])
+    table.merge(old)
+    table.merge(new)
+    return table.read()
+
+
 def j2_overwrite(spark: SparkSession, d: str) -> DataFrame:
     """One column overwritten even with null, one kept where it is there."""
     return upsert.upsert(*_slices(spark, d), ["c_custkey"], overwrite=["c_acctbal"], keep=["c_nationkey"])
@@ -426,6 +439,7 @@ QUERIES = {
     "p8_compare_runs": (p8_compare, lambda: SQL_P8),
     "p9_parity": (p9_parity, lambda: SQL_P9),
     "j1_upsert_coalesce": (j1_coalesce, lambda: SQL_J1),
+    "j1_merge_buckets": (j1_buckets, lambda: SQL_J1),
     "j2_j3_upsert_overwrite": (j2_overwrite, lambda: SQL_J2),
     "j4_insert_ignore": (j4_ignore, lambda: SQL_J4),
     "j5_replace_slice": (j5_replace, lambda: SQL_J5),

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions import metrics
+from lakeloom.operators import boosting
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,28 @@ def cross_validate(df: DataFrame, features: Sequence[str], margin: str, win: str
     return out
 
 
+def train_leafwise(df: DataFrame, features: Sequence[str], margin: str, win: str, day: str, tie: str, p: boosting.Growth = boosting.Growth(), share: float = 0.8) -> list[boosting.Model]:  # noqa: B008
+    """Margin and win models grown leaf by leaf over the first share of rows by day; the rest stops their rounds. Both take part in the same passes."""
+    first, rest = chronological(df, day, tie, share)
+    rows = first.withColumn("__early", F.lit(True)).unionByName(rest.withColumn("__early", F.lit(False))).withColumn("__late", ~F.col("__early"))
+    return boosting.fit(rows, features, [boosting.Target(margin, "squared", "__early", "__late"), boosting.Target(win, "logistic", "__early", "__late")], tie, p)
+
+
+def predict_leafwise(df: DataFrame, fitted: Sequence[boosting.Model]) -> DataFrame:
+    """As predict(), by leaf-wise models."""
+    out = boosting.scored(boosting.scored(df, fitted[0], "pred_margin"), fitted[1], "pred_win")
+    return out.withColumn("pred_margin", F.round("pred_margin", 1)).withColumn("pred_win", F.round("pred_win", 3)).withColumn("home_wins", F.col("pred_margin") > 0)
+
+
+def save_leafwise(spark: SparkSession, fitted: Sequence[boosting.Model], path: str) -> None:
+    """A row of JSON a model, in order, so that requests load what was trained once."""
+    spark.createDataFrame([(k, m.dumps()) for k, m in enumerate(fitted)], "k int, model string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_leafwise(spark: SparkSession, path: str) -> list[boosting.Model]:
+    return [boosting.Model.loads(r["model"]) for r in spark.read.parquet(path).orderBy("k").collect()]
+
+
 def importance(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 

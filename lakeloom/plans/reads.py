@@ -11,7 +11,7 @@ from lakeloom.functions import exprs as X
 from lakeloom.operators import joins, sorting, windows
 from lakeloom.plans import steps
 
-#: Fields that a search may be sorted by.
+#: Fields that a search may be sorted by.
 SORTS = {
     c: c
     for c in (
@@ -49,33 +49,48 @@ def search_page(found: DataFrame, sort: str = "ppg", descending: bool = True, li
     return sorting.page(sorting.sort_by(keyed, sort, SORTS, descending), limit, offset).drop("id")
 
 
-#: Columns of an external season table that are ranked among qualified players: whether more is better.
+#: Columns of an external season table that are ranked among qualified players: whether more is better.
 PLAIN = {"gbpm": True, "ogbpm": True, "dgbpm": True, "adj_oe": True, "adj_de": False, "orb_pct": True, "drb_pct": True, "stl_pct": True, "blk_pct": True, "ft_rate": True, "personal_foul_rate": False}
-#: Shares of shots by zone, ranked among those with attempts there.
+#: Shares of shots by zone, ranked among those with attempts there.
 ZONES = {"rim_pct": "rim_attempted", "mid_pct": "mid_attempted", "dunk_pct": "dunks_attempted", "tp_pct": "tpa"}
 
 
 def external_ranks(ext: DataFrame, min_games: int = 10, min_minutes: float = 10) -> DataFrame:
-    """ext's qualified rows with `<column>_pctile` for PLAIN and ZONES, by season; a zone without attempts has none. Each rank is a partition of
-    its own (season, column), not one task that sorts for all."""
+    """ext's qualified rows with `<column>_pctile` for PLAIN and ZONES, by season; a zone without attempts has none. All ranks come from one pass over counted
+    values, in ranges of (season, column, value)."""
     q = steps.qualified(ext, min_games, min_minutes)
-    masked = q.select("*", *[F.when(F.col(tries) > 0, F.col(c)).alias(f"__{c}") for c, tries in ZONES.items()])
-    plain = windows.percent_ranks(q, ["ext_pid"], list(PLAIN), ["season"], [c for c, up in PLAIN.items() if not up])
-    out = masked.join(plain.select("ext_pid", "season", *[F.col(f"{c}_pct").alias(f"{c}_pctile") for c in PLAIN]), ["ext_pid", "season"])
-    for c, tries in ZONES.items():
-        rank = q.where(F.col(tries) > 0).select("ext_pid", "season", windows.percent_rank(c, ["season"]).alias(f"{c}_pctile"))
-        out = out.join(rank, ["ext_pid", "season"], "left")
-    return out.drop(*[f"__{c}" for c in ZONES])
-
-
-def compare(ids: Sequence[object], view: DataFrame, log: DataFrame, last: int = 5, most: int = 4) -> DataFrame:
-    """Up to `most` players side by side, in one read and not one for each: season rows of the view with their last games as an array. Ids that are
-    unknown are left out."""
-    asked = [*dict.fromkeys(ids)][:most]
+    every = [*PLAIN, *ZONES]
+    ranks = windows.percent_ranks(q, ["ext_pid"], every, ["season"], [c for c, up in PLAIN.items() if not up], {c: F.col(tries) > 0 for c, tries in ZONES.items()})
+    return q.join(ranks.select("ext_pid", "season", *[F.col(f"{c}_pct").alias(f"{c}_pctile") for c in every]), ["ext_pid", "season"])
+
+
+def archetype(classes: DataFrame, season: int, player: object | None = None) -> DataFrame:
+    """The classes of a player, or of all, in a season: one row each. Of several rows that with the greatest score, then the least class."""
+    rows = classes.where(F.col("season") == season)
+    rows = rows if player is None else rows.where(F.col("player_id") == player)
+    return windows.distinct_on(rows, ["player_id", "season"], [F.col("primary_score").desc_nulls_last(), F.col("primary").asc()])
+
+
+#: Players that a comparison takes.
+MOST = 4
+
+
+def compare(ids: Sequence[object], view: DataFrame, log: DataFrame, ext: DataFrame | None = None, averages: DataFrame | None = None, last: int | None = None) -> DataFrame:
+    """Up to MOST players side by side, in one read and not one for each: season rows of the view, their games (all, or the last ones) as an array, with
+    `ext` their row of external_ranks(), and with `averages` those of the season. Ids that are unknown are left out; more than MOST are an error."""
+    asked = [*dict.fromkeys(ids)]
+    if not 0 < len(asked) <= MOST:
+        raise ValueError(f"between 1 and {MOST} players are compared, not {len(asked)}")
     rows = view.where(F.col("player_id").isin(asked))
-    games = windows.top_n(log.where(F.col("player_id").isin(asked)), ["player_id", "season"], [F.col("game_date").desc(), F.col("game_id").desc()], last)
+    games = log.where(F.col("player_id").isin(asked))
+    if last is not None:
+        games = windows.top_n(games, ["player_id", "season"], [F.col("game_date").desc(), F.col("game_id").desc()], last)
     recent = games.groupBy("player_id", "season").agg(F.array_sort(F.collect_list(F.struct("game_date", "game_id", "points", "game_score", "rolling_ppg"))).alias("recent"))
-    return rows.join(recent, ["player_id", "season"], "left")
+    out = rows.join(recent, ["player_id", "season"], "left")
+    if ext is not None:
+        own = ext.where(F.col("ext_pid").isin(asked)).select(F.col("ext_pid").alias("player_id"), "season", *[f"{c}_pctile" for c in [*PLAIN, *ZONES]])
+        out = out.join(own, ["player_id", "season"], "left")
+    return out if averages is None else out.join(averages, ["season"], "left")
 
 
 def shot_shares(ext: DataFrame) -> DataFrame:

@@ -149,9 +149,9 @@ def composite(ext: DataFrame, k: CompositeConstants = CompositeConstants()) -> D
     """
     c = F.col
     complete = c("ogbpm").isNotNull() & c("dgbpm").isNotNull() & c("usage_rate").isNotNull() & c("min_share_pct").isNotNull() & c("mpg").isNotNull() & (c("games_played") > 0)
-    season = W.partitionBy("season")
-    d = ext.withColumn("__in", F.coalesce(complete, F.lit(False)))
-    d = d.withColumn("__mp", F.avg(F.when(c("__in"), c("mpg"))).over(season)).withColumn("__ms", F.avg(F.when(c("__in"), c("min_share_pct"))).over(season))
+    ext = stored(ext.withColumn("__in", F.coalesce(complete, F.lit(False))), "composite")
+    means = ext.where("__in").groupBy(c("season").alias("__s")).agg(F.avg("mpg").alias("__mp"), F.avg("min_share_pct").alias("__ms"))
+    d = ext.join(means, c("season").eqNullSafe(c("__s")), "left").drop("__s")
     ok = c("__in") & (c("min_share_pct") > 0) & (c("__mp") > 0) & (c("__ms") > 0)
     put = lambda e: F.when(ok, e)
     u = c("usage_rate") / k.usage_ref
@@ -164,7 +164,10 @@ def composite(ext: DataFrame, k: CompositeConstants = CompositeConstants()) -> D
     for n in tier1:
         d = d.withColumn(f"{n}_v2", c(n) * c("gp_weight"))
     stable = (c("games_played") >= k.sos_min_gp) & c("adj").isNotNull() & c("conf").isNotNull()
-    d = d.withColumn("conf_sos", F.when(c("adj").isNotNull() & c("conf").isNotNull(), F.avg(F.when(stable, c("adj"))).over(W.partitionBy("season", "conf")) - F.avg(F.when(stable, c("adj"))).over(season)))
+    confs = d.where(stable).groupBy(c("season").alias("__s"), c("conf").alias("__c")).agg(F.sum("adj").alias("__sum"), F.count("*").alias("__n"))
+    all_ = confs.groupBy(c("__s").alias("__s2")).agg((F.sum("__sum") / F.sum("__n")).alias("__all"))
+    confs = confs.join(all_, c("__s").eqNullSafe(c("__s2"))).select("__s", "__c", (c("__sum") / c("__n") - c("__all")).alias("__shift"))
+    d = d.join(confs, c("season").eqNullSafe(c("__s")) & (c("conf") == c("__c")), "left").withColumn("conf_sos", F.when(c("adj").isNotNull(), c("__shift"))).drop("__s", "__c", "__shift")
 
     def tier3(d: DataFrame, shift, suffix: str) -> DataFrame:
         scale = c("mp_factor") * c("gp_weight")
@@ -175,8 +178,8 @@ def composite(ext: DataFrame, k: CompositeConstants = CompositeConstants()) -> D
     d = tier3(d, c("conf_sos") * k.sos_rate, "")
     d = tier3(d, F.when(c("adj").isNotNull(), c("player_sos") * k.player_sos_rate), "_psos")
     ranked = c("value_v3_psos").isNotNull() & (c("games_played") >= 10) & (c("mpg") >= 10)
-    d = d.withColumn("value_v3_psos_pct", windows.percent_rank_among("value_v3_psos", F.coalesce(ranked, F.lit(False)), ["season"]))
-    return d.drop("__in", "__mp", "__ms", "__o", "__d")
+    d = d.drop("__in", "__mp", "__ms", "__o", "__d")
+    return windows.with_percent_rank(d, "value_v3_psos_pct", "value_v3_psos", ["season"], ranked)
 
 
 def rolling(pg: DataFrame, n: int = 5) -> DataFrame:
@@ -249,10 +252,15 @@ class Steps:
     def team_seasons(self) -> DataFrame:
         return stored(with_adjusted(team_seasons(self.team_games), self.team_games, self.rounds, self.tol), "team-seasons")
 
+    @cached_property
+    def player_lines(self) -> DataFrame:
+        """Season rows without schedule strength, which takes the teams' adjusted ratings."""
+        return stored(player_seasons(self.player_games, self.team_games), "player-lines")
+
     @cached_property
     def player_seasons(self) -> DataFrame:
         sos = player_sos(self.player_games, self.team_seasons)
-        return stored(player_seasons(self.player_games, self.team_games).join(sos, ["player_id", "team_id", "season"], "left"), "player-seasons")
+        return stored(self.player_lines.join(sos, ["player_id", "team_id", "season"], "left"), "player-seasons")
 
     @cached_property
     def rolling(self) -> DataFrame:

@@ -25,20 +25,27 @@ def _fs(spark: SparkSession, path: str):
     return hadoop, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def rename_over(spark: SparkSession, path: str, name: str, text: str) -> None:
+    """Put a small file with `text` in the place of path/name in one rename."""
+    hadoop, root, fs = _fs(spark, path)
+    fs.mkdirs(root)
+    fresh, final = hadoop.Path(f"{path}/.{name}.{uuid.uuid4().hex}"), hadoop.Path(f"{path}/{name}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(final), how)
+
+
 def publish(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, keep: int = 2) -> str:
     """Write all tables to a folder of their own and then name it current, in one rename of a small file over the last. Readers (see published) find
     all of the old or all of the new at any time; the last `keep` sets stay for those that still read them. Returns the set's name."""
     name = f"set-{uuid.uuid4().hex}"
     for table, df in tables.items():
         df.write.parquet(f"{path}/{name}/{table}")
+    rename_over(spark, path, POINTER, name)
     hadoop, root, fs = _fs(spark, path)
-    fresh, final = hadoop.Path(f"{path}/{POINTER}.{name}"), hadoop.Path(f"{path}/{POINTER}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
-    hadoop.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(final), how)
     old = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("set-"))
     for _, gone in [x for x in old if x[1] != name][: max(len(old) - keep, 0)]:
         fs.delete(hadoop.Path(f"{path}/{gone}"), True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lakeloom.operators import upsert
+from lakeloom.sources.bucketed import BucketTable
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, keep: int = 3):
@@ -28,6 +29,32 @@ def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], order: Sequ
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def merge_stream(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, buckets: int = 64):
+    """Keep a BucketTable at `path` up to date: each batch is made unique by key (last wins) and merged, which writes the buckets of its keys alone. A
+    batch that is run again changes nothing."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table = BucketTable(batch.sparkSession, path, keys, buckets)
+        table.merge(upsert.last_wins(batch, keys, order), batch=number)
+        table.vacuum()
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def enrich_stream(stream: DataFrame, dimension: Callable[[SparkSession], DataFrame], key: str, path: str, missing: str, checkpoint: str):
+    """Facts of a stream with the columns of their dimension, in folders of `path` by batch; facts whose key the dimension lacks, or is null, go to folders of
+    `missing` instead, as they came. The dimension is asked for anew with each batch, so it may be refreshed at any time. It is unique by key."""
+
+    def join(batch: DataFrame, number: int) -> None:
+        dim = dimension(batch.sparkSession)
+        facts = batch.persist()
+        facts.join(dim, [key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        facts.join(dim.select(key), [key], "left_anti").write.mode("overwrite").parquet(f"{missing}/batch={number}")
+        facts.unpersist()
+
+    return stream.writeStream.foreachBatch(join).option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def _drop_before(spark: SparkSession, path: str, number: int) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -283,12 +283,12 @@ def _histograms(state: DataFrame, key: str, targets: Sequence[Target], growers:
     for k, g in growers.items():
         node = g.tree.route(bins, lambda n, g=g: F.lit(n) if n in g.wanted else F.lit(None).cast("int"))
         grad, hess = _gradient(targets[k], F.col("score")[k])
-        own = F.array(*[F.struct(F.lit(f).alias("f"), bins[f].alias("b")) for f in g.chosen])
         seen = F.coalesce(F.col(targets[k].train), F.lit(False)) if targets[k].train else F.lit(True)
-        parts.append(F.struct(F.lit(k).alias("k"), F.when(seen & F.col(targets[k].label).isNotNull(), node).alias("node"), _fixed(grad).alias("g"), _fixed(hess).alias("h"), own.alias("own")))
-    rows = state.where(in_bag(key, r, p)).select(F.explode(F.array(*parts)).alias("p")).where("p.node IS NOT NULL")
-    cells = rows.select("p.k", "p.node", "p.g", "p.h", F.explode("p.own").alias("c"))
-    sums = cells.groupBy("k", "node", "c.f", "c.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
+        parts.append(F.struct(F.lit(k).alias("k"), F.when(seen & F.col(targets[k].label).isNotNull(), node).alias("node"), _fixed(grad).alias("g"), _fixed(hess).alias("h")))
+    rows = state.where(in_bag(key, r, p)).select("bins", F.explode(F.array(*parts)).alias("p")).where("p.node IS NOT NULL")
+    seen = " OR ".join(f"(k = {k} AND f IN ({', '.join(map(str, g.chosen))}))" for k, g in growers.items())
+    cells = rows.select("p.k", "p.node", "p.g", "p.h", F.posexplode("bins").alias("f", "b")).where(seen)
+    sums = cells.groupBy("k", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
     out: dict[int, dict[int, np.ndarray]] = {k: {} for k in growers}
     for k, node, f, b, g, h, n in sums.collect():
         hist = out[k].setdefault(node, np.zeros((*shape, 3)))

@@ -624,7 +624,7 @@ def o_leafwise(spark: SparkSession, d: str) -> DataFrame:
     m = _matrix(spark, d, fill=True)
     m = stored(m.withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double")).dropna(subset=["margin"]), "matrix")
     first, rest = models.chronological(m, "game_date", "game_id")
-    fitted = models.train_leafwise(first, features.FEATURES, "margin", "home_win", "game_date", "game_id", boosting.Growth(rounds=12, leaves=8, rate=0.2, bins=32, patience=4))
+    fitted = models.train_leafwise(first, features.FEATURES, "margin", "home_win", "game_date", "game_id", boosting.Growth(rounds=8, leaves=8, rate=0.25, bins=32, patience=4))
     return models.predict_leafwise(rest, fitted).select("season", "game_id", "margin", "pred_margin", "pred_win", "home_wins")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lakeloom.sources.tables import release, shared_dir, stored
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "CRC32", "SPACE", "WORD", "read", "release", "shared_dir", "short_batches", "stored", "unit_hash"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "CRC32", "map_rows", "SPACE", "WORD", "read", "release", "shared_dir", "short_batches", "stored", "unit_hash"]
 
 #: White space and words as every operator here understands them.
 SPACE = r"[\x20\x09-\x0D]"
@@ -34,6 +38,15 @@ def short_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def map_rows(rows: DataFrame, op: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, ids: Sequence[str] = ("id",)) -> DataFrame:
+    """mapInPandas to the columns `ids`, as they were, and those of `schema`. Ids that are whole numbers travel as text: among nulls pandas would make
+    them floats, which hold 53 bits."""
+    whole = [c for c in ids if isinstance(rows.schema[c].dataType, IntegralType)]
+    text = rows.withColumns({c: F.col(c).cast("string") for c in whole})
+    out = text.mapInPandas(op, ", ".join([*[f"{c} {text.schema[c].dataType.simpleString()}" for c in ids], schema]))
+    return out.withColumns({c: F.col(c).cast(rows.schema[c].dataType) for c in whole})
+
+
 def unit_hash(seed: int, *cols: Column) -> Column:
     """A whole number in [0, 2^32) from md5 of the seed and the columns as text: the same in any SQL engine."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import short_batches, stored
+from lakeloom.llm.common import map_rows, short_batches, stored
 from lakeloom.llm.components import components
 from lakeloom.llm.shingles import WordHash, shingle_set, word_hashes
 
@@ -156,7 +156,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             found = [_set_of(t, memo) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "key": b["key"], "n": [len(s) for s in found], "node": pd.array([_node(s) for s in found], dtype="Int64")})
 
-    return docs.withColumn("key", F.xxhash64("text")).mapInPandas(op, f"id {docs.schema['id'].dataType.simpleString()}, key long, n long, node long")
+    return map_rows(docs.withColumn("key", F.xxhash64("text")), op, "key long, n long, node long")
 
 
 def _cut(s: np.ndarray, bits: int) -> np.ndarray:

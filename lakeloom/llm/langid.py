@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import short_batches
+from lakeloom.llm.common import map_rows, short_batches
 from lakeloom.llm.textstats import WINDOW, windows
 
 UND = "und"
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if not per:
         return Model([], np.zeros((0, p.dims), np.float32), np.zeros(0), idf)
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, p.per_lang / r["count"]))) for r in per])
-    pick = F.pmod(F.xxhash64(F.lit(p.seed), F.col("id")), F.lit(1 << 30)) < share * (1 << 30)
+    pick = F.pmod(F.xxhash64(F.lit(p.seed), F.col("id"), F.col("text")), F.lit(1 << 30)) < share * (1 << 30)
     shared = spark.sparkContext.broadcast(idf)
 
     def vectors(batches):
@@ -150,7 +150,8 @@ def predict_text(text: str | None, m: Model) -> tuple[str, float, bool]:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, rejected) for each row. Null texts and texts without a letter: `und`, 0, rejected. Only the text is looked at."""
+    """(id, lang_pred, score, rejected) for each row, those that repeat among them. Null texts and texts without a letter: `und`, 0, rejected. Only the
+    text is looked at; of centroids that are alike the first language counts; an empty table gives an empty result."""
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,4 +162,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pd.concat([b.drop(columns="text").reset_index(drop=True), out], axis=1)
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(op, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return map_rows(src, op, "lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import short_batches
+from lakeloom.llm.common import map_rows, short_batches
 
 UNIT = 192
 KEY_EVERY = 64
@@ -199,7 +199,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pd.DataFrame({"id": b["id"], "n_bytes": [len(x) for x in raw], "media": [mux(pad(x)) for x in raw]})
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(op, f"id {src.schema['id'].dataType.simpleString()}, {MUX_SCHEMA}").withColumnRenamed("id", id_col)
+    return map_rows(src, op, MUX_SCHEMA).withColumnRenamed("id", id_col)
 
 
 def index_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -218,7 +218,7 @@ def index_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
             yield out
 
     src = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return src.mapInPandas(op, f"id {src.schema['id'].dataType.simpleString()}, {INDEX_SCHEMA}").withColumnRenamed("id", id_col)
+    return map_rows(src, op, INDEX_SCHEMA).withColumnRenamed("id", id_col)
 
 
 def feature(index: Index) -> str:
@@ -255,4 +255,4 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield out
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(op, f"id {src.schema['id'].dataType.simpleString()}, {DIGEST_SCHEMA}").withColumnRenamed("id", id_col)
+    return map_rows(src, op, DIGEST_SCHEMA).withColumnRenamed("id", id_col)

@@ -59,15 +59,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(id, source, size, source_size, target, copies, taken) for each row of docs.
 
     Every document is taken whole floor(target / source_size) times; the rest of the target is met by documents taken once more:
-    within size classes, those with the smallest seeded hash. Ranks are counted in parts of about group_rows rows, so that a
+    within size classes, those with the smallest seeded hash of id and text. Ranks are counted in parts of about group_rows rows, so that a
     source with a third of all rows is never ordered in one task. Null texts have size 0, null sources form one source, an empty table an
     empty result; rows equal in id, source and size are alike, so which of them is taken does not show. Reruns agree.
     """
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix")
+    key = unit_hash(seed, F.col(id_col), F.md5(F.col(text_col).cast("binary")))
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("h")), "mix")
     targets = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs, weights)
     bits = F.length(F.bin(F.col("size")))
     cls = (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("long")
-    rows = rows.withColumn("cls", cls).withColumn("h", unit_hash(seed, F.col("id")))
+    rows = rows.withColumn("cls", cls)
     counts = rows.groupBy("source", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     classes = counts.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "cls", "n", "words", "source_size", "target", F.least(F.floor(rate), F.lit(int(max_epochs))).cast("long").alias("whole"), (rate - F.floor(rate)).alias("part"))
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('17:' || COALESCE(CAST(doc_id AS VARCHAR), '\N')), 1, 8) AS UBIGINT) AS h FROM documents
+    CAST('0x' || substr(md5('17:' || COALESCE(CAST(doc_id AS VARCHAR), '\N') || ':' || COALESCE(md5(text), '\N')), 1, 8) AS UBIGINT) AS h FROM documents
 ), c AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS cls FROM d),
 src AS (SELECT source, CAST(SUM(size) AS BIGINT) AS ss FROM d GROUP BY source),
 wt AS (SELECT source, ss, ss * 3e0 AS cap, CAST((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM src),

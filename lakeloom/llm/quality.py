@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import short_batches, stored
+from lakeloom.llm.common import map_rows, short_batches, stored
 from lakeloom.llm.textstats import WINDOW, code_points
 
 NAMES = ("upper", "digit", "space", "mark", "symbol", "other", "bang", "bar", "newline", "symbol_ends", "log_chars", "word_chars", "word_variety", "long_words", "repeats")
@@ -107,7 +107,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Texts that are null or hold no word are not kept and have p_doc 0; they don't count for sites. A null host or path is a site of its own.
     Labels that are null are left out; without labels of both kinds every document has the same evidence. Rows without an id are scored
-    as any other. A hot host is only ever summed, and joined as rows of numbers, which may be split.
+    as any other; rows that are alike get the same scores; an empty table gives an empty result. A hot host is only ever summed, and joined as rows of numbers, which may be split.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -120,7 +120,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield out
 
     src = docs.select(F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    rows = stored(src.mapInPandas(op, f"id {src.schema['id'].dataType.simpleString()}, row long, host string, path string, x array<double>, empty boolean"), "quality")
+    rows = stored(map_rows(src, op, "host string, path string, x array<double>, empty boolean", ("id", "row")), "quality")
 
     # the classifier
     given = labels.select(F.col(label_id).alias("lid"), F.col(label_col).cast("int").alias("y")).where("y is not null and lid is not null")

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import short_batches
+from lakeloom.llm.common import map_rows, short_batches
 from lakeloom.llm.spans import located
 
 LEAF = 32
@@ -240,7 +240,8 @@ def count_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_
     """docs (id, text), edits (id, edits array<struct<start:int,end:int,new:string>>, applied in turn): (id, n_tokens, n_pieces, n_edits,
     n_tokens_after, n_encoded, text_sha256) for each row of docs.
 
-    Edits of ids that docs lacks change nothing. Null texts count as empty; edits that are null or out of range are left out.
+    Edits of ids that docs lacks change nothing. Null texts count as empty; edits that are null or out of range are left out. An id that repeats in
+    `edits` repeats its documents, once for each of its rows; an empty table of docs gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(edits.select(F.col(id_col).alias("eid"), "edits"), F.col("id") == F.col("eid"), "left")
     return _counted(rows.select("id", "text", "edits"), vocabulary).withColumnRenamed("id", id_col)
@@ -256,7 +257,7 @@ def _counted(rows: DataFrame, vocabulary: str) -> DataFrame:
             out = [_count(t, e, counter) for t, e in zip(b["text"], b["edits"], strict=True)]
             yield pd.concat([b[["id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_pieces", "n_edits", "n_tokens_after", "n_encoded", "text_sha256"])], axis=1)
 
-    return rows.mapInPandas(op, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_pieces long, n_edits long, n_tokens_after long, n_encoded long, text_sha256 string")
+    return map_rows(rows, op, "n_tokens long, n_pieces long, n_edits long, n_tokens_after long, n_encoded long, text_sha256 string")
 
 
 def _count(text: object, edits: Iterable | None, counter: Counter) -> tuple[int, int, int, int, int, str]:
@@ -277,6 +278,6 @@ def redaction_edits(text: F.Column) -> F.Column:
 
 
 def count_redactions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """count_edits() with each document's own redaction_edits(); no join."""
+    """count_edits() with each document's own redaction_edits(); no join. A row for each row of docs; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return _counted(rows.withColumn("edits", redaction_edits(F.col("text"))), vocabulary).withColumnRenamed("id", id_col)

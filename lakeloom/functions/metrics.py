@@ -17,7 +17,7 @@ def error_summary(actual: str, predicted: str) -> list[Column]:
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     e = F.abs(a - p)
     return [
-        F.count("*").alias("n"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(a))).alias("r2"),
+        F.count("*").alias("n"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.sum(a * a) - F.try_divide(F.sum(a) * F.sum(a), F.count(a)))).alias("r2"),
         F.avg(F.when((a > 0) == (p > 0), 1.0).otherwise(0.0)).alias("sign_accuracy"), *[F.percentile(e, F.lit(q)).alias(n) for n, q in QUANTILES.items()],
     ]
 

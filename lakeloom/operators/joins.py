@@ -60,6 +60,21 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, left_name: str,
     return both.withColumn("__k", best).where("__k = 1").select(left_id, right_id, "team_match")
 
 
+def prefix_index(names: DataFrame, name: str, take: Sequence[str]) -> DataFrame:
+    """(prefix, take...): for every beginning of a name, in lower case, the row whose name is it, else that of the shortest name, then the least.
+    The empty beginning finds the shortest of all. Names are combined before the shuffle, so a beginning that all share is a row a task."""
+    low = F.lower(F.col(name))
+    rows = names.where(F.col(name).isNotNull()).select(low.alias("__low"), F.struct(F.length(name).alias("n"), F.col(name).alias("name"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(take)]).alias("__row"))
+    each = rows.select("__row", "__low", F.explode(F.transform(F.sequence(F.lit(0), F.length("__low")), lambda n: F.substring("__low", F.lit(1), n))).alias("prefix"))
+    best = each.groupBy("prefix").agg(F.min(F.struct((F.col("__low") != F.col("prefix")).alias("begins"), "__row"))["__row"].alias("__best"))
+    return best.select("prefix", *[F.col(f"__best.t{i}").alias(c) for i, c in enumerate(take)])
+
+
+def lookup_by_prefix(asked: DataFrame, query: str, index: DataFrame) -> DataFrame:
+    """Rows of asked with what the index holds for their query, in any case; rows that find nothing, null ones too, are left out. An equality."""
+    return asked.join(index, F.lower(F.col(query)) == F.col("prefix")).drop("prefix")
+
+
 def prefer(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
     """first where it is there, else second."""
     return df.withColumn(name, F.coalesce(F.col(first), F.col(second)))

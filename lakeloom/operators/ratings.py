@@ -1,5 +1,6 @@
 """Ratings that are iterated or sequential. Edges are aggregated first: one row for each ordered pair of teams and season, whatever the
-number of games, so a season's edges (teams squared at most) fit one task; seasons and dates run in parallel."""
+number of games, so a season's edges (teams squared at most) fit one task; seasons and dates run in parallel. Groups of more edges than a task
+should hold are solved by rounds of joins instead (adjusted_by_rounds)."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import exprs as X
 from lakeloom.operators import joins, windows
+from lakeloom.sources.tables import stored
 
 
 def edges(tg: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -51,9 +53,15 @@ def solve(team: np.ndarray, opp: np.ndarray, pts: np.ndarray, poss: np.ndarray,
     return ids, off[:n], dfn[:n], sos
 
 
-def adjusted(e: DataFrame, rounds: int = 50, tol: float = 0.01, by: tuple[str, ...] = ("season",), universe: str = "offense") -> DataFrame:
-    """(by..., team_id, off, def, sos) for each group of edges. The fixed point oscillates, so the number of rounds is part of the result."""
+def adjusted(e: DataFrame, rounds: int = 50, tol: float = 0.01, by: tuple[str, ...] = ("season",), universe: str = "offense", most_edges: int | None = None) -> DataFrame:
+    """(by..., team_id, off, def, sos) for each group of edges. The fixed point oscillates, so the number of rounds is part of the result.
+    Groups of more than `most_edges` edges go through adjusted_by_rounds(), the others are a task each; None: all are."""
     kinds = {f.name: f.dataType.simpleString() for f in e.schema.fields}
+    if most_edges is not None:
+        e = stored(e.select(*by, "team_id", "opponent_id", "pts", "poss", "games").withColumn("__g", F.struct(*by)), "edges")
+        large = e.groupBy("__g").agg(F.count("*").alias("n")).where(F.col("n") > most_edges)
+        small, beyond = (e.join(large, "__g", how).drop("__g") for how in ("left_anti", "left_semi"))
+        return adjusted(small, rounds, tol, by, universe).unionByName(adjusted_by_rounds(beyond, rounds, tol, by, universe))
 
     def op(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["team_id", "opponent_id"])
@@ -68,7 +76,45 @@ def adjusted(e: DataFrame, rounds: int = 50, tol: float = 0.01, by: tuple[str, .
     return e.select(*by, "team_id", "opponent_id", "pts", "poss", "games").groupBy(*by).applyInPandas(op, schema)
 
 
-def by_date(tg: DataFrame, dates: DataFrame, rounds: int = 50, tol: float = 0.01) -> DataFrame:
+def adjusted_by_rounds(e: DataFrame, rounds: int = 50, tol: float = 0.01, by: tuple[str, ...] = ("season",), universe: str = "offense") -> DataFrame:
+    """What adjusted() gives, up to the order of sums, with each round as two joins and aggregations over the stored edges: no task holds a group.
+    A round's ratings are stored before the next, so lineage stays short. A group stops when none of its ratings moves by tol."""
+    g, team, opp = F.col("g"), F.col("team_id"), F.col("opponent_id")  # as a struct, keys that are null are equal
+    e = e.select(F.struct(*by).alias("g"), "team_id", "opponent_id", "pts", "poss", "games")
+    league = e.groupBy("g").agg(F.coalesce(F.try_divide(F.sum("pts"), F.when(F.sum("poss") > 0, F.sum("poss"))) * 100, F.lit(100.0)).alias("league"))
+    e = stored(e.join(league, "g"), "edges")
+    attack = e.groupBy("g", "team_id").agg(F.sum("pts").alias("op"), F.sum("poss").alias("oq"), F.sum("games").alias("played"), F.first("league").alias("l1"))
+    defend = e.groupBy("g", opp.alias("team_id")).agg(F.sum("pts").alias("dp"), F.sum("poss").alias("dq"), F.first("league").alias("l2"))
+    now = attack.join(defend, ["g", "team_id"], "left" if universe == "offense" else "full").fillna(0.0, ["op", "oq", "played", "dp", "dq"])
+    now = now.withColumn("league", F.coalesce("l1", "l2"))
+    raw = lambda p, q: F.when(F.col(q) > 0, F.col(p) / F.col(q) * 100).otherwise(F.col("league"))
+    now = now.select("g", "team_id", "league", "oq", "dq", "played", raw("op", "oq").alias("raw_off"), raw("dp", "dq").alias("raw_def"))
+    now = stored(now.withColumn("off", F.col("raw_off")).withColumn("def", F.col("raw_def")).withColumn("live", F.lit(True)), "ratings")
+
+    def met(rated: DataFrame, mine: str, theirs: str, value, weight: str, name: str) -> DataFrame:
+        """By `mine`, the sum of a value of the side `theirs` times a weight; a side without a rating stands at the league's."""
+        side = rated.select("g", F.col("team_id").alias(theirs), value.alias("v"))
+        j = e.join(side, ["g", theirs], "left")
+        return j.groupBy("g", F.col(mine).alias("team_id")).agg(F.sum(F.coalesce("v", F.col("league") if weight == "poss" else F.lit(0.0)) * F.col(weight)).alias(name))
+
+    for _ in range(rounds):
+        live = now.where("live") if tol > 0 else now
+        nxt = now.join(met(live, "team_id", "opponent_id", F.col("def"), "poss", "md"), ["g", "team_id"], "left").join(met(live, "opponent_id", "team_id", F.col("off"), "poss", "mo"), ["g", "team_id"], "left")
+        move = lambda had, q, raw_value, m: F.when(F.col("live") & (F.col(q) > 0), F.col(raw_value) * (F.col("league") / (F.col(m) / F.col(q)))).otherwise(F.col(had))
+        nxt = nxt.select("g", "team_id", "league", "oq", "dq", "played", "raw_off", "raw_def", move("off", "oq", "raw_off", "md").alias("off"), move("def", "dq", "raw_def", "mo").alias("def"), "live", F.col("off").alias("off0"), F.col("def").alias("def0"))
+        now = stored(nxt, "ratings")
+        if tol > 0:
+            change = now.where("live").groupBy("g").agg((F.max(F.greatest(F.abs(F.col("off") - F.col("off0")), F.abs(F.col("def") - F.col("def0")))) >= tol).alias("again"))
+            now = now.join(change, "g", "left").withColumn("live", F.coalesce("again", F.lit(False))).drop("again")
+            if now.where("live").isEmpty():
+                break
+        now = now.drop("off0", "def0")
+    margin = met(now, "team_id", "opponent_id", F.col("off") - F.col("def"), "games", "margin")
+    sos = F.when(F.col("played") > 0, F.col("margin") / F.col("played")).otherwise(F.lit(None).cast("double") if universe == "offense" else F.lit(0.0))
+    return now.join(margin, ["g", "team_id"], "left").select(*[g[c].alias(c) for c in by], team, "off", "def", sos.alias("sos"))
+
+
+def by_date(tg: DataFrame, dates: DataFrame, rounds: int = 50, tol: float = 0.01, most_edges: int | None = None) -> DataFrame:
     """(as_of, team_id, off, def, sos) for each date of `dates` (as_of) that has games strictly before it, from these, of all seasons.
 
     Games count from the first date after them on. A pair's sums run on from date to date and hold until its next game, so each (date, pair)
@@ -85,7 +131,7 @@ def by_date(tg: DataFrame, dates: DataFrame, rounds: int = 50, tol: float = 0.01
     d = e.join(starts, F.col("game_date") == F.col("day")).groupBy("team_id", "opponent_id", "from").agg(*[F.sum(c).alias(c) for c in ("pts", "poss", "games")])
     d = d.select("team_id", "opponent_id", *[F.sum(c).over(so_far).alias(c) for c in ("pts", "poss", "games")], "from", F.coalesce(F.lead("from").over(pair) - 1, F.lit(n)).alias("to"))
     d = d.withColumn("slot", F.explode(F.sequence("from", "to"))).drop("from", "to")
-    return adjusted(d.join(marks, "slot"), rounds, tol, ("as_of",), "union")
+    return adjusted(d.join(marks, "slot"), rounds, tol, ("as_of",), "union", most_edges)
 
 
 ELO_START, ELO_K, ELO_HOME = 1500.0, 20.0, 3.5

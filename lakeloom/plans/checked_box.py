@@ -292,9 +292,7 @@ def q20_team_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Q20: for each query the team of that name in any case, else the shortest name that it begins."""
     t = _scores(spark, d).teams
     asked = spark.createDataFrame([("nation_1",), ("Nation_2",), ("na",), ("zzz",)], "query string")
-    m = asked.join(t, F.lower("name").startswith(F.lower("query")))
-    best = windows.distinct_on(m, ["query"], [(F.lower("name") != F.lower("query")).asc(), F.length("name").asc(), F.col("name").asc()])
-    return best.select("query", "team_id", "name")
+    return joins.lookup_by_prefix(asked, "query", joins.prefix_index(t, "name", ["team_id", "name"])).select("query", "team_id", "name")
 
 
 SQL_Q20 = "SELECT query, team_id, name FROM (VALUES ('nation_1'), ('Nation_2'), ('na'), ('zzz')) q(query) JOIN teams ON starts_with(lower(name), lower(query)) QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY lower(name) <> lower(query), length(name), name) = 1"
@@ -328,6 +326,13 @@ def k1_adjusted(spark: SparkSession, d: str) -> DataFrame:
     return a.select("season", "team_id", *[X.round_n(c, 3).alias(c) for c in ("off", "def", "sos")])
 
 
+def k1_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    """K1 where a group is too large for one task: every round a join over the stored edges."""
+    tg = steps.estimate_rebounds(_scores(spark, d).team_games)
+    a = ratings.adjusted(ratings.edges(tg), ROUNDS, 0.0, most_edges=0)
+    return a.select("season", "team_id", *[X.round_n(c, 3).alias(c) for c in ("off", "def", "sos")])
+
+
 SQL_K1 = f"SELECT season, r.team_id, {rnd('o', 3)} AS off, {rnd('d', 3)} AS def, {rnd('sos', 3)} AS sos FROM r{ROUNDS} r LEFT JOIN sos USING (season, team_id)"
 
 
@@ -631,12 +636,11 @@ def o_leafwise(spark: SparkSession, d: str) -> DataFrame:
 def q19_predict(spark: SparkSession, d: str) -> DataFrame:
     """Q19: matchups asked for by name: teams found as in Q20, features as of the day, models, winner (no oracle: trained)."""
     a = _all(spark, d)
-    names = a.scores.teams.select("team_id", "name")
+    names = joins.prefix_index(a.scores.teams, "name", ["team_id", "name"])
     asked = spark.createDataFrame([("q1", "NATION_1", "nation_2", False), ("q2", "NATION_3", "NATION_4", True), ("q3", "nobody", "NATION_4", False)], "game_id string, home string, away string, is_neutral_site boolean")
     found = asked
     for side in ("home", "away"):
-        t = names.select(F.lower("name").alias(f"{side}_key"), F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_name"))
-        found = found.join(t, F.lower(side) == F.col(f"{side}_key"))
+        found = joins.lookup_by_prefix(found, side, names.toDF("prefix", f"{side}_team_id", f"{side}_name"))
     last = a["team_games"].agg(F.max("season").alias("season"), F.date_add(F.max("game_date"), 1).alias("game_date"))
     found = stored(found.crossJoin(last).select("game_id", "season", "game_date", "home_team_id", "away_team_id", "is_neutral_site", "home_name", "away_name"), "asked")
     games, pg, tg = features.with_matchups(found.drop("home_name", "away_name"), _games(spark, d, a.scores), a["rolling"], a["team_games"])
@@ -673,6 +677,7 @@ QUERIES = {
     "c11_three_valued_flag": (c11_flags, lambda: gsql(SQL_C11)),
     "c12_schedules": (c12_schedules, lambda: gsql(SQL_C12)),
     "k1_adjusted_rating": (k1_adjusted, lambda: sql(SQL_K1)),
+    "k1_adjusted_by_joins": (k1_by_joins, lambda: sql(SQL_K1)),
     "k2_rating_by_date": (k2_by_date, lambda: f"WITH {chain()}, {_snap_sql()}\n{SQL_K2}"),
     "k3_elo": (k3_elo, lambda: rsql(SQL_K3_OUT)),
     "n1_team_form": (n1_team_form, lambda: sql(_form_sql(6))),

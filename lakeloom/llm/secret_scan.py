@@ -4,7 +4,7 @@ The battery takes every run of MIN_TOKEN and more characters of A-Z a-z 0-9 + /
 hexadecimal, letters, base36, base64) and tests it against uniform draws from that alphabet: chi-squared on symbol counts, the number of runs
 above and below the middle symbol, and the correlation of neighbours. Fisher's method joins the three p-values; a token that uniform draws
 explain (p >= PASS) is a candidate. How likely ordinary text of that length is to look as even (the lower tail of chi-squared under the
-text's own symbol frequencies) is its p-value as a discovery; it shrinks with length. Benjamini-Hochberg at rate FDR is then applied within
+symbol frequencies of all texts of the table) is its p-value as a discovery; it shrinks with length. Benjamini-Hochberg at rate FDR is then applied within
 each class of length, over all tokens of the table: p-values are counted in bins of a hundredth of a decade, which bounds the table
 of cuts by classes * bins whatever the number of tokens, and rounds p upwards only.
 """
@@ -48,8 +48,8 @@ _VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["
 
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}+"
 
-#: Alphabets in the order in which they are tried, and for each the sums of squares and cubes of the symbol
-#: frequencies of what is written in it without being drawn at random (words, numbers, paths).
+#: Alphabets in the order in which they are tried, and for each the sums of squares and cubes of the symbol frequencies of words, numbers
+#: and paths. They count as PRIOR symbols of text beside what the table's texts hold, so that a small table does not go by a few letters.
 ALPHABETS = (
     ("decimal", "0123456789", 0.2, 0.05),
     ("hexlower", "0123456789abcdef", 0.16, 0.032),
@@ -60,6 +60,7 @@ ALPHABETS = (
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.08, 0.009),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 0.07, 0.0072),
 )
+PRIOR = 1_000
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -84,11 +85,25 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
-def _tests(tokens: DataFrame) -> DataFrame:
-    """Adds to tokens (m, ...) the alphabet, the three p-values under uniform draws, their joint p and p_text."""
+def text_moments(texts: DataFrame) -> list[tuple[float, float]]:
+    """For each of ALPHABETS the sums of squares and cubes of its symbols' frequencies in all texts (column t). One aggregation, a row a symbol."""
+    symbols = texts.select(F.explode(F.split("t", "")).alias("c")).where((F.length("c") == 1) & (F.call_function("instr", F.lit(ALPHABETS[-1][1]), F.col("c")) > 0))
+    count = {r["c"]: r["n"] for r in symbols.groupBy("c").agg(F.count("*").alias("n")).collect()}  # as many rows as the last alphabet has symbols
+    out = []
+    for _, abc, k2, k3 in ALPHABETS:
+        own = [count.get(c, 0) for c in abc]
+        n = sum(own)
+        share = [c / max(n, 1) for c in own]
+        out.append(((sum(f * f for f in share) * n + k2 * PRIOR) / (n + PRIOR), (sum(f**3 for f in share) * n + k3 * PRIOR) / (n + PRIOR)))
+    return out
+
+
+def _tests(tokens: DataFrame, moments: list[tuple[float, float]]) -> DataFrame:
+    """Adds to tokens (m, ...) the alphabet, the three p-values under uniform draws, their joint p and p_text under text_moments()."""
     short = F.regexp_replace("m", "=+$", "")
     form = F.coalesce(*[F.when(F.length(F.translate("s", abc, "")) == 0, F.lit(i)) for i, (_, abc, _, _) in enumerate(ALPHABETS)], F.lit(len(ALPHABETS) - 1))
-    at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in ALPHABETS]), F.col("form") + 1)
+    learned = [(name, abc, *m) for (name, abc, _, _), m in zip(ALPHABETS, moments, strict=True)]
+    at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in learned]), F.col("form") + 1)
     t = tokens.withColumn("s", short).where(F.length("s") >= MIN_TOKEN).withColumn("form", form).withColumn("encoding", at(0)).withColumn("abc", at(1)).withColumn("k2", at(2)).withColumn("k3", at(3))
     t = t.withColumn("n", F.length("s").cast("double")).withColumn("k", F.length("abc").cast("double"))
     counts = F.transform(F.split("abc", ""), lambda c: F.length("s") - F.length(F.replace(F.col("s"), c, F.lit(""))))
@@ -156,7 +171,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """(id, base, random): arrays of spans (kind, start, end), by start and then kind; with `keep`, (kept, base, random), where kept is the
     whole row of docs as a struct, so that no name of its columns can clash.
 
-    `random` are the battery's discoveries outside the base spans. Texts are read once; spans and tokens go to the shared folder, tokens are
+    `random` are the battery's discoveries outside the base spans. Texts are read twice: for their symbols, then for spans and tokens, which go to the shared folder; tokens are
     tested, and cuts come back by broadcast (at most 13 rows). Null and empty texts have empty arrays; repeated rows and ids give a row
     each; an empty table gives an empty result.
     """
@@ -165,7 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     base = _by_start(F.concat(*[find_base(F.col("t"), k) for k in KINDS]))
     tokens = F.when(F.rlike("t", F.lit(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN}}}")), located(F.col("t"), TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
     found = stored(rows.select(F.monotonically_increasing_id().alias("row"), "kept", base.alias("base"), tokens.alias("tokens")), "secrets")
-    tested = stored(_tests(found.select("row", F.explode("tokens").alias("x")).select("row", "x.*")).select("row", "start", "end", "encoding", "length_class", "bin", "p_random"), "secret-tokens")
+    tested = stored(_tests(found.select("row", F.explode("tokens").alias("x")).select("row", "x.*"), text_moments(rows)).select("row", "start", "end", "encoding", "length_class", "bin", "p_random"), "secret-tokens")
     real = tested.join(F.broadcast(_cuts(tested)), "length_class").where((F.col("bin") >= F.col("cut")) & (F.col("p_random") >= PASS))
     spans = real.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
     random = _outside(F.coalesce("r", F.array().cast("array<struct<start:int,end:int>>")), F.col("base"))

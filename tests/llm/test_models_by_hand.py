@@ -54,12 +54,23 @@ def tail(z):
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def battery(m):
+def moments(texts):
+    """By alphabet, the sums of squares and cubes of its symbols' frequencies in all texts, with the prior."""
+    seen = Counter("".join(texts))
+    out = {}
+    for name, abc, k2, k3 in secret_scan.ALPHABETS:
+        n = sum(seen[c] for c in abc)
+        out[name] = [(sum((seen[c] / n) ** e for c in abc) * n + k * secret_scan.PRIOR) / (n + secret_scan.PRIOR) for e, k in ((2, k2), (3, k3))]
+    return out
+
+
+def battery(m, learned):
     """(p_random, p_text, length) of a token, or None where it is too short."""
     s = m.rstrip("=")
     if len(s) < secret_scan.MIN_TOKEN:
         return None
-    _, abc, k2, k3 = next((a for a in secret_scan.ALPHABETS if set(s) <= set(a[1])), secret_scan.ALPHABETS[-1])
+    name, abc, _, _ = next((a for a in secret_scan.ALPHABETS if set(s) <= set(a[1])), secret_scan.ALPHABETS[-1])
+    k2, k3 = learned[name]
     n, k, v = len(s), len(abc), [abc.index(c) + 1 for c in s]
     sq = sum(c * c for c in Counter(s).values())
     chi = (k / n * sq - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
@@ -81,7 +92,11 @@ def test_battery_and_discoveries_by_hand(spark):
     draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
     tokens = [draw(abc, rng.choice([22, 40, 64, 120])) for _ in range(60)] + [draw("abcdefghijklmnopqrstuvwxyz", 48) for _ in range(20)] + [draw("0123456789ABCDEF", 40) for _ in range(20)]
     tokens += ["".join(rng.choice(["tion", "the", "ing", "er", "and", "re"]) for _ in range(rng.choice([10, 14, 30]))) for _ in range(120)] + ["=" * 40, "a" * 40, "0123456789" * 4, "short"]
-    results = {i: battery(t) for i, t in enumerate(tokens) if len(t) >= secret_scan.MIN_TOKEN}
+    texts = [f"see {t} here" for t in tokens] + ["Plain words of prose; 42 of them, PERHAPS. " * 40, None, ""]
+    learned = moments([t or "" for t in texts])
+    for got, (name, *_) in zip(secret_scan.text_moments(spark.createDataFrame([(t or "",) for t in texts], "t string")), secret_scan.ALPHABETS, strict=True):
+        assert list(got) == pytest.approx(learned[name])
+    results = {i: battery(t, learned) for i, t in enumerate(tokens) if len(t) >= secret_scan.MIN_TOKEN}
     classes = defaultdict(list)
     for i, r in results.items():
         if r:
@@ -91,7 +106,7 @@ def test_battery_and_discoveries_by_hand(spark):
         cuts = [b for b in {b for *_, b in members} if 0 < (rank := sum(ok for _, ok, x in members if x >= b)) and 10.0 ** (-b / secret_scan.BINS) <= rank / len(members) * secret_scan.FDR]
         if cuts:
             want |= {i for i, ok, b in members if ok and b >= min(cuts)}
-    out = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(tokens)], "doc_id long, text string")).collect()}
-    hex_ = {i for i, r in out.items() if any(s["kind"] == "hex" and s["start"] <= 4 and s["end"] >= 4 + len(tokens[i]) for s in r["base"])}
+    out = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hex_ = {i for i, r in out.items() if i < len(tokens) and any(s["kind"] == "hex" and s["start"] <= 4 and s["end"] >= 4 + len(tokens[i]) for s in r["base"])}
     got = {i for i, r in out.items() if r["random"]}
     assert len(want) >= 60 and len(got ^ (want - hex_)) <= 2  # a tail that falls on the edge of a bin may go either way

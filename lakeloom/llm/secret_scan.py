@@ -87,8 +87,8 @@ def normal_cdf(z: Column) -> Column:
 
 def text_moments(texts: DataFrame) -> list[tuple[float, float]]:
     """For each of ALPHABETS the sums of squares and cubes of its symbols' frequencies in all texts (column t). One aggregation, a row a symbol."""
-    symbols = texts.select(F.explode(F.split("t", "")).alias("c")).where((F.length("c") == 1) & (F.call_function("instr", F.lit(ALPHABETS[-1][1]), F.col("c")) > 0))
-    count = {r["c"]: r["n"] for r in symbols.groupBy("c").agg(F.count("*").alias("n")).collect()}  # as many rows as the last alphabet has symbols
+    symbols = texts.select(F.explode(F.split("t", "")).alias("c")).where(F.col("c").isin(list(ALPHABETS[-1][1])))
+    count = {r["c"]: r["n"] for r in symbols.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row a symbol of the last alphabet
     out = []
     for _, abc, k2, k3 in ALPHABETS:
         own = [count.get(c, 0) for c in abc]

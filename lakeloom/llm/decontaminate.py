@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import map_rows, short_batches, stored
-from lakeloom.llm.shingles import WordHash, plain_hashes
+from lakeloom.llm.shingles import WordHash, plain_hashes, plain_hashes_each
 
 DIMS = 1 << 16
 PIECE, WINDOW, STRIDE = 48, 64, 24
 #: Words of a bin; windows of the latent search are runs of bins.
 BIN = 16
-#: Words of texts that are looked at together.
-TOGETHER = 1 << 14
+#: Characters of texts that are looked at together.
+TOGETHER = 1 << 17
+#: Places of a table of blocks and words that is marked place by place; a larger one is sorted instead.
+MARKED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,9 @@ def frequencies(texts: DataFrame, own: np.ndarray) -> Weights:
         ours[dim(own)] = True
         memo, df, n = WordHash(), np.zeros(size, np.int64), 0
         for b in batches:
-            for t in b["text"]:
-                u = np.unique(plain_hashes(t, memo))
+            for u in plain_hashes_each(b["text"].tolist(), memo):
+                u = np.sort(u)
+                u = u[np.append(True, u[1:] != u[:-1])[: len(u)]]
                 d = dim(u)
                 k = places(u[ours[d]], own)
                 df[d[np.append(True, d[1:] != d[:-1])[: len(d)]]] += 1  # words are sorted, so are their slots
@@ -352,6 +355,15 @@ def proposed(k: np.ndarray, ends: np.ndarray, blocks: list[np.ndarray], space: S
     return [np.concatenate(pairs) for pairs in out]
 
 
+def distinct(x: np.ndarray, size: int) -> np.ndarray:
+    """The distinct ones of whole numbers below size, in order."""
+    if size > MARKED:
+        return np.unique(x)
+    seen = np.zeros(size, bool)
+    seen[x] = True
+    return np.flatnonzero(seen)
+
+
 def candidates(k: np.ndarray, blocks: np.ndarray, group: Group) -> list[tuple[int, int]]:
     """(block, item) of each block of words and item that may have a window with enough of the item's words. No count is estimated, so none that
     the common subsequence would settle is missing."""
@@ -362,7 +374,7 @@ def candidates(k: np.ndarray, blocks: np.ndarray, group: Group) -> list[tuple[in
         part = blocks[first : first + size]
         lo, hi = np.searchsorted(known, part[:, 1]), np.searchsorted(known, part[:, 2])
         at = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum())
-        block, word = np.divmod(np.unique(np.repeat(np.arange(len(part)), hi - lo) * words + k[known[at]]), words)
+        block, word = np.divmod(distinct(np.repeat(np.arange(len(part)), hi - lo) * words + k[known[at]], len(part) * words), words)
         n = hits(block, word, len(part), group.words, len(group.items))
         enough = n >= group.need
         if (close := (n >= group.need_near) & ~enough).any():
@@ -474,15 +486,17 @@ def leaks(texts: list[np.ndarray], space: Space, items: list[Item], p: Params) -
             item, m = items[j], len(items[j].words)
             least = m if m < p.short else int(np.ceil(min(p.same, p.near) * m - 1e-6))
             lo, hi = bisect_left(known_at, start), bisect_left(known_at, end)
-            both = [(x, w) for x, w in zip(known_at[lo:hi], known_words[lo:hi], strict=True) if w in item.at]  # other words are in no common subsequence
+            where = list(map(item.at.get, known_words[lo:hi]))
+            masks = list(filter(None, where))  # other words are in no common subsequence
+            if common_of(masks, m) < least:  # then no window of the block has as many as it needs
+                continue
+            at = [x - start for x, places in zip(known_at[lo:hi], where, strict=True) if places]
             reach = WINDOW + 2 * m
-            if not any(b - a <= reach for (a, _), (b, _) in zip(both, both[least - 1 :], strict=False)):  # then no window of the block has as many as it needs
+            if not any(b - a <= reach for a, b in zip(at, at[least - 1 :], strict=False)):
                 continue
-            around = [w for _, w in both]
-            masks = [item.at[w] for w in around]
-            if common_of(masks, m) < least or not settled(item, around, p)[2]:  # nor if the whole block is no leak
+            around = [w for w, places in zip(known_words[lo:hi], where, strict=True) if places]
+            if not settled(item, around, p)[2]:  # nor if the whole block is no leak
                 continue
-            at = [x - start for x, _ in both]
             base, n = int(ends[t]) - len(texts[t]), len(texts[t])
             start, end = start - base, end - base
             close = Close(item, at, around, p)
@@ -543,14 +557,15 @@ def _search(src: DataFrame, bench: DataFrame, p: Params) -> DataFrame:
         memo = WordHash()
         space, items = shared.value
         for b in batches:
-            rows, ids, texts = [], [], []
+            rows, ids, texts, size = [], [], [], 0
             for row, (i, t) in enumerate(zip(b["id"], b["text"], strict=True), 1):
                 if isinstance(t, str):
                     ids.append(i)
-                    texts.append(plain_hashes(t, memo))
-                if row == len(b) or sum(map(len, texts)) >= TOGETHER:
-                    rows += [(ids[x], None if item is None else str(item), *hit) for x, item, *hit in leaks(texts, space, items, p)]
-                    ids, texts = [], []
+                    texts.append(t)
+                    size += len(t)
+                if row == len(b) or size >= TOGETHER:
+                    rows += [(ids[x], None if item is None else str(item), *hit) for x, item, *hit in leaks(plain_hashes_each(texts, memo), space, items, p)]
+                    ids, texts, size = [], [], 0
             yield pd.DataFrame(rows, columns=["id", "item_id", "cosine", "lcs", "answer", "found_by"])
 
     out = map_rows(src, op, "item_id string, cosine double, lcs double, answer boolean, found_by string")

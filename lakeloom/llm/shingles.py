@@ -9,6 +9,8 @@ import xxhash
 
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 20
+#: Bytes of short texts that are hashed together.
+TOGETHER = 1 << 15
 #: A word of more bytes has a hash of another kind, wherever it stands: sums of powers modulo 2^64 tell long periodic words apart badly.
 LONG = 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -52,6 +54,16 @@ class WordHash:
 
     def of(self, raw: bytes) -> np.ndarray:
         """Hashes of the words of raw, in order."""
+        return self._of(raw)[0]
+
+    def of_each(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The same of several stretches, hashed as one."""
+        out, starts = self._of(b" ".join(raws))
+        ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws])).tolist()
+        return [out[a:e] for a, e in zip([0, *ends], ends, strict=False)]
+
+    def _of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of raw and where each starts, in order."""
         b = np.frombuffer(raw, np.uint8)
         if len(b) > len(self.powers):
             self._grow(len(b))
@@ -60,7 +72,7 @@ class WordHash:
         first[1:] &= gap[:-1]
         starts = np.flatnonzero(first)
         if not len(starts):
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), starts
         sums = np.add.reduceat(self.bytes[b] * self.powers[: len(b)], starts)
         out = mixed(sums * self.inverses[starts])
         for i in np.flatnonzero(np.diff(starts, append=len(b)) > LONG).tolist():
@@ -68,7 +80,7 @@ class WordHash:
             end = start + int(np.argmax(np.append(gap[start : starts[i + 1] if i + 1 < len(starts) else len(b)], True)))
             if end - start > LONG:
                 out[i] = self.long(raw[start:end])
-        return out
+        return out, starts
 
     def long(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word, self.seed)
@@ -81,7 +93,28 @@ def word_hashes(text: str, memo: WordHash) -> np.ndarray:
 
 def plain_hashes(text: str, memo: WordHash) -> np.ndarray:
     """Hashes of the words of a text in lower case, with ASCII punctuation taken as white space."""
-    return hashed(text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN), memo)
+    return hashed(_plain(text), memo)
+
+
+def _plain(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
+
+
+def plain_hashes_each(texts: list[str], memo: WordHash) -> list[np.ndarray]:
+    """The same of each of several texts. Short ones are hashed together, as most of the time for a short text goes into calls."""
+    out: list[np.ndarray] = []
+    some: list[bytes] = []
+    size = 0
+    for raw in map(_plain, texts):
+        if some and size + len(raw) > TOGETHER:
+            out += memo.of_each(some)
+            some, size = [], 0
+        if len(raw) > TOGETHER:
+            out.append(hashed(raw, memo))
+        else:
+            some.append(raw)
+            size += len(raw) + 1
+    return out + (memo.of_each(some) if some else [])
 
 
 def hashed(raw: bytes, memo: WordHash) -> np.ndarray:

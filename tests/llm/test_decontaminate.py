@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 
-from lakeloom.llm import decontaminate
+from lakeloom.llm import decontaminate, shingles
 from lakeloom.llm.shingles import WordHash, plain_hashes
 
 
@@ -215,3 +215,16 @@ def test_the_latent_space_does_not_depend_on_which_rows_a_hash_picks(spark):
         words, w = decontaminate.weights(plain_hashes(text, WordHash()), spaces[0].weight)
         held = spaces[0].basis[decontaminate.places(words, spaces[0].weight.words)].T @ w
         assert abs(held @ held - 1) < 1e-3
+
+
+def test_texts_hashed_together_and_marked_words():
+    """Short texts that are hashed as one, long ones and empty ones have the words that each has by itself; marked numbers are those that sorting gives."""
+    rng = random.Random(32)
+    odd = ["", " ", "...", "x", "x" * 100 + " y", "Z\u00fcrich \u0130\udc80 a-b", "word " * 9_000, "y" * 40_000, "a" * 65]
+    texts = odd + ["".join(rng.choice("ab, .\n\u00e9") for _ in range(rng.choice([0, 3, 200, 20_000]))) for _ in range(60)] + odd
+    memo = WordHash()
+    got = shingles.plain_hashes_each(texts, memo)
+    assert [w.tolist() for w in got] == [plain_hashes(t, WordHash()).tolist() for t in texts]
+    assert shingles.plain_hashes_each([], memo) == []
+    x = np.array([rng.randrange(500) for _ in range(300)])
+    assert decontaminate.distinct(x, 500).tolist() == decontaminate.distinct(x, decontaminate.MARKED + 1).tolist() == sorted(set(x.tolist()))

@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes: a document classifier's evidence, with priors of its site and of its path within the site.
 
-One pass turns each text into a few numbers (shares of character classes, word statistics). A logistic model of them is fitted on a bounded,
-hash-picked sample of labelled rows; it gives each document's evidence. Grouped sums of that evidence by (host, path) give the variance between
+One pass turns each text into a few numbers (shares of character classes, word statistics). A logistic model of them is fitted on all
+labelled rows; it gives each document's evidence. Grouped sums of that evidence by (host, path) give the variance between
 hosts, between paths of a host, and within paths; from these, shrinkage constants (Buhlmann-Straub): a site of n documents keeps
 n / (n + k) of its own mean, the rest comes from the level above, so a sparse site takes the global prior. The document's log odds
 then move by the difference of its path's prior and the global one. A document's own evidence is left out of the priors that move it.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,8 @@ NAMES = ("upper", "digit", "space", "mark", "symbol", "other", "bang", "bar", "n
 
 @dataclass(frozen=True)
 class Params:
-    sample: int = 20_000  # labelled rows that the classifier sees at most
     ridge: float = 1.0
     rounds: int = 25
-    seed: int = 17
     prior_weight: float = 1.0
     cut: float = 0.5
 
@@ -68,18 +67,46 @@ def features(text: str | None) -> list[float]:
     return [count[2] / chars, count[3] / chars, count[4] / n, count[5] / chars, count[6] / chars, count[0] / n, bang / w, bar / w, newline / w, sym_ends / max(ends, 1), float(np.log1p(n)), chars / w, len(kinds) / w, sum(len(x) > 20 for x in kinds) / w, 1 - pairs / max(w - 1, 1) if w > 1 else 0.0]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic model by Newton's method, on rows that fit the driver (p.sample)."""
-    if not len(y) or y.min() == y.max():  # nothing to tell apart
-        rate = (y.sum() + 1.0) / (len(y) + 2.0)
-        return np.zeros(x.shape[1]), float(np.log(rate / (1 - rate)))
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
-    b = np.zeros(z.shape[1])
-    pull = np.append(np.full(x.shape[1], p.ridge), 1e-6)
+def _exact(c: Column) -> Column:
+    """A sum of decimals, which does not depend on the order of rows, so reruns agree."""
+    return F.sum(c.cast("decimal(38,12)")).cast("double")
+
+
+def _slopes(rows: DataFrame, mean: np.ndarray, sd: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the log likelihood at b, over all rows. What a row adds is taken in units of 2^-32, so sums are whole numbers and
+    don't depend on how rows are dealt; standardised values are below the root of the number of rows, which keeps a task's sums in 64 bits."""
+    k = len(b)
+
+    def op(batches):
+        total = np.zeros((k, k + 1), np.int64)
+        for part in batches:
+            z = np.hstack([(np.stack(part["x"].to_list()) - mean) / sd, np.ones((len(part), 1))])
+            q = 1 / (1 + np.exp(-np.clip((z * b).sum(axis=1), -30, 30)))
+            own = np.concatenate([z[:, :, None] * z[:, None, :] * (q * (1 - q))[:, None, None], (z * (part["y"].to_numpy(float) - q)[:, None])[:, :, None]], axis=2)
+            total += np.rint(own * 2.0**32).astype(np.int64).sum(axis=0)
+        yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
+
+    out = np.zeros(k * (k + 1))
+    for r in rows.mapInPandas(op, "i int, s long").groupBy("i").agg(F.sum(F.col("s").cast("decimal(20,0)")).alias("s")).collect():  # 272 numbers
+        out[r["i"]] = float(r["s"]) / 2.0**32
+    out = out.reshape(k, k + 1)
+    return out[:, k], out[:, :k]
+
+
+def logistic(rows: DataFrame, p: Params) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic model of y (0 or 1) by x (NAMES), by Newton's method on all rows. Each round is one aggregation."""
+    xs, k = [F.get("x", F.lit(i)) for i in range(len(NAMES))], len(NAMES)
+    n, ones, *sums = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0)), *[_exact(x) for x in xs]).first()
+    if not n or ones in (0, n):  # nothing to tell apart
+        rate = (ones + 1.0) / (n + 2.0)
+        return np.zeros(k), float(np.log(rate / (1 - rate)))
+    mean = np.array(sums) / n
+    sd = np.sqrt(np.array(rows.agg(*[_exact((x - float(m)) * (x - float(m))) for x, m in zip(xs, mean, strict=True)]).first()) / n) + 1e-9
+    b = np.zeros(k + 1)
+    pull = np.append(np.full(k, p.ridge), 1e-6)
     for _ in range(p.rounds):
-        q = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z.T * (q * (1 - q))) @ z + np.diag(pull), z.T @ (y - q) - pull * b)
+        up, curve = _slopes(rows, mean, sd, b)
+        step = np.linalg.solve(curve + np.diag(pull), up - pull * b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
@@ -124,23 +151,18 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # the classifier
     given = labels.select(F.col(label_id).alias("lid"), F.col(label_col).cast("int").alias("y")).where("y is not null and lid is not null")
-    n = given.count()
-    bucket = F.pmod(F.xxhash64(F.lit(p.seed), F.col("lid").cast("string")), F.lit(1 << 30))
-    picked = given.where(bucket < int((1 << 30) * min(1.0, 0.9 * p.sample / max(n, 1)))).limit(p.sample)
-    known = rows.where("not empty").join(F.broadcast(picked), F.col("id") == F.col("lid")).select("x", "y").limit(p.sample).collect()  # p.sample rows
-    known.sort(key=lambda r: (r["x"], r["y"]))
-    w, bias = logistic(np.array([r["x"] for r in known]).reshape(len(known), len(NAMES)), np.array([float(r["y"] > 0) for r in known]), p)
+    known = stored(rows.where("not empty").join(given, F.col("id") == F.col("lid")).select("x", (F.col("y") > 0).cast("int").alias("y")), "quality-known")
+    w, bias = logistic(known, p)
     terms = [F.lit(float(c)) * F.get("x", F.lit(i)) for i, c in enumerate(w)]
     logodds = F.least(F.greatest(sum(terms, F.lit(bias)), F.lit(-12.0)), F.lit(12.0))
     rows = rows.withColumn("l", logodds).withColumn("q", F.when(F.col("empty"), F.lit(0.0)).otherwise(F.round(_sigmoid(F.col("l")), 9)))
 
-    # sums by path and by host; three variances. Sums of decimals do not depend on the order of rows, so reruns agree
-    exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")
-    paths = stored(rows.where("not empty").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), exact(F.col("q")).alias("s"), exact(F.col("q") * F.col("q")).alias("s2")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), exact(F.col("s")).alias("hs"), exact(F.col("s") * F.col("s") / F.col("n")).alias("between"), exact(F.col("s2")).alias("hs2"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+    # sums by path and by host; three variances
+    paths = stored(rows.where("not empty").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), _exact(F.col("q")).alias("s"), _exact(F.col("q") * F.col("q")).alias("s2")), "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), _exact(F.col("s")).alias("hs"), _exact(F.col("s") * F.col("s") / F.col("n")).alias("between"), _exact(F.col("s2")).alias("hs2"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("n2"))
     t = hosts.agg(
-        F.sum("hn").alias("n"), exact(F.col("hs")).alias("s"), exact(F.col("hs2")).alias("s2"), F.sum("k").alias("paths"), F.count("*").alias("hosts"), exact(F.col("between")).alias("of_paths"),
-        exact(F.col("hs") * F.col("hs") / F.col("hn")).alias("of_hosts"), exact(F.col("hn") * F.col("hn")).alias("hn2"), exact(F.col("n2") / F.col("hn")).alias("pn2"),
+        F.sum("hn").alias("n"), _exact(F.col("hs")).alias("s"), _exact(F.col("hs2")).alias("s2"), F.sum("k").alias("paths"), F.count("*").alias("hosts"), _exact(F.col("between")).alias("of_paths"),
+        _exact(F.col("hs") * F.col("hs") / F.col("hn")).alias("of_hosts"), _exact(F.col("hn") * F.col("hn")).alias("hn2"), _exact(F.col("n2") / F.col("hn")).alias("pn2"),
     ).first()
     total = t["n"] or 0.0
     mean = (t["s"] / total) if total else 0.5

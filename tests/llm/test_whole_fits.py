@@ -1,10 +1,14 @@
-"""What is learned comes from all rows."""
+"""What is learned comes from all rows, and what is stored between stages is small."""
 
 import random
+import subprocess
 
 import numpy as np
 
 from lakeloom.llm import quality
+from lakeloom.sources.tables import stored
+
+from .conftest import prose
 
 
 def fitted(x, y, ridge=1.0):
@@ -29,3 +33,12 @@ def test_the_classifier_learns_from_every_label(spark):
     assert np.abs(np.array([got[i] for i in range(len(texts))]) - want).max() < 1e-6
     again = quality.score(docs.repartition(3), labels).select("doc_id", "p_doc").collect()
     assert {r["doc_id"]: r["p_doc"] for r in again} == got
+
+
+def test_stored_texts_take_less_disk_than_plain_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, prose(i, 900)) for i in range(400)], "id long, text string").repartition(1)
+    docs.write.option("compression", "snappy").parquet(str(tmp_path / "plain"))
+    table = stored(docs, "texts")
+    size = lambda path: int(subprocess.run(["du", "-sb", path], capture_output=True, check=True).stdout.split()[0])
+    assert size(table.inputFiles()[0].removeprefix("file://")) < 0.8 * size(str(tmp_path / "plain"))
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, docs.collect()))

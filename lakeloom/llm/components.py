@@ -1,4 +1,5 @@
-"""Connected components of link tables, by alternating large-star and small-star steps (each an aggregation and a join)."""
+"""Connected components of link tables. Tasks contract what they hold; tables of more links than a task takes go on by alternating large-star and
+small-star steps (each an aggregation and a join)."""
 
 from __future__ import annotations
 
@@ -9,8 +10,13 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import stored
 
 
-def _contracted(edges: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Each task replaces its links, `rows` at a time, by links from every node to the least node that they connect it with."""
+#: Nodes that a task holds at a time.
+NODES = 200_000
+
+
+def _contracted(edges: DataFrame, nodes: int, roots: bool = False) -> DataFrame:
+    """Each task replaces its links, `nodes` nodes at a time, by links from every node to the least node that they connect it with; with `roots` by
+    one from that to itself, too."""
 
     def op(batches):
         up: dict[int, int] = {}
@@ -21,7 +27,7 @@ def _contracted(edges: DataFrame, rows: int = 200_000) -> DataFrame:
             return x
 
         def out():
-            pairs = [(x, r) for x in up if (r := root(x)) != x]
+            pairs = [(x, r) for x in up if (r := root(x)) != x or roots]
             up.clear()
             return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
@@ -30,7 +36,7 @@ def _contracted(edges: DataFrame, rows: int = 200_000) -> DataFrame:
                 x, y = root(a), root(b)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-            if len(up) > rows:
+            if len(up) > nodes:
                 yield out()
         yield out()
 
@@ -58,17 +64,33 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has either one link to a lesser node or links from greater ones only."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    loose = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1")
+    return not loose.agg(F.count("*")).first()[0]
+
+
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, nodes: int = NODES) -> DataFrame:
     """(v, c): for each node of links (a long, b long) the least node it is connected with. Loops and repeated links do no harm; without
-    links the result is empty. Each round's links are written to the shared folder; only a count and a checksum reach the driver."""
-    e = stored(_contracted(edges.where("a <> b")).distinct(), name)
-    mark = None
+    links the result is empty.
+
+    Links are first contracted where they are. If at most nodes / 2 are left, with `nodes` nodes at most, a last task contracts those: their shuffles would
+    take longer than they do, and the more so the more partitions there are. Otherwise tasks of about `nodes` links contract them again and rounds
+    of steps follow until the links are stars, or few enough. Each round's links are written to the shared folder; only counts reach the driver.
+    """
+    e = stored(_contracted(edges.where("a <> b"), nodes), name)
+    n = e.count()
+    if n > nodes // 2:
+        e = stored(_contracted(e.coalesce(n // nodes + 1), nodes).distinct(), name)
+        n = e.count()
     for _ in range(most_rounds):
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark or not now[0]:
+        if n <= nodes // 2:
+            return stored(_contracted(e.coalesce(1), nodes, roots=True), name).select(F.col("a").alias("v"), F.col("b").alias("c"))
+        if _settled(e):
             break
-        mark = now
-        e = stored(_star(stored(_star(e, True, now[0]), name), False, 2 * now[0]), name)
+        e = stored(_star(stored(_star(e, True, n), name), False, 2 * n), name)
+        n = e.count()
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("b").alias("v")).distinct().withColumn("c", F.col("v"))

@@ -347,7 +347,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own, shared = _counts(src)
     tokens = stored(_tokens(src, _partnered(sets, own)), "jaccard-tokens")
     links = _links(tokens, _regions(tokens, shared))
-    groups = components(stored(links, "jaccard-links"), "jaccard-groups")
+    groups = components(links, "jaccard-groups")
     least = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"))
     least = least.join(groups, F.col("node") == F.col("v"), "left").select("node", "rep", F.coalesce("c", "node").alias("c"))
     names = least.groupBy("c").agg(F.min("rep").alias("name"))

@@ -46,6 +46,24 @@ def test_fuzzy_match_prefers_the_team(spark):
     assert rows(joins.fuzzy_match(a, b, "i", "n", "t", "j", "m", "u")) == [(1, 8, True), (2, 9, False)]
 
 
+def joined_rows(node):
+    """Rows that the joins of an executed plan made."""
+    inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+    inner += [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+    return own + sum(map(joined_rows, inner))
+
+
+def test_fuzzy_match_judges_teams_and_not_rows(spark):
+    """One name for all rows: work grows with the rows and the pairs of teams, not with the pairs of rows."""
+    a = spark.range(900).select("id", F.lit("A. Poe Jr.").alias("n"), F.when(F.col("id") % 4 != 3, F.concat(F.lit("Team "), F.col("id") % 4)).alias("t"))
+    b = spark.range(900).select(F.col("id").alias("j"), F.lit("a poe").alias("m"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("team "), F.col("id") % 5)).alias("u"))
+    df = joins.fuzzy_match(a, b, "id", "n", "t", "j", "m", "u")
+    found = {0: (0, False), 1: (1, True), 2: (2, True), 3: (0, False)}
+    assert sorted(map(tuple, df.collect())) == [(i, *found[i % 4]) for i in range(900)]
+    assert joined_rows(df._jdf.queryExecution().executedPlan()) < 2_000
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", None)], "k int, s string, v int")
     new = spark.createDataFrame([(2, None, 5), (3, "c", 6), (1, "z", None)], "k int, s string, v int")

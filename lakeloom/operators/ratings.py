@@ -168,14 +168,16 @@ def elo(games: DataFrame, start: float = ELO_START, k: float = ELO_K, home_edge:
     return games.select(*cols).groupBy("season").applyInPandas(op, f"season {kinds['season']}, game_id {kinds['game_id']}, home_elo double, away_elo double")
 
 
-def cumulative_sos(pg: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(player_id, season, game_id, cum_sos): margin of opponents met so far as of each game, weighted by minutes, before the current game.
-    snapshots: team_id, as_of, margin."""
-    rows = pg.where("minutes > 0").select("player_id", "season", "game_id", "game_date", "minutes", F.col("opponent_id").alias("team_id"))
-    met = joins.asof_join(rows, snapshots.select("team_id", "as_of", "margin"), ["team_id"], "game_date", "as_of", ["margin"])
+def cumulative_sos(pg: DataFrame, snapshots: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(player_id, season, game_id, keep..., cum_sos): margin of opponents met so far as of each game, weighted by minutes, before the current game.
+    snapshots: team_id, as_of, margin. Margins are found once for each opponent and day; rows look them up."""
+    rows = pg.where("minutes > 0").select(*dict.fromkeys(["player_id", "season", "game_id", "game_date", "minutes", "opponent_id", *keep]))
+    days = rows.select(F.col("opponent_id").alias("team_id"), F.col("game_date").alias("__day")).distinct()
+    margins = stored(joins.asof_join(days, snapshots.select("team_id", "as_of", "margin"), ["team_id"], "__day", "as_of", ["margin"]).withColumnRenamed("team_id", "__o"), "margins", sweep=True)
+    met = rows.join(margins, F.col("opponent_id").eqNullSafe(F.col("__o")) & F.col("game_date").eqNullSafe(F.col("__day")), "left")
     w = windows.prior(["player_id", "season"], ["game_date", "game_id"])
     total = F.sum((X.nz("margin", 0.0) * F.col("minutes")).cast("decimal(28,9)")).over(w).cast("double")  # of decimals: in any order of rows the same
-    return met.select("player_id", "season", "game_id", F.try_divide(total, F.sum("minutes").over(w)).alias("cum_sos"))
+    return met.select("player_id", "season", "game_id", *keep, F.try_divide(total, F.sum("minutes").over(w)).alias("cum_sos"))
 
 
 def dense_order(df: DataFrame, value: str, by: tuple[str, ...] = ("season",)) -> DataFrame:

@@ -5,11 +5,13 @@ Roster features follow the players with a row in the game, as the reference does
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions import exprs as X
 from lakeloom.operators import joins, ratings, windows
+from lakeloom.plans import steps
+from lakeloom.sources.tables import stored
 
 ORDER = ("game_date", "game_id")
 TEAM = ["win_pct", "road_win_pct", "pythag_win_pct", "point_diff", "adj_tempo", "effective_fg_pct", "turnover_pct", "off_rebound_pct", "ft_rate", "opp_effective_fg_pct", "opp_turnover_pct", "def_rebound_pct", "opp_ft_rate"]
@@ -67,30 +69,47 @@ def roster(pg: DataFrame, min_games: int = 5, min_minutes: float = 10.0, impact:
 
     A mean of rates is one of games. What a player lacks counts 0 in the weighted means; recent form, as it was stored with the game before,
     and trends leave such players out. Sums are of decimals, so they do not depend on the order of rows.
+
+    Rows come dealt by season, team and player (steps.DEALT), so most of a side is summed up where its players are. Impact meets narrow rows in a job of its own.
     """
-    by = ["player_id", "team_id", "season"]
+    by, side = ["player_id", "season", "team_id"], ["season", "team_id", "game_id"]
     w, line = windows.prior(by, ORDER), windows.series(by, ORDER)
-    exact = lambda x: F.sum(x.cast("decimal(18,9)")).over(w).cast("double")
+    # of 19 digits before the point: a rate whose divisor is but a rounding error has up to 17
+    exact = lambda x: F.sum(x.cast("decimal(28,9)")).over(w).cast("double")
     mean = lambda c: F.try_divide(exact(F.col(c)), F.count(c).over(w).cast("double"))
-    d = per_game(pg).select(
-        *by, "game_id", F.count("*").over(w).alias("g"), F.sum("minutes").over(w).alias("wt"), *[mean(c).alias(n) for n, c in MEANS.items()], mean("game_score").alias("gs"),
+    total = lambda x: F.sum((F.col(x) * F.col("wt")).cast("decimal(28,9)")).cast("double")
+    every = lambda names: [F.coalesce(total(c) / F.sum("wt"), F.lit(0.0)).alias(n) for n, c in names.items()]
+    star = lambda names: F.max_by(F.struct(*[F.col(c).alias(n) for n, c in names.items()]), F.struct("wt", -F.col("player_id"))).alias("__star")
+
+    def weighed(*more: Column) -> DataFrame:
+        """Rows of players that have played enough: their games and minutes before the game, and what else is asked for."""
+        d = per_game(pg).select(*by, "game_id", F.count("*").over(w).alias("g"), F.sum("minutes").over(w).alias("wt"), *more)
+        return d.withColumn("mpg", F.col("wt") / F.col("g")).where((F.col("g") >= min_games) & (F.col("mpg") >= min_minutes))
+
+    d = weighed(
+        *[mean(c).alias(n) for n, c in MEANS.items()], mean("game_score").alias("gs"),
         F.lag("rolling_ppg").over(line).alias("r_ppg"), F.lag("rolling_game_score").over(line).alias("w_rolling_gs"), F.lag("rolling_ts_pct").over(line).alias("w_rolling_ts"),
     )
-    d = d.join(impact, ["player_id", "season"], "left") if impact is not None else d.select("*", *[F.lit(None).cast("double").alias(c) for c in IMPACT])
-    d = d.withColumn("mpg", F.col("wt") / F.col("g")).where((F.col("g") >= min_games) & (F.col("mpg") >= min_minutes))
+    if impact is not None:
+        # a player with several impact rows counts as often in all that is summed
+        often = stored(impact.groupBy("player_id", "season").agg(F.count("*").cast("int").alias("__n")).where("__n > 1"), "often")
+        d = d.join(often, ["player_id", "season"], "left").withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.coalesce("__n", F.lit(1))))).drop("__n", "__k")
+        valued = weighed().join(impact, ["player_id", "season"], "left").groupBy(*side).agg(*every({f"w_{c}": c for c in IMPACT}), star({f"star_{c}": c for c in IMPACT}))
+        valued = stored(valued.select(*[F.col(c).alias(f"__{c}") for c in side], *[f"w_{c}" for c in IMPACT], "__star.*"), "valued", sweep=True)
     d = d.withColumn("w_ppg_trend", F.col("r_ppg") - F.col("w_ppg")).withColumn("w_gs_trend", F.col("w_rolling_gs") - F.col("gs"))
-    total = lambda x: F.sum((F.col(x) * F.col("wt")).cast("decimal(28,9)")).cast("double")
-    every = [F.coalesce(total(c) / F.sum("wt"), F.lit(0.0)).alias(n) for n, c in [*((n, n) for n in MEANS), *((f"w_{c}", c) for c in IMPACT)]]
     known = [(total(n) / F.sum(F.when(F.col(n).isNotNull(), F.col("wt")))).alias(n) for n in ("w_rolling_gs", "w_rolling_ts", "w_ppg_trend", "w_gs_trend")]
-    star = lambda c: F.max_by(c, F.struct("wt", -F.col("player_id")))
-    stars = [star("w_ppg").alias("star_ppg"), *[star(c).alias(f"star_{c}") for c in IMPACT], star("w_ortg").alias("star_ortg")]
-    return d.groupBy("season", "team_id", "game_id").agg(F.count("*").alias("roster_size"), *every, *stars, F.stddev_samp("mpg").alias("minutes_stddev"), *known)
+    out = d.groupBy(*side).agg(F.count("*").alias("roster_size"), *every({n: n for n in MEANS}), star({"star_ppg": "w_ppg", "star_ortg": "w_ortg"}), F.stddev_samp("mpg").alias("minutes_stddev"), *known).select("*", "__star.*")
+    if impact is None:
+        return out.select(*side, *[F.lit(0.0).alias(c) if c in {f"w_{i}" for i in IMPACT} else F.lit(None).cast("double").alias(c) if c in {f"star_{i}" for i in IMPACT} else F.col(c) for c in ROSTER])
+    same = F.lit(True)
+    for c in side:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return out.join(valued, same, "left").select(*side, *ROSTER)
 
 
 def team_player_sos(pg: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(season, team_id, game_id, w_player_sos): the schedules that a game's players have met before it, weighted by their minutes in it."""
-    met = ratings.cumulative_sos(pg, snapshots.select("team_id", "as_of", (F.col("off") - F.col("def")).alias("margin")))
-    rows = pg.where("minutes > 0").select("season", "team_id", "game_id", "player_id", "minutes").join(met, ["player_id", "season", "game_id"])
+    rows = ratings.cumulative_sos(pg, snapshots.select("team_id", "as_of", (F.col("off") - F.col("def")).alias("margin")), ("team_id", "minutes"))
     total = F.sum((X.nz("cum_sos", 0.0) * F.col("minutes")).cast("decimal(28,9)")).cast("double")
     return rows.groupBy("season", "team_id", "game_id").agg((total / F.sum("minutes")).alias("w_player_sos"))
 
@@ -114,11 +133,15 @@ def matrix(games: DataFrame, pg: DataFrame, tg: DataFrame, teams: DataFrame, sna
 
     pg: rows of steps.rolling. snapshots: as_of, team_id, off, def, sos (see ratings.by_date); each game takes the last one before its day.
     external: composite rows, of which `variant` says what counts as impact. A missing side makes a difference null, or counts 0 with `fill`.
+    What takes a pass over players' games is a job of its own whose rows, one a side, are stored: disk holds the shuffles of one pass at a time.
     """
-    people = roster(pg, min_games, min_minutes, impact_of(external, variant) if external is not None else None)
+    snapshots = stored(snapshots, "snapshots", sweep=True)
+    impact = stored(impact_of(external, variant), "impact", sweep=True) if external is not None else None
+    people = stored(roster(pg, min_games, min_minutes, impact), "roster", sweep=True)
+    schedule = stored(team_player_sos(pg, snapshots), "schedule", sweep=True)
     snap = snapshots.select("team_id", "as_of", F.col("off").alias("adj_offense"), F.col("def").alias("adj_defense"), (F.col("off") - F.col("def")).alias("adj_efficiency_margin"), "sos")
     out = games.join(elo_with_provider(ratings.elo(games), provider_elo), ["season", "game_id"], "left")
-    parts = [(team_form(tg), TEAM), (people, ROSTER), (team_player_sos(pg, snapshots), ["w_player_sos"])]
+    parts = [(team_form(tg), TEAM), (people, ROSTER), (schedule, ["w_player_sos"])]
     for side in ("home", "away"):
         key = f"{side}_team_id"
         for df, cols in parts:
@@ -153,4 +176,4 @@ def with_matchups(asked: DataFrame, games: DataFrame, pg: DataFrame, tg: DataFra
     lineup = pg.where("minutes > 0").select("player_id", F.col("team_id").alias("t"), F.col("game_id").alias("g"), "minutes")
     rows = last.join(lineup, (F.col("team_id") == F.col("t")) & (F.col("last_game") == F.col("g"))).drop("t", "g", "last_game")
     have_of = pg
-    return all_games, pg.unionByName(nulls(rows, rows.columns)), all_tg
+    return all_games, pg.unionByName(nulls(rows, rows.columns)).repartitionByRange(*steps.DEALT), all_tg

@@ -19,15 +19,19 @@ from lakeloom.operators import joins, ratings, upsert, windows
 from lakeloom.sources.tables import stored
 
 GAME_ORDER = ("game_date", "game_id")
+#: How rows of rolling() are dealt, by range: a player's season is in one task, and sums by team and game after it have few rows a task to shuffle.
+DEALT = ("season", "team_id", "player_id")
 
 
 def fill_player_games(pg: DataFrame) -> DataFrame:
     """Adds ast_to_ratio and game_score, mends rebounds; each only where it is missing.
 
-    Totals of 0 are taken for unrecorded in games in which some row has offensive rebounds but no total.
+    Totals of 0 are taken for unrecorded in games in which some row has offensive rebounds but no total. Rows that say so in `fake` are not joined to them.
     """
-    fake = pg.where("total_rebounds IS NULL AND off_rebounds > 0").select(F.col("game_id").alias("__g")).distinct().withColumn("fake", F.lit(True))
-    out = pg.join(fake, F.col("game_id") == F.col("__g"), "left")
+    out = pg
+    if "fake" not in pg.columns:
+        fake = pg.where("total_rebounds IS NULL AND off_rebounds > 0").select(F.col("game_id").alias("__g")).distinct().withColumn("fake", F.lit(True))
+        out = pg.join(fake, F.col("game_id") == F.col("__g"), "left")
     hide = F.coalesce("fake", F.lit(False)) & (F.col("total_rebounds") == 0)
     out = out.withColumn("def_rebounds", F.when(~F.coalesce(hide, F.lit(False)), F.col("def_rebounds"))).withColumn("total_rebounds", F.when(~F.coalesce(hide, F.lit(False)), F.col("total_rebounds")))
     derived = F.when(F.col("total_rebounds") >= F.col("off_rebounds"), F.col("total_rebounds") - F.col("off_rebounds"))
@@ -184,9 +188,9 @@ def composite(ext: DataFrame, k: CompositeConstants = CompositeConstants()) -> D
 
 def rolling(pg: DataFrame, n: int = 5) -> DataFrame:
     """Means of the n games before each, over games with minutes: rolling_ppg, rpg, apg, fg_pct, ts_pct, game_score."""
-    w = windows.prior(["player_id", "team_id", "season"], GAME_ORDER, n)
+    w = windows.prior(["player_id", "season", "team_id"], GAME_ORDER, n)
     s = lambda c: F.sum(c).over(w).cast("double")
-    d = pg.where("minutes > 0")
+    d = pg.where("minutes > 0").repartitionByRange(*DEALT)
     out = {
         "rolling_ppg": X.round_n(F.avg("points").over(w), 1), "rolling_rpg": X.round_n(F.avg("total_rebounds").over(w), 1), "rolling_apg": X.round_n(F.avg("assists").over(w), 1),
         "rolling_fg_pct": X.round_n(X.ratio_pos(s("fgm"), s("fga")), 3), "rolling_ts_pct": X.round_n(X.ratio_pos(s("points"), 2.0 * (s("fga") + 0.44 * s("fta"))), 3), "rolling_game_score": X.round_n(F.avg("game_score").over(w), 1),
@@ -242,11 +246,11 @@ class Steps:
 
     @cached_property
     def player_games(self) -> DataFrame:
-        return stored(fill_player_games(self.scores.player_games), "player-games")
+        return stored(fill_player_games(self.scores.marked_player_games), "player-games", sweep=True)
 
     @cached_property
     def team_games(self) -> DataFrame:
-        return stored(estimate_rebounds(self.scores.team_games), "team-games")
+        return stored(estimate_rebounds(self.scores.team_games), "team-games", sweep=True)
 
     @cached_property
     def team_seasons(self) -> DataFrame:
@@ -255,12 +259,12 @@ class Steps:
     @cached_property
     def player_lines(self) -> DataFrame:
         """Season rows without schedule strength, which takes the teams' adjusted ratings."""
-        return stored(player_seasons(self.player_games, self.team_games), "player-lines")
+        return stored(player_seasons(self.player_games, self.team_games), "player-lines", sweep=True)
 
     @cached_property
     def player_seasons(self) -> DataFrame:
         sos = player_sos(self.player_games, self.team_seasons)
-        return stored(self.player_lines.join(sos, ["player_id", "team_id", "season"], "left"), "player-seasons")
+        return stored(self.player_lines.join(sos, ["player_id", "team_id", "season"], "left"), "player-seasons", sweep=True)
 
     @cached_property
     def rolling(self) -> DataFrame:

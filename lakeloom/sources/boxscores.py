@@ -14,19 +14,36 @@ from pyspark.sql import functions as F
 from lakeloom.sources.tables import stored
 
 BOX = ["minutes", "points", "fgm", "fga", "tpm", "tpa", "ftm", "fta", "off_rebounds", "def_rebounds", "total_rebounds", "assists", "steals", "blocks", "turnovers", "fouls"]
+KEYS = ["player_id", "team_id", "opponent_id", "game_id", "season", "game_date"]
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What players sold by opponent and month. Orders meet customers first, and suppliers come last, so that lines are shuffled by order and by player only:
+    sums by player need no shuffle of their own."""
     read = lambda t, *c: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*c)
     line = read("lineitem", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice")
     orders = read("orders", "o_orderkey", "o_custkey", "o_orderdate")
     supplier = read("supplier", "s_suppkey", F.col("s_nationkey").alias("team_id"))
     customer = read("customer", "c_custkey", F.col("c_nationkey").alias("opponent_id"))
-    sold = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    y, m = F.year("o_orderdate"), F.month("o_orderdate")
-    game = F.concat_ws("-", F.least("team_id", "opponent_id"), F.greatest("team_id", "opponent_id"), y * 100 + m)
-    return sold.where("team_id <> opponent_id").select(
-        F.col("l_suppkey").alias("player_id"), "team_id", "opponent_id", game.alias("game_id"), y.cast("int").alias("season"), F.make_date(y, m, F.lit(1)).alias("game_date"), "l_quantity", "l_extendedprice"
+    bought = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "opponent_id", (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("ym"))
+    sold = line.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "opponent_id", "ym", "l_quantity", "l_extendedprice")
+    sold = sold.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).where("team_id <> opponent_id")
+    sums = sold.groupBy(F.col("l_suppkey").alias("player_id"), "team_id", "opponent_id", "ym").agg(F.sum("l_quantity").cast("long").alias("q"), F.round(F.sum("l_extendedprice") * 100).cast("long").alias("p"))
+    y = F.floor(F.col("ym") / 100).cast("int")
+    game = F.concat_ws("-", F.least("team_id", "opponent_id"), F.greatest("team_id", "opponent_id"), "ym")
+    return sums.select("player_id", "team_id", "opponent_id", game.alias("game_id"), y.alias("season"), F.make_date(y, F.col("ym") % 100, F.lit(1)).alias("game_date"), "q", "p")
+
+
+def _drawn(b: DataFrame) -> DataFrame:
+    """Box scores of rows with q and p: KEYS, BOX, starter, q and what else b has."""
+    rest = [c for c in b.columns if c not in (*KEYS, "q", "p")]
+    q, p = F.col("q"), F.col("p")
+    b = b.withColumn("fga", 1 + q % 17).withColumn("fgm", F.least(F.col("fga"), p % 9)).withColumn("tpm", F.least(F.col("fgm"), p % 4)).withColumn("fta", p % 8).withColumn("ftm", F.least(F.col("fta"), q % 6))
+    b = b.withColumn("tpa", F.col("tpm") + q % 3).withColumn("off_rebounds", q % 5)
+    total = F.when(p % 11 == 0, F.lit(None)).when(p % 13 == 0, 0).otherwise(F.col("off_rebounds") + p % 9).cast("long")
+    return b.select(
+        *KEYS, F.when(q % 29 != 0, (q % 40).cast("double")).alias("minutes"), F.when(p % 37 != 0, 2 * F.col("fgm") + F.col("tpm") + F.col("ftm")).alias("points"), "fgm", "fga", "tpm", "tpa", "ftm", "fta", "off_rebounds",
+        F.lit(None).cast("long").alias("def_rebounds"), total.alias("total_rebounds"), (p % 8).alias("assists"), (p % 3).alias("steals"), (q % 3).alias("blocks"), (q % 6).alias("turnovers"), (p % 5).alias("fouls"), (q % 2 == 0).alias("starter"), "q", *rest,
     )
 
 
@@ -49,19 +66,14 @@ class BoxScores:
         """(player_id, name, team_id)"""
         return self._read("supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("team_id"))
 
+    @cached_property
+    def _sales(self) -> DataFrame:
+        """(KEYS..., q, p): all that rows are drawn from, so that what is stored and shuffled stays narrow."""
+        return stored(_lines(self.spark, self.sf_dir), "sales", sweep=True)
+
     @cached_property
     def _box(self) -> DataFrame:
-        keys = ["player_id", "team_id", "opponent_id", "game_id", "season", "game_date"]
-        b = _lines(self.spark, self.sf_dir).groupBy(*keys).agg(F.sum("l_quantity").cast("long").alias("q"), F.round(F.sum("l_extendedprice") * 100).cast("long").alias("p"))
-        q, p = F.col("q"), F.col("p")
-        b = b.withColumn("fga", 1 + q % 17).withColumn("fgm", F.least(F.col("fga"), p % 9)).withColumn("tpm", F.least(F.col("fgm"), p % 4)).withColumn("fta", p % 8).withColumn("ftm", F.least(F.col("fta"), q % 6))
-        b = b.withColumn("tpa", F.col("tpm") + q % 3).withColumn("off_rebounds", q % 5)
-        total = F.when(p % 11 == 0, F.lit(None)).when(p % 13 == 0, 0).otherwise(F.col("off_rebounds") + p % 9).cast("long")
-        box = b.select(
-            *keys, F.when(q % 29 != 0, (q % 40).cast("double")).alias("minutes"), F.when(p % 37 != 0, 2 * F.col("fgm") + F.col("tpm") + F.col("ftm")).alias("points"), "fgm", "fga", "tpm", "tpa", "ftm", "fta", "off_rebounds",
-            F.lit(None).cast("long").alias("def_rebounds"), total.alias("total_rebounds"), (p % 8).alias("assists"), (p % 3).alias("steals"), (q % 3).alias("blocks"), (q % 6).alias("turnovers"), (p % 5).alias("fouls"), (q % 2 == 0).alias("starter"), "q",
-        )
-        return stored(box, "box")
+        return _drawn(self._sales)
 
     @cached_property
     def team_games(self) -> DataFrame:
@@ -71,16 +83,24 @@ class BoxScores:
             F.when(F.sum("q") % 7 != 0, 200 + 25 * (F.sum("q") % 3)).alias("minutes"), *[F.sum(c).alias(c) for c in BOX[1:9]],
             F.when(known, both - F.sum("off_rebounds")).alias("def_rebounds"), F.when(known, both).alias("total_rebounds"), *[F.sum(c).alias(c) for c in BOX[11:]],
         )
-        return stored(side.withColumn("is_home", F.col("team_id") < F.col("opponent_id")), "sides")
+        return stored(side.withColumn("is_home", F.col("team_id") < F.col("opponent_id")), "sides", sweep=True)
+
+    @cached_property
+    def marked_player_games(self) -> DataFrame:
+        """player_games with `fake` (see steps.fill_player_games). What a game says of its rows is one stored table with a row a side, so that they meet it in one join."""
+        fake = self._box.groupBy("game_id").agg(F.max(F.expr(UNRECORDED)).alias("fake"))
+        context = self.team_games.select("game_id", "team_id", *[F.col(c).alias(f"team_{c}") for c in CONTEXT]).join(fake, "game_id", "left")
+        return _drawn(self._sales.join(stored(context, "context"), ["game_id", "team_id"])).drop("q")
 
     @cached_property
     def player_games(self) -> DataFrame:
-        context = self.team_games.select("game_id", "team_id", *[F.col(c).alias(f"team_{c}") for c in CONTEXT])
-        return self._box.drop("q").join(context, ["game_id", "team_id"])
+        return self.marked_player_games.drop("fake")
 
 
 #: What a player's row holds of its team's.
 CONTEXT = ("fga", "fta", "turnovers", "fgm", "minutes")
+#: A row whose total rebounds were not recorded: it makes totals of 0 in its game doubtful.
+UNRECORDED = "total_rebounds IS NULL AND coalesce(off_rebounds > 0, false)"
 
 
 def box_scores(spark: SparkSession, sf_dir: str) -> BoxScores:

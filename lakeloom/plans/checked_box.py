@@ -643,7 +643,9 @@ def q19_predict(spark: SparkSession, d: str) -> DataFrame:
         found = joins.lookup_by_prefix(found, side, names.toDF("prefix", f"{side}_team_id", f"{side}_name"))
     last = a["team_games"].agg(F.max("season").alias("season"), F.date_add(F.max("game_date"), 1).alias("game_date"))
     found = stored(found.crossJoin(last).select("game_id", "season", "game_date", "home_team_id", "away_team_id", "is_neutral_site", "home_name", "away_name"), "asked")
-    games, pg, tg = features.with_matchups(found.drop("home_name", "away_name"), _games(spark, d, a.scores), stored(a["rolling"], "rolling", sweep=True), a["team_games"])
+    games, pg, tg = features.with_matchups(found.drop("home_name", "away_name"), _games(spark, d, a.scores), a["player_games"].withColumn("played", F.lit(True)), a["team_games"])
+    # what is asked comes after all that was played, so recent form is found with it in one pass; rows of it have none
+    pg = steps.rolling(pg).select(*[F.when(F.col("played"), F.col(c)).alias(c) if c.startswith("rolling_") else F.col(c) for c in a["rolling"].columns if c != "played"])
     snap = _snapshots(a["team_games"])
     m = stored(features.matrix(games, pg, tg, a.scores.teams, snap, _impact(a), fill=True, min_games=MIN_GAMES, min_minutes=MIN_MINUTES), "matrix")
     past = m.where("margin IS NOT NULL").withColumn("margin", F.col("margin").cast("double")).withColumn("home_win", F.col("home_win").cast("double"))

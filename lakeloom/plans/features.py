@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import exprs as X
 from lakeloom.operators import joins, ratings, windows
-from lakeloom.plans import steps
 from lakeloom.sources.tables import stored
 
 ORDER = ("game_date", "game_id")
@@ -175,5 +174,6 @@ def with_matchups(asked: DataFrame, games: DataFrame, pg: DataFrame, tg: DataFra
     last = past.groupBy(*sides.columns).agg(F.max_by("last_game", F.struct("last_day", "last_game")).alias("last_game"))
     lineup = pg.where("minutes > 0").select("player_id", F.col("team_id").alias("t"), F.col("game_id").alias("g"), "minutes")
     rows = last.join(lineup, (F.col("team_id") == F.col("t")) & (F.col("last_game") == F.col("g"))).drop("t", "g", "last_game")
+    rows = stored(rows, "lineup", sweep=True)
     have_of = pg
-    return all_games, pg.unionByName(nulls(rows, rows.columns)).repartitionByRange(*steps.DEALT), all_tg
+    return all_games, pg.unionByName(nulls(rows, rows.columns)), all_tg

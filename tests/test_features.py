@@ -55,3 +55,12 @@ def test_matrix_passes_over_players_in_jobs_of_their_own(spark):
     """Disk holds the shuffles of one pass at a time: the matrix itself reads a row a side, and no rows of players."""
     read = checked_box.n8_matchups(spark, DIR).inputFiles()
     assert read and not [f for f in read if re.search(r"/(player-games|box|sales|rolling)-[0-9a-f]{32}/", f)]
+
+
+@pytest.mark.skipif(not Path(DIR).exists(), reason="no test tables")
+def test_prediction_deals_players_games_once(spark, monkeypatch):
+    """Asked rows join the played ones before recent form is found: the job of the roster shuffles rows of players once."""
+    plans = {}
+    monkeypatch.setattr(features, "stored", lambda df, name, sweep=False, real=features.stored: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or real(df, name, sweep))
+    assert checked_box.q19_predict(spark, DIR).count() == 2
+    assert plans["roster"].count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning(player_id" not in plans["roster"]
